@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, iso_media, language, neardup, packing, quality, repeats, token_counts, token_files
+from . import decontaminate, iso_media, language, neardup, packing, private, quality, repeats, token_counts, token_files
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_quality": quality.op2_quality,
     "op3_packing": packing.op3_packing,
     "op4_token_files": token_files.op4_token_files,
+    "op5_private": private.op5_private,
     "op6_repeats": repeats.op6_repeats,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_neardup": neardup.op8_neardup,
