@@ -6,12 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.llm import decontaminate, quality
+from factweave.llm import decontaminate, neardup, packing, private, quality
 from factweave.llm.common import read, shared_folder
 
 STAGES = [
     ("quality", quality.keep_good),
+    ("near_duplicates", neardup.keep_one),
     ("decontaminate", decontaminate.remove_benchmark),
+    ("private", private.redact_stage),
+    ("packing", packing.pack_stage),
 ]
 
 #: Tokenizers, trained models and hashed candidates have no SQL; tests hold the stages against brute force.
