@@ -56,7 +56,7 @@ def _edges(rows: str) -> str:
 g AS (SELECT story_id, source, target, shown, list_sort(list_distinct(list(predicate))) AS ps, min({rank}) AS r, count(*) AS n, avg(confidence) AS conf, avg(weight) AS w, sum(scene_number) AS ss, max(scene_number) AS sm FROM e GROUP BY ALL),
 h AS (SELECT *, max(sm) OVER (PARTITION BY story_id) AS top, (['romantic', 'trust', 'rivalry', 'family', 'mentorship', 'social'])[r] AS prim FROM g)
 SELECT story_id, source, target, CASE WHEN len(ps) = 1 THEN ps[1] ELSE prim END AS label, prim AS primary_relationship, array_to_string(ps, ',') AS sub_relationships, n AS claim_count,
- round(conf, 3) AS confidence, round(round(n * 0.4::DOUBLE * w + conf * 10 + ss / (top * n) * 0.3::DOUBLE, 6), 2) AS strength, shown AS status FROM h"""
+ round(conf, 3) AS confidence, round((n * 0.4::DOUBLE * w + conf * 10 + ss / (top * n) * 0.3::DOUBLE)::DECIMAL(18, 6), 2)::DOUBLE AS strength, shown AS status FROM h"""
 
 
 _TRIM = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
