@@ -10,12 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 2 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what goes to a Python worker at once, by bytes, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def two(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and the text under fixed names; other columns, whatever their names, are left out."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -37,8 +47,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_bytes(docs: DataFrame) -> int:
-    """Catalyst's estimate of a DataFrame's bytes, to size partitions by; at least 1."""
-    return max(1, int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+    """A table's bytes, to size partitions by, at least 1: as its files have it, else counted from the texts."""
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known >= 1 << 50:  # Catalyst's guess where it knows nothing
+        known = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, known)
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:

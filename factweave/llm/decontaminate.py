@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, saved, small_enough, two
+from .common import read, saved, small_batches, small_enough, two
 from .words import NON_ALNUM, Words, classes, pieces
 
 WINDOW = 10
@@ -255,6 +255,7 @@ def cleaned(docs: DataFrame, items: DataFrame, text_col: str = "text", window: i
     there is one, follows the text. Texts without hits, nulls among them, stay as they are.
     Blocks of items are taken one after another.
     """
+    small_batches(docs.sparkSession)
     names, at = docs.columns, docs.columns.index(text_col)
     for rows in _blocks(items, BLOCK_ITEMS):
         shared = docs.sparkSession.sparkContext.broadcast(_items(rows, window))

@@ -74,7 +74,7 @@ _KINDS = [*[pa.int64()] * 7, pa.binary()]
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per piece: its document, place, length, digest, its sequence and offset there, and with with_ids its ids.
+    """A row per piece: its document, place, length, digest, its sequence and offset there, and with with_ids its ids, 16 bits each.
 
     Groups are packed where their documents are read, so nothing is shuffled and no group spans
     tasks; sequence numbers are unique and the same when a task runs again. A null text is empty:
@@ -108,16 +108,16 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False,
                 ids, counts = encode.encode(data, offsets)
                 at = 0
                 for doc, n in zip(part.column(0).to_pylist(), counts.tolist(), strict=True):
-                    raw = np.append(ids[at : at + n], END_ID).astype("<u4")
+                    raw = np.append(ids[at : at + n], END_ID).astype("<u2")
                     at += n
                     whole, rest = cut(n + 1)
                     for a, m in whole:
-                        piece = raw[a : a + m].tobytes()
-                        out.append((doc, a, m, zlib.crc32(piece), n + 1, sequence, 0, piece if with_ids else None))
+                        piece = raw[a : a + m]
+                        out.append((doc, a, m, zlib.crc32(piece.astype("<u4")), n + 1, sequence, 0, piece.tobytes() if with_ids else None))
                         sequence += 1
                     for a, m in rest:
-                        piece = raw[a : a + m].tobytes()
-                        waiting.append((doc, a, m, zlib.crc32(piece), n + 1, piece if with_ids else None))
+                        piece = raw[a : a + m]
+                        waiting.append((doc, a, m, zlib.crc32(piece.astype("<u4")), n + 1, piece.tobytes() if with_ids else None))
                         held += m
                     if held >= GROUP_WINDOWS * SIZE:
                         settle(GROUP_WINDOWS * SIZE * LEVEL)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read, two
+from .common import read, small_batches, two
 from .decontaminate import replaced
 
 #: The kinds in their order, and the base patterns.
@@ -338,6 +338,7 @@ def redact(text: str, found: list[tuple[int, int, int]]) -> str:
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with all spans redacted; n_chars, if there is one, follows the text. Other rows and columns stay as they are."""
+    small_batches(docs.sparkSession)
     names, at = docs.columns, docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model())
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, two
+from .common import read, small_batches, two
 from .words import Words, mix, pieces, windows
 
 BITS = 20
@@ -123,6 +123,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     An empty or null text has only the bias. Rows stay apart whatever their ids; an empty table
     gives none. With keep, the input's columns come along (but for an own `score`, which is replaced).
     """
+    small_batches(docs.sparkSession)
     used = np.flatnonzero(weights)
     shared = docs.sparkSession.sparkContext.broadcast((used.astype(np.int32), weights[used].astype(np.float32)))  # at most 2**BITS slots
     rest = [c for c in docs.columns if c != "score"] if keep else []

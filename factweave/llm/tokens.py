@@ -18,7 +18,7 @@ import pyarrow as pa
 from .words import _BASE, _COEFF, mix, powers
 
 #: Distinct words kept by a worker, but for those of the last chunk; then its table starts anew.
-TABLE_WORDS, SLOT_BITS = 1_500_000, 22
+TABLE_WORDS, SLOT_BITS = 600_000, 21
 #: Words in one text for the library.
 GROUP = 200
 LETTER, DIGIT, OTHER, SPACE, ODD = 1, 2, 3, 0, 4
@@ -59,6 +59,8 @@ class Encoder:
         self.classes[list(lead)] = LETTER
         vocab = spec["model"]["vocab"]
         size = max(vocab.values()) + 1
+        if size > 1 << 16:
+            raise ValueError(f"{path}: ids need more than 16 bits")
         suffix = spec["model"].get("end_of_word_suffix") or ""
         self.is_end = np.zeros(size + 1000, bool)
         self.width = np.zeros(size + 1000, np.int64)

@@ -7,6 +7,8 @@ a window's hash is the same over its words' hashes. Nulls are empty texts.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +18,7 @@ import pyarrow as pa
 SPACES = (0x20, *range(0x09, 0x0E))
 NON_ALNUM = (*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80))
 #: Bytes of text handled at once; a longer single text is handled alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _COEFF = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,3 +147,11 @@ def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on between tasks, and an executor's JVM shares the machine with them."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
