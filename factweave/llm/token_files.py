@@ -90,7 +90,7 @@ def write_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = END
     """
     path = tokenizer or public_path("byte_bpe_50k.json")
     spark = docs.sparkSession
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // RANGE_BYTES))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(two(docs, id_col, text_col)) // RANGE_BYTES))
 
     def build(batches: Iterator[pa.RecordBatch]):
         encode, task = encoder(path), TaskContext.get().partitionId()
