@@ -72,3 +72,94 @@ GROUPS = {
 }
 CANON_WEIGHT = {"core": 1.2, "active": 1.0, "soft": 0.75}
 STATUS_RANK = {"canonized": 4, "approved": 3, "needs_review": 2, "suggested": 1}
+
+# Extraction from prose: fixed values.
+EMOTIONS = {
+    "love": "loves", "loves": "loves", "loved": "loves", "detest": "detests", "detests": "detests", "detested": "detests",
+    "hate": "hates", "hates": "hates", "hated": "hates", "miss": "misses", "misses": "misses", "missed": "misses",
+    "trust": "trusts", "trusts": "trusts", "trusted": "trusts", "distrust": "distrusts", "distrusts": "distrusts",
+    "distrusted": "distrusts", "fear": "fears", "fears": "fears", "feared": "fears", "care for": "cares_for",
+    "cared for": "cares_for", "worry about": "worries_about", "worried about": "worries_about",
+}
+AUXILIARIES = ("did", "do", "does", "could", "would", "should", "had", "have", "has", "was", "were", "am", "are", "is", "will", "can")
+CLAUSE_BREAKS = ("when", "because", "since", "though", "if", "as", "while", "where", "who", "that", "but", "and", "or")
+TAIL_WORDS = (
+    "in", "on", "at", "to", "from", "with", "for", "and", "or", "the", "a", "an", "deeply", "truly", "really", "still", "even", "also",
+    "just", "very", "all", "either", "anymore", "too", "yet",
+)
+NOT_NAMES = (
+    "the", "a", "an", "it", "he", "she", "they", "we", "i", "but", "and", "or", "then", "when", "while", "after", "before", "there",
+    "here", "his", "her", "their", "my", "your", "what", "who", "how", "why", "if", "as", "in", "on", "at", "to", "from", "with", "for",
+    "not", "no", "yes", "oh", "ah", "well", "so", "just", "still", "even", "all", "one", "two", "three", "chapter", "part", "section",
+    "you", "me",
+)
+LEADING_FILLERS = (
+    "way", "that", "how", "in", "a", "an", "the", "and", "but", "so", "as", "if", "when", "while", "after", "before", "then", "just",
+    "even", "still", "also", "only", "not",
+)
+FIRST_PERSON = ("i", "me", "myself")
+PLACEHOLDERS = ("narrator", "i", "me", "myself", "my", "mine")
+PRONOUNS = ("i", "me", "you", "he", "she", "they", "we", "us", "him", "her", "them", "my", "your", "his", "their", "it")
+JUNK_STARTS = ("tell", "of", "you", "this", "that", "when", "what", "how", "flying", "neither", "nothing", "police", "chief")
+AUXILIARY_STARTS = (
+    "did", "does", "do", "was", "were", "had", "have", "has", "is", "are", "am", "will", "would", "could", "should", "can", "not", "never",
+)
+JUNK_OBJECTS = (
+    "wide", "blue", "cheap", "good", "great", "old", "new", "the vigorous", "her wide", "me before", "me", "loved", "detested", "the sun and",
+)
+GERUNDS = ("getting", "being", "having", "making", "taking", "going", "doing")
+GERUND_ENDS = ("full", "ready", "better", "worse", "started", "done", "back", "up", "down", "out", "in", "off")
+KINSHIP = ("daughter_of", "son_of", "mother_of", "father_of")
+WEAK_SPEECH = ("speaks_with", "said_to", "tells", "asks", "whispers_to", "looks_at", "watches", "stares_at", "glances_at")
+FAMILIES = {
+    "love": ("loves", "loved", "love"),
+    "hate": ("detests", "detest", "detested", "hates", "hated", "hate"),
+    "trust": ("trusts", "trusted"),
+    "distrust": ("distrusts", "distrusted"),
+    "fear": ("fears", "feared", "fear"),
+    "miss": ("misses", "missed", "miss"),
+}
+NEGATIONS = ("not", "never", "n't", "no", "neither", "without")
+ORIGIN_RANK = {"fastus": 4, "structural": 3, "family": 3, "llm": 2, "llm_recall": 1, "heuristic": 0}
+
+# Entity typing: fixed values.
+CONCEPTS = (
+    "water", "rain", "darkness", "light", "love", "fear", "hope", "memory", "dream", "death", "life", "time", "sun", "moon", "wind",
+    "fire", "ice", "snow", "stone", "gold", "silver", "power", "magic", "truth", "silence", "chaos", "peace", "war", "blood", "shadow",
+    "lightning", "thunder", "the sea", "the ocean", "the sky", "the night", "the day", "the world", "the land", "the forest",
+    "the river", "the mountain", "heat", "the heat", "clouds", "cloud", "awkwardness", "the rain",
+)
+OBJECTS = (
+    "parka", "carry-on", "carry on", "cruiser", "car", "truck", "chevy", "engine", "wardrobe", "winter wardrobe", "airport", "plane",
+    "lights", "red and blue lights", "the thing", "gift", "homecoming gift", "mechanic", "traffic", "ferns", "moss", "trees",
+)
+PLACE_ENDS = (
+    " city", " kingdom", " hall", " castle", " tower", " beach", " shack", " village", " town", " land", " island", " forest",
+    " mountains", " valley",
+)
+ANIMALS = (
+    "dog", "horse", "dragon", "wolf", "cat", "bird", "serpent", "snake", "bear", "lion", "tiger", "raven", "eagle", "hawk", "stag",
+    "deer", "fox", "hound",
+)
+GROUP_WORDS = (
+    "army", "soldiers", "guards", "villagers", "crowd", "people", "wildlings", "knights", "men", "women", "children", "elders",
+    "priests", "rebels",
+)
+HUMAN_ROLES = (
+    "man", "woman", "boy", "girl", "child", "king", "queen", "lord", "lady", "prince", "princess", "stranger", "husband", "wife",
+    "mother", "father", "brother", "sister", "son", "daughter", "uncle", "aunt", "captain", "general", "knight", "servant", "maid",
+    "butler", "merchant", "priest", "witch", "wizard", "assassin", "guard", "soldier",
+)
+PARENTS = ("mom", "mother", "mum", "dad", "father", "pa")
+PLACE_WORDS = ("city", "kingdom", "castle", "hall", "beach", "village", "island")
+NEVER_NAMES = (
+    "you", "i", "we", "they", "he", "she", "it", "this", "that", "there", "here", "when", "what", "how", "of", "tell", "don", "flying",
+    "neither", "nothing", "police", "chief",
+)
+RELATIONAL = (
+    "loves", "loved", "love", "hates", "hated", "hate", "detests", "detested", "detest", "fears", "feared", "fear", "trusts", "trusted",
+    "trust", "distrusts", "distrusted", "misses", "missed", "miss", "cares_for", "cared_for", "worries_about", "worried_about",
+    "desires", "desired", "wants", "wanted", "needs", "needed", "longs_for", "obsessed_with", "betrays", "betrayed", "daughter_of",
+    "son_of", "mother_of", "father_of", "partner_of", "knows", "bought_gift_for", "awkward_with",
+)
+NAME_STOPWORDS = ("the", "of", "a", "an", "my", "her", "his", "their", "mr", "mrs", "ms", "dr")

@@ -94,3 +94,58 @@ claims0 AS (SELECT id, o_custkey AS story_id, l_orderkey AS scene_id, ({_list(NA
 claims AS (SELECT * EXCLUDE (line), subject || ' ' || predicate || ' ' || object AS claim_text,
            CASE WHEN line = 'O' THEN subject || ' ' || predicate || ' ' || object || '.' ELSE 'She said so.' END AS evidence_text FROM claims0)
 """
+
+DRAFT_SUBJECTS = ("Mara Venn", "she", "did not", "Narrator", "I", "tell Mara", "half way", "Teo", "police chief", "Orin Vale", "my mom", "Mara Venn", "Teo")
+DRAFT_PREDICATES = ("loves", "speaks_with", "mother_of", "detested", "trusts", "hates")
+DRAFT_TARGETS = ("Teo", "her brother", "the sun and", "getting full", "blue", "Stonefield", "narrator", "Orin Vale", "old Teo")
+DRAFT_ORIGINS = ("structural", "llm", "fastus", "llm_recall")
+SURFACES = ("Water", "rainwater", "the beach", "my mom", "The King", "King's Road", "Red Castle", "soldiers", "her wide", "Jan de Vries", "forest", "sea", "old trees", "USA", "parka", "dog", "Isolde", "")
+MENTIONS = ("Mara", "venn", "isolde", "solde", "Orin", "Teo Marr", "Vale", "Justice League", "Ash", "stonefield", "I", "Orin  Vale")
+
+
+def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims as extraction leaves them, fragments among them."""
+    order = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE))
+    x = _table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 1000 + order).alias("id"),
+        F.col("l_orderkey").alias("scene_id"),
+        _pick(DRAFT_SUBJECTS, (F.col("l_partkey") * 7 + F.col("l_suppkey")) % 13 + 1).alias("subject"),
+        _pick(DRAFT_PREDICATES, F.col("l_suppkey") % 6 + 1).alias("predicate"),
+        _pick(DRAFT_TARGETS, (F.col("l_partkey") + F.col("l_linenumber")) % 9 + 1).alias("target"),
+        F.lit("relationship_state").alias("claim_type"),
+        (F.col("l_returnflag") != "R").alias("polarity"),
+        F.round(0.5 + F.col("l_quantity") / 100, 2).alias("confidence"),
+        _pick(DRAFT_ORIGINS, F.col("l_partkey") % 4 + 1).alias("generation_origin"),
+        (F.col("l_linestatus") == "O").alias("anchored"),
+        F.when(F.col("l_linenumber") % 2 == 0, "Mara Venn").alias("pov"),
+        (F.col("l_discount") > 0.05).alias("told"),
+    )
+    claim = F.concat(F.concat_ws(" ", "subject", "predicate", "target"), F.lit("."))
+    return x.withColumns({"ord": F.col("id"), "claim": claim, "evidence": F.when(F.col("told"), claim).otherwise("Teo said to me.")}).drop("told")
+
+
+def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).union(_table(spark, sf_dir, "nation").select("n_name")).union(_table(spark, sf_dir, "supplier").select("s_name"))
+    pool = _table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.explode(F.array(*[F.lit(s) for s in SURFACES])).alias("name"))
+    return parts.union(pool).distinct().withColumn("role", F.when(F.length("name") % 2 == 0, "object").otherwise("subject"))
+
+
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stories(spark, sf_dir).select(F.col("id").alias("story_id"), F.explode(F.array(*[F.lit(m) for m in MENTIONS])).alias("name"))
+
+
+_quoted = lambda values: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+#: drafts() for DuckDB: put before a query.
+DRAFT_SQL = f"""
+WITH RECURSIVE d0 AS (SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE)}) AS id, l_orderkey AS scene_id,
+  ({_list(DRAFT_SUBJECTS)})[(l_partkey * 7 + l_suppkey) % 13 + 1] AS subject, ({_list(DRAFT_PREDICATES)})[l_suppkey % 6 + 1] AS predicate,
+  ({_list(DRAFT_TARGETS)})[(l_partkey + l_linenumber) % 9 + 1] AS target, 'relationship_state' AS claim_type, l_returnflag <> 'R' AS polarity,
+  round(0.5 + l_quantity / 100, 2) AS confidence, ({_list(DRAFT_ORIGINS)})[l_partkey % 4 + 1] AS generation_origin, l_linestatus = 'O' AS anchored,
+  CASE WHEN l_linenumber % 2 = 0 THEN 'Mara Venn' END AS pov, l_discount > 0.05 AS told FROM lineitem),
+drafts AS (SELECT * EXCLUDE (told), id AS ord, subject || ' ' || predicate || ' ' || target || '.' AS claim, CASE WHEN told THEN subject || ' ' || predicate || ' ' || target || '.' ELSE 'Teo said to me.' END AS evidence FROM d0)
+"""
+SURFACE_SQL = f"""
+WITH names AS (SELECT p_name AS name FROM part UNION SELECT n_name FROM nation UNION SELECT s_name FROM supplier UNION SELECT unnest({_quoted(SURFACES)})),
+surfaces AS (SELECT name, CASE WHEN length(name) % 2 = 0 THEN 'object' ELSE 'subject' END AS role FROM names)
+"""

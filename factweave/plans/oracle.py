@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import vocab as V
-from .adapters import SQL
+from .adapters import DRAFT_SQL, MENTIONS, SQL, SURFACE_SQL, _list
 
 _in = lambda values: "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
 _norm = lambda x: f"trim(regexp_replace(lower(coalesce({x}, '')), '\\s+', ' ', 'g'))"
@@ -124,3 +124,59 @@ UNION ALL SELECT doc_id, (s // 1300)::BIGINT, least(1500, len(w) - s)::BIGINT, a
     "src_html_text": f"SELECT page_id, {_HTML} AS text FROM pages",
     "stm_latest_edit": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ts, count(*) AS n_edits FROM events GROUP BY 1",
 }
+
+_alt = "|".join
+_NORMS = ", ".join(f"lower({c}) AS {k}" for c, k in (("subject", "s"), ("target", "t"), ("evidence", "e"), ("predicate", "p")))
+_REJECT = f"""CASE WHEN s = 'narrator' OR t = 'narrator' THEN 'placeholder narrator entity' WHEN s = 'i' AND pov IS NULL THEN 'unresolved first-person without POV character'
+ WHEN regexp_matches(s, '^({_alt(V.JUNK_STARTS)})\\b') THEN 'junk subject start' WHEN regexp_matches(s, '^({_alt(V.AUXILIARY_STARTS)})\\b') THEN 'auxiliary/fragment subject (Stage 0)'
+ WHEN contains(s, ' way') THEN 'junk ''way'' subject' WHEN (s IN {_in(V.PRONOUNS)} OR s = 'my mom') AND p NOT IN {_in(V.KINSHIP)} THEN 'unresolved pronoun subject'
+ WHEN split_part(t, ' ', 1) IN {_in(V.PRONOUNS)} AND p NOT IN {_in(V.KINSHIP)} THEN 'unresolved pronoun object (Stage 0 — no coref yet)' WHEN t IN {_in(V.JUNK_OBJECTS)} THEN 'junk object fragment'
+ WHEN t = 'getting full' THEN 'incomplete gerund object' WHEN p IN {_in(V.WEAK_SPEECH)} THEN 'weak speech predicate' WHEN contains(e, 'said to me') THEN 'speech-evidence fragment' END"""
+_FAMILY = _case("lower(predicate)", {v: f for f, vs in V.FAMILIES.items() for v in vs}, "lower(predicate)")
+_TOLD = f"""{DRAFT_SQL}, k AS (SELECT *, lower(subject) AS s, lower(evidence) AS e, lower(target) AS t, {_FAMILY} AS f, list_filter(string_split(lower(target), ' '), lambda w: length(w) > 2) AS w FROM drafts)"""
+_SAME = "a.scene_id = b.scene_id AND a.s = b.s AND (contains(a.e, b.e) OR contains(b.e, a.e) OR (a.f = b.f AND (list_has_any(a.w, b.w) OR contains(a.t, b.t) OR contains(b.t, a.t))))"
+_KEY = "lower(name)"
+_ASCII = r"regexp_replace(coalesce(text, ''), '[^\x00-\x7F\p{P}\p{S}\p{Z}\p{C}\p{M}]', '_', 'g')"
+_WORD = r"[\p{L}\p{N}_]+(?:''[\p{L}\p{N}_]+)?|[^\p{L}\p{N}_\s]"
+
+ORACLES |= {
+    "flt_reject_reason": f"{DRAFT_SQL}, n AS (SELECT id, pov, {_NORMS} FROM drafts) SELECT id, {_REJECT} AS reject_reason FROM n",
+    "str_pov": f"""{DRAFT_SQL} SELECT id, CASE WHEN pov IS NOT NULL AND subject = 'I' THEN pov ELSE CASE WHEN pov IS NOT NULL AND subject = 'did not' THEN 'did not' ELSE subject END END AS subject,
+ CASE WHEN pov IS NOT NULL AND subject = 'I' THEN pov || claim[2:] ELSE claim END AS claim FROM drafts""",
+    "win_first_of_equal": f"{DRAFT_SQL} SELECT id, scene_id FROM drafts QUALIFY row_number() OVER (PARTITION BY scene_id, lower(subject), predicate, lower(target), claim_type, lower(claim)[1:120] ORDER BY ord) = 1",
+    "agg_merged_sources": f"""{DRAFT_SQL}, k AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY scene_id, lower(subject), predicate, lower(target), polarity) AS n, first(id) OVER w AS g,
+  CASE generation_origin WHEN 'fastus' THEN 4 WHEN 'structural' THEN 3 WHEN 'llm' THEN 2 ELSE 1 END AS o FROM drafts WINDOW w AS (PARTITION BY scene_id, lower(subject), predicate, lower(target), polarity ORDER BY ord)),
+f AS (SELECT scene_id, g, r, n, subject, predicate, target, claim_type, polarity, confidence, evidence, claim, anchored, [o] AS os, NULL::VARCHAR AS rs FROM k WHERE r = 1
+ UNION ALL SELECT f.scene_id, f.g, k.r, f.n, f.subject, f.predicate, f.target, f.claim_type, f.polarity,
+  CASE WHEN f.anchored AND k.anchored THEN least(1.0::DOUBLE, (f.confidence + k.confidence) / 2 + 0.05::DOUBLE) ELSE greatest(f.confidence, k.confidence) END,
+  CASE WHEN CASE WHEN f.anchored <> k.anchored THEN f.anchored ELSE list_max(f.os) >= k.o END THEN f.evidence ELSE k.evidence END,
+  CASE WHEN length(f.claim) >= length(k.claim) THEN f.claim ELSE k.claim END, f.anchored OR k.anchored, list_distinct(f.os || [k.o]),
+  CASE WHEN (f.anchored OR k.anchored) AND CASE WHEN f.anchored AND k.anchored THEN least(1.0::DOUBLE, (f.confidence + k.confidence) / 2 + 0.05::DOUBLE) ELSE greatest(f.confidence, k.confidence) END >= 0.9::DOUBLE THEN 'suggested' ELSE 'needs_review' END
+  FROM f JOIN k ON k.g = f.g AND k.r = f.r + 1)
+SELECT scene_id, n AS n_sources, subject, predicate, target, claim_type, polarity, confidence, evidence, claim, anchored, rs AS review_status,
+ array_to_string(list_transform(list_reverse_sort(os), lambda x: (['llm_recall', 'llm', 'structural', 'fastus'])[x]), '+') AS generation_origin FROM f WHERE r = n""",
+    "joi_redundant_model": f"{_TOLD} SELECT id FROM k a WHERE generation_origin = 'llm' AND EXISTS (FROM k b WHERE b.generation_origin = 'structural' AND {_SAME})",
+    "joi_redundant_structural": f"{_TOLD} SELECT id FROM k a WHERE NOT (generation_origin = 'structural' AND f IN {_in(V.FAMILIES)} AND EXISTS (FROM k b WHERE b.generation_origin = 'llm' AND {_SAME}))",
+    "cnd_names": rf"""WITH m AS (SELECT doc_id, regexp_extract_all({_ASCII}, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?\b') AS l FROM documents),
+p AS (SELECT doc_id, unnest(l) AS name, generate_subscripts(l, 1) AS nth FROM m), q AS (SELECT doc_id, name, min(nth) AS nth FROM p WHERE lower(name) NOT IN {_in(V.NOT_NAMES)} AND NOT regexp_matches(lower(name), '^({_alt(V.JUNK_STARTS)})\b') GROUP BY ALL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1 AS place, name FROM q QUALIFY place < 24""",
+    "txt_tokens": f"WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS t FROM documents) SELECT doc_id, len(t) AS n_tokens, len(list_filter(t, lambda w: lower(w) IN {_in(V.NEGATIONS)})) AS n_negations, len(list_distinct(t)) AS n_distinct FROM t",
+    "ent_types": rf"""{SURFACE_SQL}, c AS (SELECT *, CASE WHEN {_KEY} = '' THEN 'concept 0.3' WHEN {_KEY} IN {_in(V.KNOWN_PLACES)} THEN 'place 0.9' WHEN {_KEY} IN {_in(V.OBJECTS)} THEN 'object 0.88' WHEN {_KEY} IN {_in(V.ANIMALS)} THEN 'animal 0.88'
+ WHEN {_KEY} IN {_in(V.CONCEPTS)} THEN 'concept 0.92' WHEN regexp_matches({_KEY}, '({_alt(V.CONCEPTS)})$') THEN 'concept 0.85' WHEN regexp_matches({_KEY}, '^(my )?({_alt(V.PARENTS)})\b') OR regexp_matches({_KEY}, '^(the )?({_alt(V.HUMAN_ROLES)})\b') THEN 'character 0.78'
+ WHEN split_part({_KEY}, ' ', 1) IN ('her', 'his', 'their', 'the', 'my') AND contains(name, ' ') THEN 'concept 0.82' WHEN regexp_matches({_KEY}, '({_alt(V.PLACE_ENDS)})$') OR regexp_matches({_KEY}, '\b({_alt(V.PLACE_WORDS)})\b') THEN 'place 0.8'
+ WHEN rtrim({_KEY}, 's') IN {_in(V.GROUP_WORDS)} OR {_KEY} IN {_in(V.GROUP_WORDS)} THEN 'group 0.72'
+ WHEN regexp_matches(name, '^[A-Z][a-z]+( ((van|de|von|al) )?[A-Z][a-z]+)?$') OR (contains(name, ' ') AND regexp_matches(name, '^[A-Z]\S*( [A-Z]\S*)+$')) OR (NOT contains(name, ' ') AND regexp_matches(name, '^[A-Z]') AND name <> upper(name) AND {_KEY} NOT IN {_in(V.NEVER_NAMES)}) THEN 'character 0.85'
+ WHEN NOT contains(name, ' ') AND role = 'object' AND regexp_matches(name, '[A-Za-z]') THEN 'concept 0.7' WHEN {_KEY} IN ('river', 'sea', 'forest') THEN 'character 0.55' WHEN NOT contains(name, ' ') THEN 'object 0.55' ELSE 'character 0.45' END AS v FROM surfaces)
+SELECT name, role, split_part(v, ' ', 1) AS entity_type, split_part(v, ' ', 2)::DOUBLE AS type_confidence, v LIKE 'character%' AND split_part(v, ' ', 2)::DOUBLE >= 0.55 AS graph_eligible FROM c""",
+    "ent_refined_claim_type": f"""{SQL} SELECT c.id, CASE WHEN (c.predicate IN {_in(V.RELATIONAL)} OR c.claim_type = 'relationship_state') AND s.entity_type = 'character'
+ THEN CASE o.entity_type WHEN 'character' THEN 'relationship_state' WHEN 'place' THEN 'place_preference' ELSE 'character_preference' END ELSE c.claim_type END AS claim_type
+ FROM claims c JOIN entities s ON s.id = subject_entity_id JOIN entities o ON o.id = object_entity_id""",
+    "ent_resolved_names": f"""{SQL}, m AS (SELECT id AS story_id, unnest({_list(MENTIONS)}) AS name FROM stories), k AS (SELECT *, {_norm("name")} AS key FROM m),
+x AS (SELECT k.story_id, name, e.id, CASE WHEN lower(canonical_name) = key THEN 1 WHEN NOT contains(key, ' ') AND length(key) >= 3
+   AND (split_part(lower(canonical_name), ' ', 1) = key OR length(key) >= 4 AND ends_with(split_part(lower(canonical_name), ' ', 1), key)) THEN 2
+   WHEN contains(key, ' ') AND NOT contains(canonical_name, ' ') AND lower(canonical_name) = split_part(key, ' ', 1) THEN 3 END AS h FROM k JOIN entities e ON e.story_id = k.story_id),
+b AS (SELECT story_id, name, arg_min(id, (h, id)) FILTER (h IS NOT NULL) AS entity_id, min(h) AS h FROM x GROUP BY ALL)
+SELECT story_id, name, entity_id, (['name', 'given_name', 'upgrade'])[h] AS how FROM b""",
+    "ext_structural": f"""{SQL} SELECT id AS doc_id, 0::BIGINT AS ord, subject, predicate, object AS target, true AS polarity, 0.58::DOUBLE AS confidence, claim_text AS evidence, 'named_stance' AS rule,
+ claim_text || '.' AS claim, 'relationship_state' AS claim_type, 'soft' AS canon_level, 'structural' AS generation_origin FROM claims WHERE predicate IN ('trusts', 'distrusts', 'loves', 'hates')""",
+}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chapters, graph, store, validate
+from ..operators import chapters, entities, extraction, graph, store, validate
 from ..sources import manuscripts
 from ..streaming import edits
 from . import adapters as A
@@ -57,6 +57,26 @@ def _scalars(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    t = A.surfaces(spark, d).withColumn("t", entities.classify(F.col("name"), F.lit("It spoke."), F.col("role")))
+    return t.select("name", "role", "t.*", entities.graph_eligible(F.col("t.entity_type"), F.col("t.type_confidence")).alias("graph_eligible"))
+
+
+def _refined(spark: SparkSession, d: str) -> DataFrame:
+    e = A.entities(spark, d).select("id", "entity_type")
+    c = A.claims(spark, d).join(e.toDF("subject_entity_id", "s"), "subject_entity_id").join(e.toDF("object_entity_id", "o"), "object_entity_id")
+    return c.select("id", entities.refined_type(F.col("claim_type"), F.col("predicate"), F.col("s"), F.col("o")).alias("claim_type"))
+
+
+def _pov(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.for_pov(A.drafts(spark, d), F.col("pov")).select("id", "subject", "claim")
+
+
+def _redundant(spark: SparkSession, d: str) -> DataFrame:
+    x = A.drafts(spark, d)
+    return extraction.redundant(x.where("generation_origin = 'llm'"), x.where("generation_origin = 'structural'"))
+
+
 QUERIES: dict[str, Query] = {
     "adapter_scenes": A.scenes,
     "adapter_claims": A.claims,
@@ -89,4 +109,17 @@ QUERIES: dict[str, Query] = {
     "src_html_text": lambda s, d: _read("pages")(s, d).select("page_id", manuscripts.html_text(F.col("html")).alias("text")),
     "src_scene_split": lambda s, d: manuscripts.scenes(_read("pages")(s, d), "page_id", manuscripts.html_text(F.col("html"))),
     "stm_latest_edit": _over(edits.latest, _read("events")),
+    "ext_structural": lambda s, d: extraction.stances(A.claims(s, d), "id", "claim_text"),
+    "ext_structural_documents": _over(extraction.stances, _read("documents")),
+    "flt_reject_reason": lambda s, d: extraction.judged(A.drafts(s, d), F.col("pov")).select("id", "reject_reason"),
+    "str_pov": _pov,
+    "win_first_of_equal": lambda s, d: extraction.first_of_equal(A.drafts(s, d)).select("id", "scene_id"),
+    "agg_merged_sources": lambda s, d: extraction.merged_sources(A.drafts(s, d)).drop("ord"),
+    "joi_redundant_model": _redundant,
+    "joi_redundant_structural": lambda s, d: extraction.without_redundant_structural(A.drafts(s, d)).select("id"),
+    "cnd_names": _over(extraction.names, _read("documents")),
+    "txt_tokens": _over(extraction.tokens, _read("documents")),
+    "ent_types": _typed,
+    "ent_refined_claim_type": _refined,
+    "ent_resolved_names": _over(entities.resolved, A.mentions, A.entities),
 }
