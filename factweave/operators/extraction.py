@@ -78,6 +78,37 @@ def stances(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pov
     return x.withColumns({"claim": told, "claim_type": F.lit("relationship_state"), "canon_level": F.lit("soft"), "generation_origin": F.lit("structural")})
 
 
+#: name: (pattern, type, predicate, level, sentence before the subject's end, after the object's, confidence)
+_TWO = r"(\w+(?:\s+\w+)?)"
+PLAIN_RULES = {
+    "not_fully": (rf"{_TWO}\s+(?:still\s+)?did not fully trust\s+{_TWO}", "relationship_state", "distrusts", "active", " does not fully trust ", ".", 0.88),
+    "never_hurt": (rf"{_TWO}\s+(?:knew|believed)\s+(?:that\s+)?{_TWO}\s+would never hurt", "character_state", "believes", "active", " believes ", " will not hurt her.", 0.85),
+    "trusts": (rf"{_TWO}\s+trusts\s+{_TWO}", "relationship_state", "trusts", "active", " trusts ", ".", 0.90),
+    "distrusts": (rf"{_TWO}\s+(?:does not trust|distrusts)\s+{_TWO}", "relationship_state", "distrusts", "active", " distrusts ", ".", 0.88),
+    "deathless": (rf"{_TWO}\s+cannot be killed()", "world_rule", "cannot_be_killed", "core", " cannot be killed", ".", 0.92),
+}
+
+
+def plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The fallback rules where no model is at hand, in one pass; ord is their order in a text. Null and empty texts have none."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = {f"{name}_{g}": F.regexp_extract_all(text, F.lit(f"(?iU){rule[0]}"), F.lit(g)) for name, rule in PLAIN_RULES.items() for g in (0, 1, 2)}
+    d = docs.select(F.col(id_col).alias("doc_id"), *[c.alias(n) for n, c in found.items()])
+
+    def hits(name: str) -> Column:
+        _, kind, predicate, level, middle, end, confidence = PLAIN_RULES[name]
+
+        def hit(m: Column) -> Column:
+            who, what = F.trim(m[f"{name}_1"]), F.trim(m[f"{name}_2"])
+            told = F.concat(who, F.lit(middle), what, F.lit(end))
+            return F.struct(who.alias("subject"), F.lit(predicate).alias("predicate"), what.alias("target"), F.lit(kind).alias("claim_type"), F.lit(level).alias("canon_level"), F.lit(confidence).alias("confidence"), told.alias("claim"), F.substring(F.trim(m[f"{name}_0"]), 1, 200).alias("evidence"))
+
+        return F.transform(F.arrays_zip(*[f"{name}_{g}" for g in (0, 1, 2)]), hit)
+
+    x = d.select("doc_id", F.posexplode(F.concat(*[hits(n) for n in PLAIN_RULES])).alias("ord", "m"))
+    return x.select("doc_id", F.col("ord").cast("long").alias("ord"), "m.*", F.lit(True).alias("polarity"), F.lit("heuristic").alias("generation_origin"))
+
+
 def reject_reason(subject: Column, predicate: Column, target: Column, evidence: Column, pov: Column) -> Column:
     """Why a claim is a fragment: the first reason that holds, else null."""
     s, t, e = T.norm(subject), T.norm(target), T.norm(evidence)

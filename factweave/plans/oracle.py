@@ -180,3 +180,32 @@ SELECT story_id, name, entity_id, (['name', 'given_name', 'upgrade'])[h] AS how
     "ext_structural": f"""{SQL} SELECT id AS doc_id, 0::BIGINT AS ord, subject, predicate, object AS target, true AS polarity, 0.58::DOUBLE AS confidence, claim_text AS evidence, 'named_stance' AS rule,
  claim_text || '.' AS claim, 'relationship_state' AS claim_type, 'soft' AS canon_level, 'structural' AS generation_origin FROM claims WHERE predicate IN ('trusts', 'distrusts', 'loves', 'hates')""",
 }
+
+_TEXTS = "t AS (SELECT scene_id, string_agg(claim_text || '.', ' ' ORDER BY id) AS text FROM claims GROUP BY 1)"
+_WRITING = "WITH w AS (SELECT user_id AS doc_id, event_id AS issue_id, event_id * 37 % 5000 AS start, event_id % 60 + 1 AS length FROM events)"
+
+ORACLES |= {
+    "ext_plain": f"""{SQL} SELECT id AS doc_id, 0::BIGINT AS ord, subject, predicate, object AS target, 'relationship_state' AS claim_type, 'active' AS canon_level,
+ CASE predicate WHEN 'trusts' THEN 0.9::DOUBLE ELSE 0.88::DOUBLE END AS confidence, claim_text || '.' AS claim, claim_text AS evidence, true AS polarity, 'heuristic' AS generation_origin FROM claims WHERE predicate IN ('trusts', 'distrusts')""",
+    "evd_weighed": f"""{DRAFT_SQL}, x AS (SELECT id, anchored, length(evidence) < 20 AS weak, CASE WHEN NOT anchored THEN greatest(0.0::DOUBLE, confidence - 0.15::DOUBLE) WHEN length(evidence) < 20 THEN least(confidence, 0.75::DOUBLE) ELSE confidence END AS confidence FROM drafts)
+SELECT id, confidence, CASE WHEN NOT anchored OR weak OR (confidence >= 0.65::DOUBLE AND confidence < 0.9::DOUBLE) THEN 'needs_review' ELSE 'suggested' END AS review_status, 'high' AS importance FROM x""",
+    "evd_anchored": f"{SQL}, {_TEXTS} SELECT c.id, contains(text, evidence_text) OR (c.id % 2 = 0 AND contains(text, claim_text)) AS anchored FROM claims c JOIN t ON t.scene_id = c.scene_id",
+    "evd_spans": f"""{SQL}, {_TEXTS}, q AS (SELECT c.id, c.scene_id, text, CASE WHEN contains(text, evidence_text) THEN evidence_text ELSE claim_text END AS q FROM claims c JOIN t ON t.scene_id = c.scene_id)
+SELECT id, scene_id, instr(lower(text), lower(q)) - 1 AS start, length(q) AS length, substr(text, instr(lower(text), lower(q)), length(q)) AS anchor FROM q""",
+    "flt_strict": f"{DRAFT_SQL} SELECT id FROM drafts WHERE anchored OR generation_origin <> 'llm_recall'",
+    "mrg_canon": f"""{SQL}, k AS (SELECT *, ({_HASH.replace('END[1:32]', 'END)[1:32]')} AS h, {_MERGE} AS mk FROM claims WHERE subject_entity_id IS NOT NULL),
+o AS (FROM k WHERE id % 2 = 1 AND status IN ('approved', 'canonized') AND valid_until_scene IS NULL)
+SELECT n.id, coalesce(a.id, b.id) AS canon_id FROM k n LEFT JOIN (SELECT story_id, h, min(id) AS id FROM o GROUP BY ALL) a ON a.story_id = n.story_id AND a.h = n.h
+ LEFT JOIN (SELECT story_id, subject_entity_id AS s, object_entity_id AS ob, mk, polarity, min(id) AS id FROM o WHERE object_entity_id IS NOT NULL GROUP BY ALL) b
+ ON b.story_id = n.story_id AND b.s = n.subject_entity_id AND b.ob = n.object_entity_id AND b.mk = n.mk AND b.polarity = n.polarity WHERE n.id % 2 = 0""",
+    "ui_after_edit": f"""{_WRITING}, e AS (SELECT c_custkey AS doc_id, c_custkey * 11 % 5000 AS a, c_custkey % 9 AS gone, c_custkey % 7 AS new FROM customer)
+SELECT w.doc_id, issue_id, start + CASE WHEN a IS NOT NULL AND start >= a + gone THEN new - gone ELSE 0 END AS start, length FROM w LEFT JOIN e ON e.doc_id = w.doc_id WHERE a IS NULL OR NOT (start < a + gone AND start + length > a)""",
+    "ui_issue_at": f"""{_WRITING}, c AS (SELECT DISTINCT doc_id, start + 5 AS "offset" FROM w)
+SELECT c.doc_id, c."offset", arg_min(issue_id, (length, issue_id)) AS issue_id FROM c JOIN w ON w.doc_id = c.doc_id AND c."offset" >= start AND c."offset" < start + length GROUP BY ALL""",
+    "ui_segments": f"""{_WRITING}, p AS (SELECT DISTINCT doc_id, unnest([start, start + length]) AS start FROM w), s AS (SELECT *, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS "end" FROM p)
+SELECT s.doc_id, s.start, s."end", count(*) AS depth FROM s JOIN w ON w.doc_id = s.doc_id AND w.start <= s.start AND w.start + w.length >= s."end" GROUP BY ALL""",
+    "ui_confidence_label": f"{SQL} SELECT id, CASE WHEN confidence >= 0.9::DOUBLE THEN '✓' WHEN confidence >= 0.65::DOUBLE THEN '○' ELSE '⚠' END || ' ' || floor(confidence * 100 + 0.5::DOUBLE)::BIGINT || '%' AS label FROM claims",
+    "ui_origins": f"{DRAFT_SQL}, n AS (SELECT scene_id, generation_origin AS o, count(*) AS n FROM drafts GROUP BY ALL) SELECT scene_id, string_agg(o || ': ' || n, ', ' ORDER BY n DESC, o) AS origins FROM n GROUP BY 1",
+}
+ORACLES["ui_circle"] = f"""WITH nd AS ({ORACLES["gra_nodes"]}), a AS (SELECT *, 2 * pi() * (row_number() OVER (PARTITION BY story_id ORDER BY importance_score DESC, lower(label), entity_id) - 1) / count(*) OVER (PARTITION BY story_id) - pi() / 2 AS a FROM nd)
+SELECT story_id, entity_id, round(220.0::DOUBLE * cos(a), 2) AS x, round(220.0::DOUBLE * sin(a), 2) AS y FROM a"""

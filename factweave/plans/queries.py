@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chapters, entities, extraction, graph, store, validate
+from ..operators import chapters, editor, entities, evidence, extraction, graph, merge, store, validate
 from ..sources import manuscripts
 from ..streaming import edits
 from . import adapters as A
@@ -77,6 +77,52 @@ def _redundant(spark: SparkSession, d: str) -> DataFrame:
     return extraction.redundant(x.where("generation_origin = 'llm'"), x.where("generation_origin = 'structural'"))
 
 
+def _weighed(spark: SparkSession, d: str) -> DataFrame:
+    x = A.drafts(spark, d)
+    told = evidence.weighed(F.col("confidence"), F.col("anchored"), F.col("evidence"), F.lit(None).cast("string"), F.lit("high"))
+    return x.select("id", told.alias("w")).select("id", "w.*")
+
+
+def _anchored(spark: SparkSession, d: str) -> DataFrame:
+    c = A.claims(spark, d).join(_claim_scenes(spark, d).toDF("scene_id", "text"), "scene_id")
+    return c.select("id", evidence.anchored(F.col("text"), F.col("evidence_text"), F.when(F.col("id") % 2 == 0, F.col("claim_text"))).alias("anchored"))
+
+
+def _claim_scenes(spark: SparkSession, d: str) -> DataFrame:
+    """Scenes that tell their claims, one sentence each."""
+    c = A.claims(spark, d).groupBy("scene_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "claim_text"))), lambda x: F.concat(x["claim_text"], F.lit("."))), " ").alias("text"))
+    return c.select(F.col("scene_id").alias("id"), "text")
+
+
+def _split_claims(spark: SparkSession, d: str, new: bool) -> DataFrame:
+    """Claims with a subject id: those of odd ids are stored, those of even ids newly extracted."""
+    return A.claims(spark, d).where("subject_entity_id is not null").where(F.col("id") % 2 == (0 if new else 1)).withColumn("ord", F.col("id"))
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    return merge.merged(_split_claims(spark, d, False), _split_claims(spark, d, True))
+
+
+def _canon(spark: SparkSession, d: str) -> DataFrame:
+    s = merge.keyed(_split_claims(spark, d, False))
+    return merge.with_canon(merge.keyed(_split_claims(spark, d, True)), s).select("id", "canon_id")
+
+
+def _writing(spark: SparkSession, d: str) -> DataFrame:
+    """Issues of writing at places given by the events: user_id stands for the text."""
+    e = _read("events")(spark, d)
+    return e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("issue_id"), (F.col("event_id") * 37 % 5000).alias("start"), (F.col("event_id") % 60 + 1).alias("length"))
+
+
+def _after_edit(spark: SparkSession, d: str) -> DataFrame:
+    c = _read("customer")(spark, d).select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") * 11 % 5000).alias("at"), (F.col("c_custkey") % 9).alias("removed"), (F.col("c_custkey") % 7).alias("added"))
+    return editor.after_edit(_writing(spark, d), c)
+
+
+def _issue_at(spark: SparkSession, d: str) -> DataFrame:
+    return editor.issue_at(_writing(spark, d), _writing(spark, d).select("doc_id", (F.col("start") + 5).alias("offset")).distinct())
+
+
 QUERIES: dict[str, Query] = {
     "adapter_scenes": A.scenes,
     "adapter_claims": A.claims,
@@ -122,4 +168,17 @@ QUERIES: dict[str, Query] = {
     "ent_types": _typed,
     "ent_refined_claim_type": _refined,
     "ent_resolved_names": _over(entities.resolved, A.mentions, A.entities),
+    "ext_plain": lambda s, d: extraction.plain(A.claims(s, d), "id", "claim_text"),
+    "evd_weighed": _weighed,
+    "evd_anchored": _anchored,
+    "evd_spans": lambda s, d: evidence.spans(A.claims(s, d), _claim_scenes(s, d)),
+    "flt_strict": lambda s, d: evidence.strict(A.drafts(s, d)).select("id"),
+    "mrg_ordered": _merged,
+    "mrg_canon": _canon,
+    "ui_after_edit": _after_edit,
+    "ui_issue_at": _issue_at,
+    "ui_segments": lambda s, d: editor.segments(_writing(s, d)),
+    "ui_confidence_label": lambda s, d: A.claims(s, d).select("id", editor.confidence_label(F.col("confidence")).alias("label")),
+    "ui_circle": lambda s, d: editor.circle(graph.nodes(A.claims(s, d), A.scenes(s, d), A.entities(s, d))),
+    "ui_origins": lambda s, d: editor.origins_told(A.drafts(s, d)),
 }
