@@ -8,7 +8,7 @@ from factweave.plans import oracle, queries
 from factweave.sources import manuscripts
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "lineitem", "orders", "customer", "supplier", "part", "events", "pages", "benchmark", "labels")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @pytest.fixture(scope="module")
