@@ -63,7 +63,7 @@ def refined_type(claim_type: Column, predicate: Column, subject_type: Column, ob
     return F.when(relational & (subject_type == "character"), F.coalesce(target, own)).otherwise(own)
 
 
-def _significant(key: Column) -> Column:
+def significant(key: Column) -> Column:
     return F.filter(F.split(key, " "), lambda w: ~w.contains("'") & ~w.isin(*V.NAME_STOPWORDS) & (F.length(w) >= 3))
 
 
@@ -79,13 +79,13 @@ def resolved(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     aliases = c("aliases") if "aliases" in entities.columns else F.array().cast("array<string>")
     surfaces = F.filter(F.transform(F.concat(F.array("canonical_name"), F.coalesce(aliases, F.array().cast("array<string>"))), T.norm), lambda k: k != "")
     e = entities.select("story_id", "id", T.norm(c("canonical_name")).alias("canon"), F.explode(surfaces).alias("surface"))
-    given = F.get(_significant(c("surface")), F.lit(0))
+    given = F.get(significant(c("surface")), F.lit(0))
     endings = F.transform(F.sequence(F.lit(1), F.greatest(F.length("given") - 3, F.lit(1))), lambda i: F.substring(c("given"), i, F.length("given")))
     by_end = e.select("story_id", "id", given.alias("given")).where("given is not null").select("story_id", "id", F.explode(endings).alias("k"))
-    short = e.select("story_id", "id", _significant(c("canon")).alias("w")).where("size(w) = 1").select("story_id", "id", F.get("w", F.lit(0)).alias("k"))
+    short = e.select("story_id", "id", significant(c("canon")).alias("w")).where("size(w) = 1").select("story_id", "id", F.get("w", F.lit(0)).alias("k"))
     lowest = lambda df, key, name: df.groupBy("story_id", key).agg(F.min("id").alias(name)).withColumnRenamed(key, "k")
     one = F.size(F.split("key", " ")) == 1
-    parts = _significant(c("key"))
+    parts = significant(c("key"))
     m = m.withColumns({"k1": F.when(c("key") != "", c("key")), "k2": F.when(one, F.get(parts, F.lit(0))), "k3": F.when(~one & (F.size(parts) >= 2), F.get(parts, F.lit(0)))})
     for k, table in (("k1", lowest(e, "surface", "e1")), ("k2", lowest(by_end, "k", "e2")), ("k3", lowest(short, "k", "e3"))):
         m = m.join(table.withColumnRenamed("k", k), ["story_id", k], "left")

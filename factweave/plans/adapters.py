@@ -100,6 +100,16 @@ DRAFT_PREDICATES = ("loves", "speaks_with", "mother_of", "detested", "trusts", "
 DRAFT_TARGETS = ("Teo", "her brother", "the sun and", "getting full", "blue", "Stonefield", "narrator", "Orin Vale", "old Teo")
 DRAFT_ORIGINS = ("structural", "llm", "fastus", "llm_recall")
 SURFACES = ("Water", "rainwater", "the beach", "my mom", "The King", "King's Road", "Red Castle", "soldiers", "her wide", "Jan de Vries", "forest", "sea", "old trees", "USA", "parka", "dog", "Isolde", "")
+CAST = ("Mara Venn", "Mara", "mara  venn", "Isolde", "solde", "the Isolde", "Orin Vale", "Orin Stone", "Orin", "Narrator", "Teo", "Justine Teo", "Justine", "tine", "my", "Dr. Ash", "Ash")
+LETTERS = (
+    "My mother was late. Renee had Phil, and my dad, Charlie, knew.",
+    "He was not my father! My pa left. I exiled myself to Forks.",
+    "Charlie was awkward near Charlie. I already bought it for you, he said.",
+    "Billy Black is in a wheelchair and cannot drive anymore. Charlie is Police Chief Swan.",
+    "Nobody came. My mum was never my mom.",
+    "He was pleased that I was coming. She had Phil.",
+    "",
+)
 MENTIONS = ("Mara", "venn", "isolde", "solde", "Orin", "Teo Marr", "Vale", "Justice League", "Ash", "stonefield", "I", "Orin  Vale")
 
 
@@ -134,6 +144,26 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stories(spark, sf_dir).select(F.col("id").alias("story_id"), F.explode(F.array(*[F.lit(m) for m in MENTIONS])).alias("name"))
 
 
+def cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of each story, some under several names; ids are story * 100 + place in CAST."""
+    e = stories(spark, sf_dir).select(F.col("id").alias("story_id"), F.posexplode(F.array(*[F.lit(n) for n in CAST])).alias("k", "canonical_name"))
+    return e.select((F.col("story_id") * 100 + F.col("k") + 1).alias("id"), "story_id", "canonical_name", F.lit("character").alias("entity_type"), F.array(F.col("canonical_name"), F.lit("friend")).alias("aliases"), (F.col("k") % 3 == 0).alias("graph_eligible"))
+
+
+def cast_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims between characters of cast(), one an order."""
+    o = _table(spark, sf_dir, "orders")
+    s, t = F.col("o_orderkey") % len(CAST), (F.col("o_orderkey") * 7 + F.col("o_custkey")) % len(CAST)
+    place = lambda n: F.col("o_custkey") * 100 + n + 1
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("story_id"), place(s).alias("subject_entity_id"), place(t).alias("object_entity_id"), _pick(CAST, s + 1).alias("subject"), _pick(CAST, t + 1).alias("object"))
+
+
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short texts of a narrator, one an order; every third story has no point of view."""
+    o = _table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("doc_id"), _pick(LETTERS, F.col("o_orderkey") % len(LETTERS) + 1).alias("text"), F.when(F.col("o_custkey") % 3 > 0, "Isolde").alias("pov"))
+
+
 _quoted = lambda values: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 #: drafts() for DuckDB: put before a query.
@@ -149,3 +179,11 @@ SURFACE_SQL = f"""
 WITH names AS (SELECT p_name AS name FROM part UNION SELECT n_name FROM nation UNION SELECT s_name FROM supplier UNION SELECT unnest({_quoted(SURFACES)})),
 surfaces AS (SELECT name, CASE WHEN length(name) % 2 = 0 THEN 'object' ELSE 'subject' END AS role FROM names)
 """
+CAST_SQL = f"""
+WITH RECURSIVE cast_names AS (SELECT unnest({_quoted(CAST)}) AS canonical_name, unnest(generate_series(1, {len(CAST)})) AS k),
+cast0 AS (SELECT c_custkey * 100 + k AS id, c_custkey AS story_id, canonical_name, k % 3 = 1 AS graph_eligible FROM customer, cast_names),
+cast_claims AS (SELECT o_orderkey AS id, o_custkey AS story_id, o_custkey * 100 + o_orderkey % {len(CAST)} + 1 AS s, o_custkey * 100 + (o_orderkey * 7 + o_custkey) % {len(CAST)} + 1 AS t FROM orders)
+"""
+LETTER_SQL = f"""
+WITH letters AS (SELECT o_orderkey AS doc_id, ({_quoted(LETTERS)})[o_orderkey % {len(LETTERS)} + 1] AS text, CASE WHEN o_custkey % 3 > 0 THEN 'Isolde' END AS pov FROM orders)
+"""

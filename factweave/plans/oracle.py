@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..functions import vocab as V
-from .adapters import DRAFT_SQL, MENTIONS, SQL, SURFACE_SQL, _list
+from ..operators.kin import CAST, DENIED, FACTS, ONCE, PARENTS
+from .adapters import CAST_SQL, DRAFT_SQL, LETTER_SQL, MENTIONS, SQL, SURFACE_SQL, _list
 
 _in = lambda values: "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
 _norm = lambda x: f"trim(regexp_replace(lower(coalesce({x}, '')), '\\s+', ' ', 'g'))"
@@ -209,3 +210,52 @@ SELECT s.doc_id, s.start, s."end", count(*) AS depth FROM s JOIN w ON w.doc_id =
 }
 ORACLES["ui_circle"] = f"""WITH nd AS ({ORACLES["gra_nodes"]}), a AS (SELECT *, 2 * pi() * (row_number() OVER (PARTITION BY story_id ORDER BY importance_score DESC, lower(label), entity_id) - 1) / count(*) OVER (PARTITION BY story_id) - pi() / 2 AS a FROM nd)
 SELECT story_id, entity_id, round(220.0::DOUBLE * cos(a), 2) AS x, round(220.0::DOUBLE * sin(a), 2) AS y FROM a"""
+
+# Of these names the first earlier one that matches is always one that stays.
+_FOLDS = f"""{CAST_SQL}, k AS (SELECT *, {_norm("canonical_name")} AS key, list_filter(string_split({_norm("canonical_name")}, ' '), lambda w: length(w) >= 3 AND NOT contains(w, '''') AND w NOT IN {_in(V.NAME_STOPWORDS)}) AS w FROM cast0),
+p AS (SELECT *, w[1] AS g, len(w) = 1 AS one, (-len(w), -length(canonical_name), id) AS place FROM k WHERE key NOT IN {_in(V.PLACEHOLDERS)}),
+f AS (SELECT b.story_id, b.id, a.id AS winner_id FROM p a JOIN p b ON a.story_id = b.story_id AND a.place < b.place
+ AND (a.key = b.key OR ((a.one OR b.one) AND a.g = b.g) OR (b.one AND length(b.g) >= 4 AND ends_with(a.g, b.g)) OR (a.one AND length(a.g) >= 4 AND ends_with(b.g, a.g)))
+ QUALIFY row_number() OVER (PARTITION BY b.id ORDER BY a.place) = 1)"""
+
+ORACLES |= {
+    "ent_folds": f"{_FOLDS} FROM f",
+    "ent_folded": f"""{_FOLDS}, a AS (SELECT id AS w, place AS o, 0 AS side, unnest([canonical_name, 'friend']) AS n, unnest([1, 2]) AS nth FROM p
+ UNION ALL SELECT winner_id, p.place, 1, unnest([p.canonical_name, 'friend', p.canonical_name]), unnest([1, 2, 3]) FROM f JOIN p ON p.id = f.id),
+b AS (SELECT a.w, n, side, o, nth FROM a JOIN p ON p.id = a.w WHERE {_norm("n")} <> p.key QUALIFY row_number() OVER (PARTITION BY a.w, {_norm("n")} ORDER BY side, o, nth) = 1),
+c AS (SELECT w, string_agg(trim(n), ',' ORDER BY side, o, nth) AS aliases FROM b GROUP BY 1)
+SELECT e.id, e.story_id, e.canonical_name, CASE WHEN e.id IN (SELECT winner_id FROM f) THEN c.aliases ELSE e.canonical_name || ',friend' END AS aliases,
+ e.graph_eligible OR EXISTS (FROM f JOIN cast0 l ON l.id = f.id WHERE f.winner_id = e.id AND l.graph_eligible) AS graph_eligible
+ FROM cast0 e LEFT JOIN c ON c.w = e.id WHERE e.id NOT IN (SELECT id FROM f)""",
+    "ent_repointed": f"""{_FOLDS} SELECT c.id, c.story_id, a.id AS subject_entity_id, b.id AS object_entity_id, a.canonical_name AS subject, b.canonical_name AS object FROM cast_claims c
+ LEFT JOIN f fa ON fa.id = c.s LEFT JOIN f fb ON fb.id = c.t JOIN cast0 a ON a.id = coalesce(fa.winner_id, c.s) JOIN cast0 b ON b.id = coalesce(fb.winner_id, c.t)""",
+}
+
+
+def _family() -> str:
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    plain = lambda p: text(p.replace("(?iU)", "(?i)").replace("(?U)", ""))
+    role = {r: "CASE " + " ".join(f"WHEN regexp_matches(text, {plain(p)}) THEN {text(n)}" for p, n in found) + " END" for r, found in CAST.items()}
+    unnamed = {"mom": "Renée", "phil": "Phil", "billy": "Billy Black"}
+    end = lambda n: "pov" if n == "I" else f"coalesce({n}, {text(unnamed[n])})" if n in unnamed else text(n)
+    hits = lambda of, p, g: f"regexp_extract_all({of}, {text(p)}, {g})"
+    parts = []
+    for i, (pattern, who, none, predicate, noun) in enumerate(PARENTS):
+        p = "(?i)" + pattern
+        hit = f"SELECT *, unnest({hits('s', p, 0)}) AS a, unnest({hits('s', p, 1)}) AS named, generate_subscripts({hits('s', p, 0)}, 1) AS m FROM se"
+        hit = f"(SELECT *, coalesce(nullif(trim(named), ''), {who}, {text(none)}) AS pa, CASE WHEN regexp_matches(s, {plain(DENIED)}) THEN ' is not the ' ELSE ' is the ' END AS v FROM ({hit}))"
+        for j, (s, t, p, what) in enumerate((("pov", "pa", "daughter_of", "daughter"), ("pa", "pov", predicate, noun))):
+            parts.append(f"SELECT doc_id, {i} AS rule, si, m, {j} AS part, {s} AS subject, '{p}' AS predicate, {t} AS target, v = ' is the ' AS polarity, 0.78::DOUBLE AS confidence, a[1:200] AS evidence, {s} || v || '{what} of ' || {t} || '.' AS claim, 'relationship_state' AS claim_type FROM {hit}")
+    for i, (pattern, s, predicate, t, claim, kind, sure, longest) in enumerate(FACTS, len(PARENTS)):
+        p = "(?is)" + pattern
+        hit = f"(SELECT *, unnest({hits('text', p, 0)}) AS a, generate_subscripts({hits('text', p, 0)}, 1) AS m FROM l)"
+        shown = "pov" if "I" in (s, t) else end(s)
+        parts.append(f"SELECT doc_id, {i}, 0, m, 0, {end(s)}, '{predicate}', {end(t)}, true, {sure}::DOUBLE, a[1:{longest}], replace({text(claim)}, '%s', {shown}), '{kind}' FROM {hit}")
+    for i, (patterns, s, predicate, t, claim, kind, sure, evidence) in enumerate(ONCE, len(PARENTS) + len(FACTS)):
+        parts.append(f"SELECT doc_id, {i}, 0, 0, 0, {end(s)}, '{predicate}', {end(t)}, true, {sure}::DOUBLE, {text(evidence)}, replace({text(claim)}, '%s', {end(s)}), '{kind}' FROM l WHERE " + " AND ".join(f"regexp_matches(text, {plain(p)})" for p in patterns))
+    return f"""{LETTER_SQL}, l AS (SELECT *, {", ".join(f"{v} AS {r}" for r, v in role.items())} FROM letters), se AS (SELECT *, unnest(regexp_split_to_array(text, '[.!?]+')) AS s, generate_subscripts(regexp_split_to_array(text, '[.!?]+'), 1) AS si FROM l),
+x AS ({" UNION ALL ".join(parts)})
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rule, si, m, part) - 1 AS ord, subject, predicate, target, polarity, confidence, evidence, claim, claim_type, 'active' AS canon_level, 'family' AS generation_origin FROM x WHERE subject IS NOT NULL AND target IS NOT NULL"""
+
+
+ORACLES["ext_family"] = _family()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chapters, editor, entities, evidence, extraction, graph, merge, store, validate
+from ..operators import chapters, editor, entities, evidence, extraction, folding, graph, kin, merge, store, validate
 from ..sources import manuscripts
 from ..streaming import edits
 from . import adapters as A
@@ -123,6 +123,16 @@ def _issue_at(spark: SparkSession, d: str) -> DataFrame:
     return editor.issue_at(_writing(spark, d), _writing(spark, d).select("doc_id", (F.col("start") + 5).alias("offset")).distinct())
 
 
+def _folded(spark: SparkSession, d: str) -> DataFrame:
+    e = A.cast(spark, d)
+    return folding.folded(e, folding.folds(e)).select("id", "story_id", "canonical_name", F.array_join("aliases", ",").alias("aliases"), "graph_eligible")
+
+
+def _repointed(spark: SparkSession, d: str) -> DataFrame:
+    e = A.cast(spark, d)
+    return folding.repointed(A.cast_claims(spark, d), e, folding.folds(e))
+
+
 QUERIES: dict[str, Query] = {
     "adapter_scenes": A.scenes,
     "adapter_claims": A.claims,
@@ -168,6 +178,10 @@ QUERIES: dict[str, Query] = {
     "ent_types": _typed,
     "ent_refined_claim_type": _refined,
     "ent_resolved_names": _over(entities.resolved, A.mentions, A.entities),
+    "ent_folds": lambda s, d: folding.folds(A.cast(s, d)),
+    "ent_folded": _folded,
+    "ent_repointed": _repointed,
+    "ext_family": lambda s, d: kin.facts(A.letters(s, d), pov_col="pov"),
     "ext_plain": lambda s, d: extraction.plain(A.claims(s, d), "id", "claim_text"),
     "evd_weighed": _weighed,
     "evd_anchored": _anchored,
