@@ -163,3 +163,31 @@ RELATIONAL = (
     "son_of", "mother_of", "father_of", "partner_of", "knows", "bought_gift_for", "awkward_with",
 )
 NAME_STOPWORDS = ("the", "of", "a", "an", "my", "her", "his", "their", "mr", "mrs", "ms", "dr")
+
+# Candidates from prose: fixed values.
+KIN_TERMS = (
+    "father", "mother", "dad", "mom", "mum", "pa", "papa", "daddy", "mama", "mommy", "mammy", "parent", "parents", "son", "daughter",
+    "child", "children", "brother", "sister", "sibling", "grandfather", "grandmother", "grandpa", "grandma", "granny", "nan", "nana",
+    "grandson", "granddaughter", "grandchild", "uncle", "aunt", "auntie", "nephew", "niece", "cousin", "husband", "wife", "spouse",
+    "fiance", "fiancée", "partner", "boyfriend", "girlfriend", "lover", "sweetheart", "stepfather", "stepmother", "stepdad", "stepmom",
+    "stepson", "stepdaughter", "stepbrother", "stepsister", "stepparent", "stepchild", "father-in-law", "mother-in-law",
+    "brother-in-law", "sister-in-law", "son-in-law", "daughter-in-law", "in-law", "guardian", "ward", "adoptive father",
+    "adoptive mother", "adoptive parent", "adopted son", "adopted daughter", "adopted child", "foster father", "foster mother",
+    "foster parent", "foster son", "foster daughter", "foster child",
+)
+#: Terms told by another's name; the others are their own, hyphens as underscores.
+KIN_SAME = {
+    "dad": "father", "pa": "father", "papa": "father", "daddy": "father", "mom": "mother", "mum": "mother", "mama": "mother",
+    "mommy": "mother", "mammy": "mother", "parents": "parent", "children": "child", "grandpa": "grandfather", "grandma": "grandmother",
+    "stepdad": "stepfather", "stepmom": "stepmother",
+}
+FEELINGS = (
+    "afraid", "jealous", "angry", "furious", "sad", "happy", "confused", "worried", "anxious", "embarrassed", "ashamed", "proud", "lonely",
+    "heartbroken", "devoted", "resentful", "grateful", "uncomfortable", "comfortable", "curious", "hopeful", "suspicious", "fearful",
+)
+FELT_FOR = ("uncomfortable", "jealous", "angry", "afraid", "suspicious", "curious", "happy", "sad")
+FELT_VERBS = ("trust", "trusted", "love", "loved", "hate", "hated", "fear", "feared", "miss", "missed", "distrust", "distrusted")
+NARRATING = ("i", "me", "myself", "my", "mine")
+THIRD_PERSON = ("he", "him", "his", "she", "her", "hers", "they", "them", "their", "theirs")
+OBJECT_FILLERS = ("at", "all", "either", "anymore", "too", "yet", "still", "even", "just")
+TIME_MARKS = r"(?iU)\b(?:yesterday|today|tomorrow|last\s+(?:night|week|month|year|summer|winter)|next\s+(?:day|week|month|year)|before|after|when|then|always|years?\s+ago)\b"

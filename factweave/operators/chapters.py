@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS, OVERLAP, SINGLE = 1500, 200, 3000
@@ -20,13 +20,26 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return x.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.when(F.col("n") <= SINGLE, F.col("n")).otherwise(F.least(F.lit(WORDS), F.col("n") - F.col("s"))).cast("long").alias("n_words"), part.alias("chunk"))
 
 
+def places(text: Column, pattern: str) -> Column:
+    """Where the matches of a pattern start, counted in characters from 0."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    zipped = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"))
+
+    def step(a: Column, z: Column) -> Column:
+        start = a["at"] + F.length(z["g"])
+        return F.struct((start + F.length(z["m"])).alias("at"), F.concat(a["out"], F.array(start)).alias("out"))
+
+    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
+
+
+def sentence_array(text: Column) -> Column:
+    """array<struct<start, sentence>>: pieces between end marks, blank ones among them."""
+    pattern = r"[^.!?]+(?:[.!?]+|$)"
+    return F.arrays_zip(places(text, pattern).alias("start"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("sentence"))
+
+
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per sentence with its place and offsets; pieces between end marks, blank ones left out."""
-    pattern = r"[^.!?]+(?:[.!?]+|$)"
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    d = docs.select(F.col(id_col).alias("doc_id"), found.alias("m"), gaps.alias("g"))
-    x = d.select("doc_id", F.aggregate(F.arrays_zip("m", "g"), F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,sentence:string>>").alias("out")), lambda a, z: F.struct((a["at"] + F.length(F.coalesce(z["g"], F.lit(""))) + F.length(F.coalesce(z["m"], F.lit("")))).alias("at"), F.when(z["m"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct((a["at"] + F.length(z["g"])).alias("start"), z["m"].alias("sentence"))))).alias("out")))["out"].alias("s"))
+    x = docs.select(F.col(id_col).alias("doc_id"), sentence_array(F.coalesce(F.col(text_col), F.lit(""))).alias("s"))
     y = x.select("doc_id", F.posexplode("s").alias("i", "s")).where(F.trim(F.regexp_replace("s.sentence", r"\s+", " ")) != "")
     return y.select("doc_id", F.col("i").cast("long").alias("sentence_index"), F.col("s.start").cast("long").alias("start"), F.length("s.sentence").cast("long").alias("length"))

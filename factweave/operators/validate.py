@@ -32,13 +32,15 @@ def prepared(claims: DataFrame, scenes: DataFrame, entities: DataFrame) -> DataF
 _KEEP = ("id", "story_id", "scene_id", "scene_number", "subject", "predicate", "object", "polarity", "is_major_plotline", "cp", "stance", "place", "is_place", "told", "subject_key", "object_key", "sid", "oid")
 
 
-def pairs(prep: DataFrame) -> DataFrame:
-    """(n, o): a claim and an open accepted claim of an earlier scene about the same subject.
+def pairs(prep: DataFrame, scenes: DataFrame | None = None) -> DataFrame:
+    """(n, o): a claim, of the given scenes (scene_id) if any are given, and an open accepted claim of an earlier scene about the
+    same subject.
 
     The subject test is by ids where both have one, else by name; it's split into equi-joins, so
     no story's claims meet in a nested loop, and a large story is split by adaptive execution.
     """
-    new = prep.where(F.col("status").isin(*V.CURRENT_CHECK)).select(F.struct(*_KEEP).alias("n"))
+    checked = prep if scenes is None else prep.join(scenes.select("scene_id"), "scene_id", "left_semi")
+    new = checked.where(F.col("status").isin(*V.CURRENT_CHECK)).select(F.struct(*_KEEP).alias("n"))
     old = prep.where(F.col("status").isin(*V.PAST_CANON) & F.col("valid_until_scene").isNull()).select(F.struct(*_KEEP).alias("o"))
     before = (F.col("n.story_id") == F.col("o.story_id")) & (F.col("o.scene_number") < F.col("n.scene_number"))
     named = F.col("n.subject_key") == F.col("o.subject_key")
@@ -55,8 +57,8 @@ def _opposed(a: Column, b: Column) -> Column:
     return (a != b) & ~family & (named | either(V.APPROACHING, V.AVOIDING) | either(V.POSITIVE, V.NEGATIVE))
 
 
-def issues(prep: DataFrame) -> DataFrame:
-    """A row for each issue; a pair can raise two."""
+def issues(prep: DataFrame, scenes: DataFrame | None = None) -> DataFrame:
+    """A row for each issue, of the given scenes if any are given; a pair can raise two."""
     n, o = lambda c: F.col(f"n.{c}"), lambda c: F.col(f"o.{c}")
     same_object = F.when(n("oid").isNotNull() & o("oid").isNotNull(), n("oid") == o("oid")).otherwise(n("object_key") == o("object_key"))
     same = n("cp") == o("cp")
@@ -85,5 +87,5 @@ def issues(prep: DataFrame) -> DataFrame:
             issue(opposed, "predicate_opposition", "soft_tension", "Scene ", scene, " conflicts with an earlier claim about ", n("subject"), " and ", n("object"), ": earlier '", o("predicate"), "', now '", n("predicate"), "'."),
         )
     )
-    rows = pairs(prep).select(n("story_id").alias("story_id"), n("scene_id").alias("scene_id"), n("id").alias("current_claim_id"), o("id").alias("conflicting_claim_id"), F.when(major, "high").otherwise("medium").alias("severity"), F.explode(found).alias("i"))
+    rows = pairs(prep, scenes).select(n("story_id").alias("story_id"), n("scene_id").alias("scene_id"), n("id").alias("current_claim_id"), o("id").alias("conflicting_claim_id"), F.when(major, "high").otherwise("medium").alias("severity"), F.explode(found).alias("i"))
     return rows.select("story_id", "scene_id", "current_claim_id", "conflicting_claim_id", "severity", "i.*")

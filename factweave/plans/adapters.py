@@ -164,6 +164,31 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("doc_id"), _pick(LETTERS, F.col("o_orderkey") % len(LETTERS) + 1).alias("text"), F.when(F.col("o_custkey") % 3 > 0, "Isolde").alias("pov"))
 
 
+TALES = (
+    "Phil was my dad. My father did not trust Phil at all.",
+    "I loved Renee. I was not afraid of Mara Venn! That is her old house",
+    "She hates her brother. He went to Stonefield from Orin Vale",
+    "Yesterday I missed my old house. Teo feared Justice.",
+    "Mara Venn was not my mother. Mom loved dad. It wasn't my step.",
+    "",
+    "Teo trusted you still. They never hated him... Isolde was jealous of the Sea",
+    "My Father-in-law was my father. Ash was happy with Teo and ash was happy with teo. Ash was happy with Teo.",
+    "Isolde was never my aunt. Teo was my pa! I feared the Stonefield kingdom. I did not miss me either.",
+)
+
+
+def tales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short texts of phrases and relations, one an order; every third story has no point of view."""
+    o = _table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("doc_id"), _pick(TALES, F.col("o_orderkey") % len(TALES) + 1).alias("text"), F.when(F.col("o_custkey") % 3 > 0, "Isolde").alias("pov"))
+
+
+def told_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names told in a story, in their order: an order each, of CAST and MENTIONS."""
+    o, pool = _table(spark, sf_dir, "orders"), CAST + MENTIONS + SURFACES
+    return o.select(F.col("o_custkey").alias("story_id"), F.col("o_orderkey").alias("ord"), _pick(pool, F.col("o_orderkey") * 5 % len(pool) + 1).alias("name"))
+
+
 _quoted = lambda values: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 #: drafts() for DuckDB: put before a query.
@@ -187,3 +212,6 @@ cast_claims AS (SELECT o_orderkey AS id, o_custkey AS story_id, o_custkey * 100
 LETTER_SQL = f"""
 WITH letters AS (SELECT o_orderkey AS doc_id, ({_quoted(LETTERS)})[o_orderkey % {len(LETTERS)} + 1] AS text, CASE WHEN o_custkey % 3 > 0 THEN 'Isolde' END AS pov FROM orders)
 """
+TALE_SQL = f"""
+WITH tales AS (SELECT o_orderkey AS doc_id, ({_quoted(TALES)})[o_orderkey % {len(TALES)} + 1] AS text, CASE WHEN o_custkey % 3 > 0 THEN 'Isolde' END AS pov FROM orders)
+"""

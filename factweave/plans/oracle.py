@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from ..functions import vocab as V
+from ..operators.candidates import PHRASES, RELATIONS
 from ..operators.kin import CAST, DENIED, FACTS, ONCE, PARENTS
-from .adapters import CAST_SQL, DRAFT_SQL, LETTER_SQL, MENTIONS, SQL, SURFACE_SQL, _list
+from .adapters import CAST_SQL, DRAFT_SQL, LETTER_SQL, MENTIONS, SQL, SURFACE_SQL, TALE_SQL, _list
 
 _in = lambda values: "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
 _norm = lambda x: f"trim(regexp_replace(lower(coalesce({x}, '')), '\\s+', ' ', 'g'))"
@@ -137,6 +138,13 @@ _FAMILY = _case("lower(predicate)", {v: f for f, vs in V.FAMILIES.items() for v
 _TOLD = f"""{DRAFT_SQL}, k AS (SELECT *, lower(subject) AS s, lower(evidence) AS e, lower(target) AS t, {_FAMILY} AS f, list_filter(string_split(lower(target), ' '), lambda w: length(w) > 2) AS w FROM drafts)"""
 _SAME = "a.scene_id = b.scene_id AND a.s = b.s AND (contains(a.e, b.e) OR contains(b.e, a.e) OR (a.f = b.f AND (list_has_any(a.w, b.w) OR contains(a.t, b.t) OR contains(b.t, a.t))))"
 _KEY = "lower(name)"
+#: Kind and confidence of `name` in the role `role`.
+_KIND = rf"""CASE WHEN {_KEY} = '' THEN 'concept 0.3' WHEN {_KEY} IN {_in(V.KNOWN_PLACES)} THEN 'place 0.9' WHEN {_KEY} IN {_in(V.OBJECTS)} THEN 'object 0.88' WHEN {_KEY} IN {_in(V.ANIMALS)} THEN 'animal 0.88'
+ WHEN {_KEY} IN {_in(V.CONCEPTS)} THEN 'concept 0.92' WHEN regexp_matches({_KEY}, '({_alt(V.CONCEPTS)})$') THEN 'concept 0.85' WHEN regexp_matches({_KEY}, '^(my )?({_alt(V.PARENTS)})\b') OR regexp_matches({_KEY}, '^(the )?({_alt(V.HUMAN_ROLES)})\b') THEN 'character 0.78'
+ WHEN split_part({_KEY}, ' ', 1) IN ('her', 'his', 'their', 'the', 'my') AND contains(name, ' ') THEN 'concept 0.82' WHEN regexp_matches({_KEY}, '({_alt(V.PLACE_ENDS)})$') OR regexp_matches({_KEY}, '\b({_alt(V.PLACE_WORDS)})\b') THEN 'place 0.8'
+ WHEN rtrim({_KEY}, 's') IN {_in(V.GROUP_WORDS)} OR {_KEY} IN {_in(V.GROUP_WORDS)} THEN 'group 0.72'
+ WHEN regexp_matches(name, '^[A-Z][a-z]+( ((van|de|von|al) )?[A-Z][a-z]+)?$') OR (contains(name, ' ') AND regexp_matches(name, '^[A-Z]\S*( [A-Z]\S*)+$')) OR (NOT contains(name, ' ') AND regexp_matches(name, '^[A-Z]') AND name <> upper(name) AND {_KEY} NOT IN {_in(V.NEVER_NAMES)}) THEN 'character 0.85'
+ WHEN NOT contains(name, ' ') AND role = 'object' AND regexp_matches(name, '[A-Za-z]') THEN 'concept 0.7' WHEN {_KEY} IN ('river', 'sea', 'forest') THEN 'character 0.55' WHEN NOT contains(name, ' ') THEN 'object 0.55' ELSE 'character 0.45' END"""
 _ASCII = r"regexp_replace(coalesce(text, ''), '[^\x00-\x7F\p{P}\p{S}\p{Z}\p{C}\p{M}]', '_', 'g')"
 _WORD = r"[\p{L}\p{N}_]+(?:''[\p{L}\p{N}_]+)?|[^\p{L}\p{N}_\s]"
 
@@ -162,12 +170,7 @@ SELECT scene_id, n AS n_sources, subject, predicate, target, claim_type, polarit
 p AS (SELECT doc_id, unnest(l) AS name, generate_subscripts(l, 1) AS nth FROM m), q AS (SELECT doc_id, name, min(nth) AS nth FROM p WHERE lower(name) NOT IN {_in(V.NOT_NAMES)} AND NOT regexp_matches(lower(name), '^({_alt(V.JUNK_STARTS)})\b') GROUP BY ALL)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1 AS place, name FROM q QUALIFY place < 24""",
     "txt_tokens": f"WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS t FROM documents) SELECT doc_id, len(t) AS n_tokens, len(list_filter(t, lambda w: lower(w) IN {_in(V.NEGATIONS)})) AS n_negations, len(list_distinct(t)) AS n_distinct FROM t",
-    "ent_types": rf"""{SURFACE_SQL}, c AS (SELECT *, CASE WHEN {_KEY} = '' THEN 'concept 0.3' WHEN {_KEY} IN {_in(V.KNOWN_PLACES)} THEN 'place 0.9' WHEN {_KEY} IN {_in(V.OBJECTS)} THEN 'object 0.88' WHEN {_KEY} IN {_in(V.ANIMALS)} THEN 'animal 0.88'
- WHEN {_KEY} IN {_in(V.CONCEPTS)} THEN 'concept 0.92' WHEN regexp_matches({_KEY}, '({_alt(V.CONCEPTS)})$') THEN 'concept 0.85' WHEN regexp_matches({_KEY}, '^(my )?({_alt(V.PARENTS)})\b') OR regexp_matches({_KEY}, '^(the )?({_alt(V.HUMAN_ROLES)})\b') THEN 'character 0.78'
- WHEN split_part({_KEY}, ' ', 1) IN ('her', 'his', 'their', 'the', 'my') AND contains(name, ' ') THEN 'concept 0.82' WHEN regexp_matches({_KEY}, '({_alt(V.PLACE_ENDS)})$') OR regexp_matches({_KEY}, '\b({_alt(V.PLACE_WORDS)})\b') THEN 'place 0.8'
- WHEN rtrim({_KEY}, 's') IN {_in(V.GROUP_WORDS)} OR {_KEY} IN {_in(V.GROUP_WORDS)} THEN 'group 0.72'
- WHEN regexp_matches(name, '^[A-Z][a-z]+( ((van|de|von|al) )?[A-Z][a-z]+)?$') OR (contains(name, ' ') AND regexp_matches(name, '^[A-Z]\S*( [A-Z]\S*)+$')) OR (NOT contains(name, ' ') AND regexp_matches(name, '^[A-Z]') AND name <> upper(name) AND {_KEY} NOT IN {_in(V.NEVER_NAMES)}) THEN 'character 0.85'
- WHEN NOT contains(name, ' ') AND role = 'object' AND regexp_matches(name, '[A-Za-z]') THEN 'concept 0.7' WHEN {_KEY} IN ('river', 'sea', 'forest') THEN 'character 0.55' WHEN NOT contains(name, ' ') THEN 'object 0.55' ELSE 'character 0.45' END AS v FROM surfaces)
+    "ent_types": rf"""{SURFACE_SQL}, c AS (SELECT *, {_KIND} AS v FROM surfaces)
 SELECT name, role, split_part(v, ' ', 1) AS entity_type, split_part(v, ' ', 2)::DOUBLE AS type_confidence, v LIKE 'character%' AND split_part(v, ' ', 2)::DOUBLE >= 0.55 AS graph_eligible FROM c""",
     "ent_refined_claim_type": f"""{SQL} SELECT c.id, CASE WHEN (c.predicate IN {_in(V.RELATIONAL)} OR c.claim_type = 'relationship_state') AND s.entity_type = 'character'
  THEN CASE o.entity_type WHEN 'character' THEN 'relationship_state' WHEN 'place' THEN 'place_preference' ELSE 'character_preference' END ELSE c.claim_type END AS claim_type
@@ -259,3 +262,68 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rule, si, m, part
 
 
 ORACLES["ext_family"] = _family()
+
+
+_sql_pattern = lambda p: p.replace("(?iU)", "(?i)").replace("(?U)", "").replace("'", "''")
+_PIECE = "[^.!?]+(?:[.!?]+|$)"
+_at = lambda gaps, found, i: f"(list_sum(list_transform({gaps}[1:{i}], lambda g: length(g))) + coalesce(list_sum(list_transform({found}[1:{i} - 1], lambda g: length(g))), 0))::BIGINT"
+_TOLD = f"""{TALE_SQL}, p0 AS (SELECT *, regexp_extract_all(text, '{_PIECE}') AS m, string_split_regex(text, '{_PIECE}') AS g FROM tales),
+p1 AS (SELECT doc_id, text, pov, unnest(m) AS raw, m, g, generate_subscripts(m, 1) AS i FROM p0),
+se AS (SELECT doc_id, text, pov, raw, trim(raw) AS said, {_at("g", "m", "i")} AS f, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS sentence_index FROM p1 WHERE trim(raw) <> '')"""
+
+
+def _phrases() -> str:
+    parts = []
+    for kind, pattern in PHRASES.items():
+        p = _sql_pattern(pattern)
+        here = "trim(substring(raw, a + 1, length(w)))"
+        low = kind in ("family_phrase", "state_phrase", "verb_phrase")
+        shifted = kind in ("state_phrase", "verb_phrase")
+        modifier = "'my'" if kind == "family_phrase" else "''" if shifted else "lower(split_part(w, ' ', 1))"
+        negated = rf"regexp_matches({here}, '(?i)\b(?:not|never)\b')" if shifted else "false" if kind == "place_phrase" else f"regexp_matches(said, '{_sql_pattern(DENIED)}')"
+        parts.append(f"""SELECT doc_id, sentence_index, f + a AS start, f + a + length(w) AS "end", '{kind}' AS phrase_type, {here if shifted else "w"} AS phrase, {"lower(h)" if low else "h"} AS head, {modifier} AS modifier, {negated} AS negated
+ FROM (SELECT *, {_at("gs", "ws", "i")} AS a FROM (SELECT *, unnest(ws) AS w, unnest(hs) AS h, generate_subscripts(ws, 1) AS i FROM (SELECT *, regexp_extract_all(said, '{p}') AS ws, regexp_extract_all(said, '{p}', 1) AS hs, string_split_regex(said, '{p}') AS gs FROM se)))
+ {f"WHERE lower(h) NOT IN {_in(V.KIN_TERMS)}" if kind == "possessive_phrase" else ""}""")
+    return _TOLD + "\n" + " UNION ALL ".join(parts)
+
+
+def _resolved(x: str) -> str:
+    """Mentions have two words at most here."""
+    bare = rf"regexp_replace(regexp_replace(trim({x}), '\s+', ' ', 'g'), '(?i)(?: (?:{_alt(V.OBJECT_FILLERS)}))+$', '')"
+    head = f"lower(split_part({bare}, ' ', 1))"
+    roles = " ".join(f"WHEN {head} = '{r}' AND is_{r} IS NOT NULL THEN is_{r}" for r in CAST)
+    return f"CASE WHEN {head} IN {_in(V.NARRATING)} THEN nullif(coalesce(pov, ''), '') WHEN {head} IN {_in(V.THIRD_PERSON)} THEN NULL {roles} ELSE {bare} END"
+
+
+def _relations(then: str) -> str:
+    role = ", ".join("CASE " + " ".join(f"WHEN regexp_matches(text, '{_sql_pattern(p)}') THEN '{n}'" for p, n in of) + f" END AS is_{r}" for r, of in CAST.items())
+    parts = []
+    for n, (pattern, _, _, what, origin, sure) in enumerate(RELATIONS):
+        p = _sql_pattern(pattern)
+        same = " ".join(f"WHEN '{k}' THEN '{v}_of'" for k, v in V.KIN_SAME.items())
+        predicate = {"family_rule": f"CASE lower(v) {same} ELSE replace(lower(v), '-', '_') || '_of' END", "pattern": _case("lower(v)", V.EMOTIONS, "lower(v)"), "state_rule": "lower(v)"}[origin]
+        polarity = rf"NOT regexp_matches(w, '(?i)\b(?:not|never)\b')" if what else str(n != 0).lower()
+        parts.append(f"""SELECT doc_id, pov, {", ".join(f"is_{r}" for r in CAST)}, sentence_index, {n} AS rule, {_at("gs", "ws", "i")} AS a, f, w, CASE WHEN coalesce(s, '') = '' THEN 'I' ELSE s END AS who, {predicate} AS predicate, {"o" if what else "'I'"} AS what, {polarity} AS polarity, '{origin}' AS origin, {sure}::DOUBLE AS confidence
+ FROM (SELECT *, unnest(ws) AS w, unnest(ss) AS s, unnest(vs) AS v, unnest(os) AS o, generate_subscripts(ws, 1) AS i
+  FROM (SELECT *, regexp_extract_all(said, '{p}') AS ws, regexp_extract_all(said, '{p}', 1) AS ss, regexp_extract_all(said, '{p}', 2) AS vs, regexp_extract_all(said, '{p}', {what}) AS os, string_split_regex(said, '{p}') AS gs FROM sr))""")
+    return rf"""{_TOLD}, sr AS (SELECT *, {role} FROM se), x AS ({" UNION ALL ".join(parts)}),
+y AS (SELECT *, {_resolved("who")} AS subject, {_resolved("what")} AS object FROM x),
+z AS (SELECT doc_id, sentence_index, f + a AS start, f + a + length(w) AS "end", subject, predicate, object, polarity, confidence, w AS evidence, origin FROM y
+ WHERE coalesce(subject, '') <> '' AND coalesce(object, '') <> '' AND NOT regexp_matches(lower(subject), '^({_alt(V.AUXILIARY_STARTS)})') AND split_part(lower(object), ' ', 1) NOT IN ('him', 'her', 'them', 'me', 'you', 'it')
+  AND NOT regexp_matches(lower(object), ' (all|either|anymore)$') AND NOT (lower(subject) = lower(object) AND ends_with(predicate, '_of'))
+ QUALIFY row_number() OVER (PARTITION BY doc_id, lower(subject), lower(predicate), lower(object), polarity ORDER BY sentence_index, rule, a) = 1)
+{then}"""
+
+
+ORACLES["cnd_phrases"] = _phrases()
+ORACLES["cnd_relations"] = _relations("SELECT * FROM z")
+ORACLES["stm_touched_issues"] = _issues("SELECT * FROM issues WHERE scene_id IN (SELECT event_id FROM events)")
+ORACLES["cnd_drafts"] = _relations(rf""", kinds AS (SELECT name, {_KIND} AS v FROM (SELECT DISTINCT unnest([subject, object]) AS name, 'subject' AS role FROM z))
+SELECT doc_id, start, "end", subject, p AS predicate, object AS target,
+ CASE WHEN ends_with(p, '_of') THEN 'relationship_state' WHEN regexp_matches(evidence, '{_sql_pattern(V.TIME_MARKS)}') THEN 'timeline_fact'
+  WHEN p IN {_in(V.FEELINGS)} THEN CASE ok WHEN 'place' THEN 'place_preference' ELSE 'character_state' END WHEN sk NOT IN ('character', 'animal', 'group') THEN 'character_state'
+  WHEN ok IN ('character', 'animal', 'group') THEN 'relationship_state' WHEN ok = 'place' THEN 'place_preference' ELSE 'character_preference' END AS claim_type,
+ subject || CASE WHEN ends_with(p, '_of') THEN CASE WHEN polarity THEN ' is the ' ELSE ' is not the ' END || replace(left(p, length(p) - 3), '_', '-') || ' of '
+  WHEN p IN {_in(V.FEELINGS)} THEN CASE WHEN polarity THEN ' is ' ELSE ' is not ' END || p || ' with ' WHEN polarity THEN ' ' || p || ' ' ELSE ' does not ' || left(p, length(p) - 1) || ' ' END || object || '.' AS claim,
+ polarity, confidence, evidence, CASE WHEN confidence >= 0.9 THEN 'approved' WHEN confidence >= 0.65 THEN 'needs_review' ELSE 'suggested' END AS status, 'fastus' AS generation_origin, 'active' AS canon_level
+FROM (SELECT z.*, replace(predicate, ' ', '_') AS p, split_part(a.v, ' ', 1) AS sk, split_part(b.v, ' ', 1) AS ok FROM z JOIN kinds a ON a.name = subject JOIN kinds b ON b.name = object)""")

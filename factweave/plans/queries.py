@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chapters, editor, entities, evidence, extraction, folding, graph, kin, merge, store, validate
+from ..operators import candidates, chapters, editor, entities, evidence, extraction, folding, graph, kin, merge, registry, store, validate
 from ..sources import manuscripts
 from ..streaming import edits
 from . import adapters as A
@@ -128,6 +128,12 @@ def _folded(spark: SparkSession, d: str) -> DataFrame:
     return folding.folded(e, folding.folds(e)).select("id", "story_id", "canonical_name", F.array_join("aliases", ",").alias("aliases"), "graph_eligible")
 
 
+def _registered(spark: SparkSession, d: str) -> DataFrame:
+    """The first stories' entities are stored; then the narrators of some, and all names in their order."""
+    povs = A.stories(spark, d).select(F.col("id").alias("story_id"), F.when(F.col("id") % 3 == 0, "Isolde").alias("pov"))
+    return registry.registered(A.entities(spark, d), registry.with_narrator(A.told_names(spark, d), povs))
+
+
 def _repointed(spark: SparkSession, d: str) -> DataFrame:
     e = A.cast(spark, d)
     return folding.repointed(A.cast_claims(spark, d), e, folding.folds(e))
@@ -165,6 +171,7 @@ QUERIES: dict[str, Query] = {
     "src_html_text": lambda s, d: _read("pages")(s, d).select("page_id", manuscripts.html_text(F.col("html")).alias("text")),
     "src_scene_split": lambda s, d: manuscripts.scenes(_read("pages")(s, d), "page_id", manuscripts.html_text(F.col("html"))),
     "stm_latest_edit": _over(edits.latest, _read("events")),
+    "stm_touched_issues": lambda s, d: validate.issues(_prepared(s, d), _read("events")(s, d).select(F.col("event_id").alias("scene_id"))),
     "ext_structural": lambda s, d: extraction.stances(A.claims(s, d), "id", "claim_text"),
     "ext_structural_documents": _over(extraction.stances, _read("documents")),
     "flt_reject_reason": lambda s, d: extraction.judged(A.drafts(s, d), F.col("pov")).select("id", "reject_reason"),
@@ -174,10 +181,14 @@ QUERIES: dict[str, Query] = {
     "joi_redundant_model": _redundant,
     "joi_redundant_structural": lambda s, d: extraction.without_redundant_structural(A.drafts(s, d)).select("id"),
     "cnd_names": _over(extraction.names, _read("documents")),
+    "cnd_phrases": _over(candidates.phrases, A.tales),
+    "cnd_relations": lambda s, d: candidates.relations(A.tales(s, d), pov_col="pov"),
+    "cnd_drafts": lambda s, d: candidates.drafts(candidates.relations(A.tales(s, d), pov_col="pov")),
     "txt_tokens": _over(extraction.tokens, _read("documents")),
     "ent_types": _typed,
     "ent_refined_claim_type": _refined,
     "ent_resolved_names": _over(entities.resolved, A.mentions, A.entities),
+    "ent_registered": _registered,
     "ent_folds": lambda s, d: folding.folds(A.cast(s, d)),
     "ent_folded": _folded,
     "ent_repointed": _repointed,
