@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 WORDS, OVERLAP, SINGLE = 1500, 200, 3000
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts of up to SINGLE words whole, longer ones as windows of WORDS words that share OVERLAP."""
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *kept: str) -> DataFrame:
+    """Texts of up to SINGLE words whole, longer ones as windows of WORDS words that share OVERLAP; kept columns stay."""
     words = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), lambda w: w != "")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.trim(F.coalesce(F.col(text_col), F.lit(""))).alias("text"), words.alias("w"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.trim(F.coalesce(F.col(text_col), F.lit(""))).alias("text"), words.alias("w"), *kept)
     n, step = F.size("w"), WORDS - OVERLAP
     starts = F.filter(F.sequence(F.lit(0), n, F.lit(step)), lambda s: (s == 0) | (s + OVERLAP < n))
     whole = F.array(F.lit(0))
-    x = d.select("doc_id", "text", "w", n.alias("n"), F.posexplode(F.when(n <= SINGLE, whole).otherwise(starts)).alias("chunk_index", "s"))
+    x = d.select("doc_id", *kept, "text", "w", n.alias("n"), F.posexplode(F.when(n <= SINGLE, whole).otherwise(starts)).alias("chunk_index", "s"))
     part = F.when(F.col("n") <= SINGLE, F.col("text")).otherwise(F.array_join(F.slice("w", F.col("s") + 1, WORDS), " "))
-    return x.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.when(F.col("n") <= SINGLE, F.col("n")).otherwise(F.least(F.lit(WORDS), F.col("n") - F.col("s"))).cast("long").alias("n_words"), part.alias("chunk"))
+    return x.select("doc_id", *kept, F.col("chunk_index").cast("long").alias("chunk_index"), F.when(F.col("n") <= SINGLE, F.col("n")).otherwise(F.least(F.lit(WORDS), F.col("n") - F.col("s"))).cast("long").alias("n_words"), part.alias("chunk"))
 
 
 def places(text: Column, pattern: str) -> Column:

@@ -12,6 +12,7 @@ from ..operators import candidates, chapters, editor, entities, evidence, extrac
 from ..sources import manuscripts
 from ..streaming import edits
 from . import adapters as A
+from . import extract
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -193,6 +194,7 @@ QUERIES: dict[str, Query] = {
     "ent_folded": _folded,
     "ent_repointed": _repointed,
     "ext_family": lambda s, d: kin.facts(A.letters(s, d), pov_col="pov"),
+    "ext_all": lambda s, d: extract.extracted(A.tales(s, d)),
     "ext_plain": lambda s, d: extraction.plain(A.claims(s, d), "id", "claim_text"),
     "evd_weighed": _weighed,
     "evd_anchored": _anchored,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import vocab as V
 from factweave.operators import candidates, registry, validate
-from factweave.plans import adapters, queries
+from factweave.plans import adapters, extract, queries
 from factweave.streaming import edits
 
 SF = "/root/testdata/sf0.001"
@@ -118,3 +118,34 @@ def test_revalidating(spark, tmp_path):
     want = every.join(touched, "scene_id", "left_semi")
     assert want.count() > 0
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_all_layers(spark):
+    texts = (
+        "Teo was my pa. I did not trust Orin.",  # the stance is told by a draft, which is then sure
+        "Mara trusts Orin Vale",  # no draft: the fallback rules
+        "My mother was late.",
+        None,
+        "",
+        "I feared Mara. I feared Mara. She was my aunt.",
+    )
+    got = extract.extracted(docs(spark, *texts)).collect()
+    assert sorted((r.doc_id, r.subject, r.predicate, r.target, r.polarity, round(r.confidence, 2), r.generation_origin) for r in got) == [
+        (0, "Dad", "father_of", "Isolde", True, 0.78, "family"),  # the rules of kin name a pa that the text doesn't name
+        (0, "Isolde", "daughter_of", "Dad", True, 0.78, "family"),
+        (0, "Isolde", "trusts", "Orin", False, 0.9, "llm"),
+        (0, "Teo", "father_of", "Isolde", True, 0.78, "llm"),
+        (1, "Mara", "trusts", "Orin Vale", True, 0.9, "heuristic"),
+        (2, "Isolde", "daughter_of", "Mom", True, 0.78, "family"),
+        (2, "Mom", "mother_of", "Isolde", True, 0.78, "family"),
+        (5, "Isolde", "fears", "Mara", True, 0.88, "llm"),
+    ]
+    assert extract.extracted(docs(spark)).count() == 0
+
+
+def test_claims_of_a_long_text(spark):
+    """A claim in the overlap of two chunks comes once, the first chunk's."""
+    words = ["w"] * 3600
+    words[1350:1354] = ["I", "feared", "Mara", "."]
+    got = extract.extracted(docs(spark, " ".join(words))).collect()
+    assert [(r.chunk_index, r.subject, r.predicate, r.target) for r in got] == [(0, "Isolde", "fears", "Mara")]
