@@ -6,21 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import candidates, chapters, extraction, kin
+from ..session import saved
 
 _FIELDS = ("subject", "predicate", "target", "claim_type", "claim", "polarity", "confidence", "evidence", "canon_level", "generation_origin")
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """The same rows; exploding one row keeps later steps from being folded into these columns, which they'd then work out at each use."""
-    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("r")).select("r.*")
-
-
 def _layer(found: DataFrame, chunks: DataFrame, n: int, order: str) -> DataFrame:
     """One layer's claims, each with its place among all: chunk, layer, place in the layer."""
     x = found.join(chunks.select("chunk", "pov"), found["doc_id"] == F.col("chunk"))
     place = F.struct(F.col("chunk.chunk_index").alias("chunk_index"), F.lit(n).alias("layer"), F.col(order).cast("long").alias("n"))
     x = x.withColumn("ord", place).withColumn("id", F.struct("chunk", "ord"))
-    return _settled(x.select("id", F.col("chunk").alias("scene_id"), "ord", "pov", *[F.col(f).cast("double").alias(f) if f == "confidence" else f for f in _FIELDS]))
+    return saved(x.select("id", F.col("chunk").alias("scene_id"), "ord", "pov", *[F.col(f).cast("double").alias(f) if f == "confidence" else f for f in _FIELDS]), f"layer{n}")
 
 
 def extracted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pov_col: str = "pov") -> DataFrame:
@@ -29,7 +25,8 @@ def extracted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
     Within a chunk a stance that a draft tells too goes, and a draft of trust that a stance tells too is sure to 0.9 at least.
     Fragments go; then, over the whole text, stances of feeling that a draft tells and repeats go. Null and empty texts have none.
-    Texts are read once for each layer, as Column expressions; joins are on chunks and claims only.
+    Texts are read once for each layer, as Column expressions; each layer's claims are written to the shared folder as they are found,
+    and all that compares layers reads those.
     """
     c = F.col
     d = docs.select(c(id_col).alias("doc_id"), c(text_col).alias("text"), c(pov_col).cast("string").alias("pov"))
@@ -37,16 +34,16 @@ def extracted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     rules = _layer(extraction.stances(chunks, "chunk", "text", "pov"), chunks, 0, "ord")
     family = _layer(kin.facts(chunks, "chunk", "text", "pov"), chunks, 1, "ord")
     drafted = candidates.drafts(candidates.relations(chunks, "chunk", "text", "pov")).withColumn("generation_origin", F.lit("llm"))
-    bare = chunks.join(drafted.select(c("doc_id").alias("chunk")), "chunk", "left_anti")
-    model = _layer(drafted, chunks, 2, "start").unionByName(_layer(extraction.plain(bare, "chunk", "text"), bare, 2, "ord"))
-    model = _settled(extraction.for_pov(model, c("pov")))
+    drafted = _layer(drafted, chunks, 2, "start")
+    bare = chunks.join(drafted.select(c("scene_id").alias("chunk")), "chunk", "left_anti")
+    model = extraction.for_pov(drafted.unionByName(_layer(extraction.plain(bare, "chunk", "text"), bare, 2, "ord")), c("pov"))
 
     told = extraction.redundant(model, rules).distinct().withColumn("told", F.lit(True))
     sure = F.when(c("told") & (extraction.family(c("predicate")) == "trust"), F.greatest("confidence", F.lit(0.9))).otherwise(c("confidence"))
-    model = model.join(told, "id", "left").withColumn("confidence", sure).drop("told")
+    model = saved(model.join(told, "id", "left").withColumn("confidence", sure).drop("told"), "model")
     rules = rules.join(extraction.redundant(rules, model).distinct(), "id", "left_anti").select(*model.columns)
 
-    every = extraction.judged(_settled(rules.unionByName(family).unionByName(model)), c("pov")).where("reject_reason is null")
+    every = extraction.judged(rules.unionByName(family).unionByName(model), c("pov")).where("reject_reason is null")
     junk = (c("predicate") == "loves") & F.lower(F.coalesce("target", F.lit(""))).isin("loved", "the vigorous", "the sun and")
     every = every.where(~junk).withColumns({"chunk_index": c("scene_id.chunk_index"), "scene_id": c("scene_id.doc_id")})
     kept = extraction.first_of_equal(extraction.without_redundant_structural(every))

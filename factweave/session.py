@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -37,3 +39,16 @@ def local(name: str = "factweave", cores: str = "*", partitions: int = 8) -> Spa
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written as a Parquet table to the folder that all see (spark.checkpoint.dir, or one set here where it is unset, as in tests)
+    and read again, so that several uses share one run, which outlives executors."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = f"file://{tempfile.gettempdir()}/{__package__}-{os.getuid()}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
