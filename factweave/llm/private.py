@@ -31,15 +31,17 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 _NOT_DIGITS = re.compile(r"[^0-9]")
+#: A number's edges: a dot beside it counts as part of a longer number only if a digit stands behind that dot; a sentence's full stop doesn't.
+_START, _END = r"(?<![0-9])(?<![0-9]\.)", r"(?![0-9]|\.[0-9])"
 #: Candidates of each kind, without regard to their surroundings.
 WIDE = (
     ("email", re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]|\{dot\}) ?| dot )[A-Za-z0-9-]+)+")),
     ("email", re.compile(r"[A-Za-z0-9._%+-]+ at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+")),
-    ("ip", re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?(?:\.|\[\.\]|\(\.\)) ?[0-9]{1,3}){3}(?![0-9.])")),
+    ("ip", re.compile(_START + r"[0-9]{1,3}(?: ?(?:\.|\[\.\]|\(\.\)) ?[0-9]{1,3}){3}" + _END)),
     ("card", re.compile(r"(?<![0-9])[0-9](?:[\x20\-./_]{0,2}[0-9]){11,18}(?![0-9])")),
     ("card", re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])")),
-    ("phone", re.compile(r"(?<![0-9.])(?:00|\(?[0-9])[\x20().0-9/-]{5,18}[0-9](?![0-9.])")),
-    ("phone", re.compile(r"(?<![0-9.])\+?(?:[0-9]{1,2}[ .-])?\(?[2-9][0-9]{2}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])")),
+    ("phone", re.compile(_START + r"(?:00|\(?[0-9])[\x20().0-9/-]{5,18}[0-9]" + _END)),
+    ("phone", re.compile(_START + r"\+?(?:[0-9]{1,2}[ .-])?\(?[2-9][0-9]{2}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])")),
 )
 #: One of these stands in every text that has a candidate address.
 SPELLED = ("@", " dot ", "(at)", "[at]", "{at}")
@@ -242,7 +244,8 @@ def _example(rng: random.Random) -> str:
             ]
         )
         cue = rng.choice(AGAINST) if rng.random() < 0.5 else word()
-    text = " ".join([*(word() for _ in range(rng.randint(1, 6))), cue, "\0" + value + "\0", *(word() for _ in range(rng.randint(0, 5)))])
+    behind = rng.choice(["", "", "", ".", ".", ",", ";", ":", "!", "?", ")", "...", '".'])
+    text = " ".join([*(word() for _ in range(rng.randint(1, 6))), cue, rng.choice(["", "", "", '"', "<"]) + "\0" + value + "\0" + behind, *(word() for _ in range(rng.randint(0, 5)))])
     return kind + "\t" + text
 
 

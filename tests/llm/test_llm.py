@@ -1,6 +1,7 @@
 """The training-data operators against brute force, exact round trips and held-out labels, with awkward rows."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -144,6 +145,28 @@ def test_private_model():
     assert y[chosen].mean() > 0.97 and chosen[y == 1].mean() > 0.9
 
 
+@pytest.mark.parametrize("mark", ["", ".", "...", ".)", ", ", "!", ". Then"])
+@pytest.mark.parametrize(("kind", "value"), [("ip", "192[.]168[.]0[.]25"), ("ip", "192 . 168 . 0 . 25"), ("phone", "(0171) 2345678"), ("phone", "0049 171 2345678"), ("phone", "(312) 555-0199")])
+def test_private_beside_marks(kind, value, mark):
+    """A full stop or another mark beside a value leaves it whole, as a candidate and in what is selected."""
+    for before in ("please call ", 'please call."'):
+        text = f"{before}{value}{mark}"
+        assert (kind, len(before), len(before) + len(value)) in private.candidates(text)
+    got = private.redact(text := f"please call {value}{mark}", private.spans(text, private.model())[1])
+    assert got in {f"please call [{k}]{mark}" for k in ("IP", "PHONE", "CARD")}
+
+
+def test_private_longer_numbers():
+    """A dot before a digit still makes a value part of a longer number."""
+    assert not [c for c in private.candidates("1.2.3.4.5") if c[0] == "ip"]
+    assert ("ip", 0, 7) not in private.candidates("1.2.3.45")
+
+
+def test_private_examples_marks():
+    behind = {x[x.rindex("\0") + 1 :][:1] for x in (private._example(rng) for rng in [random.Random(1)] for _ in range(300))}
+    assert {".", ",", ")", " "} <= behind
+
+
 def test_media(docs, none):
     for r in iso_media.media_columns(docs).collect():
         track = iso_media.inspect(r.media)
