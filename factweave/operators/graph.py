@@ -7,6 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
+from ..session import saved
+from .entities import is_placeholder, resolved
+
+
+def with_ends(claims: DataFrame, entities: DataFrame) -> DataFrame:
+    """claims whose null ids are looked up by name among their story's entities; no entity is made or changed.
+
+    Names that no entity has, placeholders and blank ones stay null. Given ids stay.
+    """
+    ends = ("subject", "object")
+    missing = [claims.where(F.col(f"{end}_entity_id").isNull()).select("story_id", F.col(end).alias("name")) for end in ends]
+    found = resolved(missing[0].union(missing[1]).where(~is_placeholder(F.col("name"))), entities).where("entity_id is not null")
+    found = saved(found.select("story_id", "name", "entity_id"), "graph-ends")  # once, as what follows reads the claims several times
+    names = claims.columns
+    for end in ends:
+        claims = claims.join(found.select("story_id", F.col("name").alias(end), F.col("entity_id").alias("found_by_name")), ["story_id", end], "left")
+        claims = claims.withColumn(f"{end}_entity_id", F.coalesce(f"{end}_entity_id", "found_by_name")).drop("found_by_name")
+    return claims.select(*names)
 
 
 def _gated(claims: DataFrame, scenes: DataFrame, entities: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
@@ -21,13 +39,19 @@ def _gated(claims: DataFrame, scenes: DataFrame, entities: DataFrame, statuses:
     return c.select("id", "story_id", F.col("subject_entity_id").alias("source"), F.col("object_entity_id").alias("target"), p.alias("predicate"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), weight.alias("weight"), "scene_number")
 
 
-def edges(claims: DataFrame, scenes: DataFrame, entities: DataFrame, preview: bool = False) -> DataFrame:
-    """A row per (source, target). With preview, pairs without accepted claims show their first pending one."""
+def _pending(claims: DataFrame, scenes: DataFrame, entities: DataFrame, canon: DataFrame) -> DataFrame:
+    """The first pending claim of each pair without accepted ones."""
+    first = Window.partitionBy("source", "target").orderBy("id")
+    pending = _gated(claims, scenes, entities, V.PREVIEW).join(canon.select("source", "target").distinct(), ["source", "target"], "left_anti")
+    return pending.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
+
+
+def edges(claims: DataFrame, scenes: DataFrame, entities: DataFrame, preview: bool = False, by_name: bool = True) -> DataFrame:
+    """A row per (source, target). With preview, pairs without accepted claims show their first pending one. by_name looks up null ids."""
+    claims = with_ends(claims, entities) if by_name else claims
     canon = _gated(claims, scenes, entities, V.PAST_CANON).withColumn("status", F.lit("active"))
     if preview:
-        first = Window.partitionBy("source", "target").orderBy("id")
-        pending = _gated(claims, scenes, entities, V.PREVIEW).join(canon.select("source", "target").distinct(), ["source", "target"], "left_anti")
-        canon = canon.unionByName(pending.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r").withColumn("status", F.lit("preview")))
+        canon = canon.unionByName(_pending(claims, scenes, entities, canon).withColumn("status", F.lit("preview")))
     rank = F.array_position(F.array(*[F.lit(g) for g in V.GROUPS]), T.predicate_group(F.col("predicate")))
     grouped = canon.groupBy("story_id", "source", "target", "status").agg(
         F.sort_array(F.collect_set("predicate")).alias("predicates"),
@@ -56,8 +80,9 @@ def edges(claims: DataFrame, scenes: DataFrame, entities: DataFrame, preview: bo
     )
 
 
-def nodes(claims: DataFrame, scenes: DataFrame, entities: DataFrame) -> DataFrame:
-    """Characters with mentions (negated claims count) or edges; degree counts claims, not distinct edges."""
+def nodes(claims: DataFrame, scenes: DataFrame, entities: DataFrame, by_name: bool = True) -> DataFrame:
+    """Characters with mentions (negated claims count) or edges; degree counts claims, not distinct edges. by_name looks up null ids."""
+    claims = with_ends(claims, entities) if by_name else claims
     ends = lambda df, a, b: df.select(F.explode(F.array(F.col(a), F.col(b))).alias("id")).where("id is not null and id <> 0")
     mentions = ends(claims.where(F.col("status").isin(*V.PAST_CANON)), "subject_entity_id", "object_entity_id").groupBy("id").agg(F.count("*").alias("mention_count"))
     degree = ends(_gated(claims, scenes, entities, V.PAST_CANON), "source", "target").groupBy("id").agg(F.count("*").alias("relationship_degree"))
@@ -67,6 +92,12 @@ def nodes(claims: DataFrame, scenes: DataFrame, entities: DataFrame) -> DataFram
     return e.select("story_id", F.col("id").alias("entity_id"), F.col("canonical_name").alias("label"), score.alias("importance_score"), "mention_count", "relationship_degree")
 
 
-def meta(claims: DataFrame, scenes: DataFrame, entities: DataFrame) -> DataFrame:
-    """Counts by story: accepted relationship claims."""
-    return _gated(claims, scenes, entities, V.PAST_CANON).groupBy("story_id").agg(F.count("*").alias("approved_relationship_claim_count"))
+def meta(claims: DataFrame, scenes: DataFrame, entities: DataFrame, preview: bool = False, by_name: bool = True) -> DataFrame:
+    """Counts by story: accepted relationship claims and, with preview, the pending ones that edges() shows. by_name looks up null ids."""
+    claims = with_ends(claims, entities) if by_name else claims
+    canon = _gated(claims, scenes, entities, V.PAST_CANON)
+    accepted = canon.groupBy("story_id").agg(F.count("*").alias("approved_relationship_claim_count"))
+    if not preview:
+        return accepted
+    pending = _pending(claims, scenes, entities, canon).groupBy("story_id").agg(F.count("*").alias("pending_preview_claim_count"))
+    return accepted.join(pending, "story_id", "full").fillna(0, ["approved_relationship_claim_count", "pending_preview_claim_count"])

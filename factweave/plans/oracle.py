@@ -214,6 +214,15 @@ SELECT s.doc_id, s.start, s."end", count(*) AS depth FROM s JOIN w ON w.doc_id =
 ORACLES["ui_circle"] = f"""WITH nd AS ({ORACLES["gra_nodes"]}), a AS (SELECT *, 2 * pi() * (row_number() OVER (PARTITION BY story_id ORDER BY importance_score DESC, lower(label), entity_id) - 1) / count(*) OVER (PARTITION BY story_id) - pi() / 2 AS a FROM nd)
 SELECT story_id, entity_id, round(220.0::DOUBLE * cos(a), 2) AS x, round(220.0::DOUBLE * sin(a), 2) AS y FROM a"""
 
+# The graph with null ids looked up by name; the adapters' names are their entities' canonical ones.
+_NAMED = SQL.replace("\nclaims AS (", "\ngiven AS (") + """, claims AS (SELECT g.* REPLACE (coalesce(subject_entity_id, a.id) AS subject_entity_id, coalesce(object_entity_id, b.id) AS object_entity_id) FROM given g
+  LEFT JOIN entities a ON a.story_id = g.story_id AND a.canonical_name = g.subject LEFT JOIN entities b ON b.story_id = g.story_id AND b.canonical_name = g.object)"""
+for _name in ("gra_edges", "gra_edges_preview", "gra_nodes", "ui_circle"):
+    ORACLES[f"{_name}_named"] = ORACLES[_name].replace(SQL, _NAMED)
+ORACLES["gra_meta_named"] = f"""{_GATED.replace(SQL, _NAMED)}, n AS (SELECT story_id, count(*) AS n FROM canon GROUP BY 1),
+p AS (SELECT story_id, count(DISTINCT (source, target)) AS n FROM gated g WHERE status IN ('suggested', 'needs_review') AND NOT EXISTS (FROM canon c WHERE c.source = g.source AND c.target = g.target) GROUP BY 1)
+SELECT coalesce(n.story_id, p.story_id) AS story_id, coalesce(n.n, 0) AS approved_relationship_claim_count, coalesce(p.n, 0) AS pending_preview_claim_count FROM n FULL JOIN p ON p.story_id = n.story_id"""
+
 # Of these names the first earlier one that matches is always one that stays.
 _FOLDS = f"""{CAST_SQL}, k AS (SELECT *, {_norm("canonical_name")} AS key, list_filter(string_split({_norm("canonical_name")}, ' '), lambda w: length(w) >= 3 AND NOT contains(w, '''') AND w NOT IN {_in(V.NAME_STOPWORDS)}) AS w FROM cast0),
 p AS (SELECT *, w[1] AS g, len(w) = 1 AS one, (-len(w), -length(canonical_name), id) AS place FROM k WHERE key NOT IN {_in(V.PLACEHOLDERS)}),

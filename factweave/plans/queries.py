@@ -25,6 +25,10 @@ def _over(f: Callable[..., DataFrame], *tables: Query) -> Query:
     return lambda spark, d: f(*(t(spark, d) for t in tables))
 
 
+def _graph(f: Callable[..., DataFrame], **how: bool) -> Query:
+    return lambda s, d: f(A.claims(s, d), A.scenes(s, d), A.entities(s, d), **how)
+
+
 def _prepared(spark: SparkSession, d: str) -> DataFrame:
     return validate.prepared(A.claims(spark, d), A.scenes(spark, d), A.entities(spark, d))
 
@@ -148,10 +152,15 @@ QUERIES: dict[str, Query] = {
     "val_exclusive_object": _issues("exclusive_object"),
     "val_predicate_opposition": _issues("predicate_opposition"),
     "agg_issue_severity": _severity,
-    "gra_edges": _over(graph.edges, A.claims, A.scenes, A.entities),
-    "gra_edges_preview": lambda s, d: graph.edges(A.claims(s, d), A.scenes(s, d), A.entities(s, d), preview=True),
-    "gra_nodes": _over(graph.nodes, A.claims, A.scenes, A.entities),
-    "gra_meta": _over(graph.meta, A.claims, A.scenes, A.entities),
+    # By given ids alone, as their SQL has it; the _named ones look up null ids too.
+    "gra_edges": _graph(graph.edges, by_name=False),
+    "gra_edges_preview": _graph(graph.edges, preview=True, by_name=False),
+    "gra_nodes": _graph(graph.nodes, by_name=False),
+    "gra_meta": _graph(graph.meta, by_name=False),
+    "gra_edges_named": _graph(graph.edges),
+    "gra_edges_preview_named": _graph(graph.edges, preview=True),
+    "gra_nodes_named": _graph(graph.nodes),
+    "gra_meta_named": _graph(graph.meta, preview=True),
     "joi_story_scene_count": _over(store.story_scene_counts, A.stories, A.scenes),
     "joi_scene_claim_count": _over(store.scene_claim_counts, A.scenes, A.claims),
     "agg_status_counts": _over(store.status_counts, A.claims),
@@ -206,6 +215,7 @@ QUERIES: dict[str, Query] = {
     "ui_issue_at": _issue_at,
     "ui_segments": lambda s, d: editor.segments(_writing(s, d)),
     "ui_confidence_label": lambda s, d: A.claims(s, d).select("id", editor.confidence_label(F.col("confidence")).alias("label")),
-    "ui_circle": lambda s, d: editor.circle(graph.nodes(A.claims(s, d), A.scenes(s, d), A.entities(s, d))),
+    "ui_circle": lambda s, d: editor.circle(_graph(graph.nodes, by_name=False)(s, d)),
+    "ui_circle_named": lambda s, d: editor.circle(_graph(graph.nodes)(s, d)),
     "ui_origins": lambda s, d: editor.origins_told(A.drafts(s, d)),
 }

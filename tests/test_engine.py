@@ -85,6 +85,31 @@ def test_graph_cases(spark):
     assert nodes == {1: (4, 2), 2: (3, 2)}
 
 
+def test_graph_ends_by_name(spark):
+    """Claims without ids count by their names; unknown names, placeholders and places make no edge."""
+    entities = spark.createDataFrame([(1, 1, "Mara Venn", "character", None, True), (2, 1, "Teo", "character", None, True), (3, 1, "Stonefield", "place", None, False), (4, 2, "Orin", "character", None, True)], "id long, story_id long, canonical_name string, entity_type string, place_granularity string, graph_eligible boolean")
+    scenes = spark.createDataFrame([(1, 1, 1, "x")], "id long, story_id long, scene_number int, text string")
+    made = [
+        claim(1, 1, "Mara", "loves", " teo ", sid=None, oid=None),
+        claim(2, 1, "Mara Venn", "trusts", "Teo", sid=1, oid=None),
+        claim(3, 1, "Mara Venn", "trusts", "Stonefield", sid=None, oid=None),
+        claim(4, 1, "Mara Venn", "trusts", "Orin"),
+        claim(5, 1, "I", "trusts", "Teo", polarity=False),
+        claim(6, 1, None, "trusts", ""),
+        claim(7, 1, "Teo", "trusts", "Mara", status="suggested"),
+        claim(8, 1, "Teo", "knows", "Mara Venn", status="needs_review"),
+    ]
+    claims = spark.createDataFrame(made, CLAIM)
+    edge = graph.edges(claims, scenes, entities, preview=True).collect()
+    assert sorted((e.source, e.target, e.sub_relationships, e.claim_count, e.status) for e in edge) == [(1, 2, "loves,trusts", 2, "active"), (2, 1, "trusts", 1, "preview")]
+    nodes = {n.entity_id: (n.mention_count, n.relationship_degree) for n in graph.nodes(claims, scenes, entities).collect()}
+    assert nodes == {1: (4, 2), 2: (3, 2)}
+    assert [tuple(r) for r in graph.meta(claims, scenes, entities, preview=True).collect()] == [(1, 2, 1)]
+    ends = graph.with_ends(claims, entities)
+    assert ends.columns == claims.columns and ends.count() == len(made)
+    assert graph.edges(claims, scenes, entities, by_name=False).count() == 0
+
+
 def test_empty_tables(spark):
     claims = spark.createDataFrame([], CLAIM)
     scenes = spark.createDataFrame([], "id long, story_id long, scene_number int, text string")
