@@ -248,38 +248,76 @@ def _scan_spans(shared):
     return build
 
 
-def cleaned(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, coverage: float = MAX_COVERAGE) -> DataFrame:
+def cleaned(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, coverage: float = MAX_COVERAGE, block: int = BLOCK_ITEMS) -> DataFrame:
     """docs without the hit words; a document goes if more than `coverage` of its words are hit.
 
     Each removed span takes the separators behind it along. Other columns stay, and n_chars, if
     there is one, follows the text. Texts without hits, nulls among them, stay as they are.
-    Blocks of items are taken one after another.
+    Blocks of items are all looked for in the texts as given; their spans are then cut at once.
     """
     small_batches(docs.sparkSession)
-    names, at = docs.columns, docs.columns.index(text_col)
-    for rows in _blocks(items, BLOCK_ITEMS):
-        shared = docs.sparkSession.sparkContext.broadcast(_items(rows, window))
-
-        def build(batches: Iterator[pa.RecordBatch], shared=shared):
-            scanner = Scanner(*shared.value)
-            for batch in batches:
-                for part, data, offsets in pieces(batch, names[at]):
-                    words = Words(data, offsets, _TABLE, lower=True)
-                    counts, new, keep = words.counts(), {}, np.ones(part.num_rows, bool)
-                    for t, spans, _ in scanner.scan(words):
-                        spans = merged(spans)
-                        keep[t] = sum(b - a for a, b in spans) <= coverage * counts[t]
-                        kept, last = [], int(offsets[t])
-                        for a, b in spans:
-                            a, b = a + int(words.first[t]), b + int(words.first[t])
-                            kept.append(data[last : words.starts[a]].tobytes())
-                            last = int(words.starts[b]) if b < words.first[t + 1] else int(offsets[t + 1])
-                        kept.append(data[last : offsets[t + 1]].tobytes())
-                        new[t] = b"".join(kept).decode("utf-8", "replace")
-                    yield replaced(part, at, new, keep)
-
-        docs = docs.mapInArrow(build, docs.schema)
-    return docs
+    names = docs.columns
+    parts = [docs.sparkSession.sparkContext.broadcast(_items(rows, window)) for rows in _blocks(items, block)]
+    if len(parts) <= 1:
+        return docs.mapInArrow(_cut_scanned(parts, names.index(text_col), coverage), docs.schema) if parts else docs
+    # Blocks: a pass each over the same texts, whose spans meet again by the row's number.
+    row, spans = unused("row", names), unused("spans", names)
+    numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
+    source = numbered.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(row).alias("row"))
+    found = None
+    for part in parts:
+        one = saved(source.mapInArrow(_scan_spans(part), "row long, doc_id long, n_words long, spans array<struct<a:long,b:long>>, items array<long>").where("size(spans) > 0").select("row", "spans"), "decontaminate-spans")
+        found = one if found is None else found.unionByName(one)
+    found = found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias(spans)).withColumnRenamed("row", row)
+    joined = numbered.join(found, row, "left").select(*names, spans)
+    return joined.mapInArrow(_cut_joined(names.index(text_col), coverage), docs.schema)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores until no column has it, in whatever case."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def _cut(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, words: Words, hits: Iterator[tuple[int, list[tuple[int, int]]]], at: int, coverage: float) -> pa.RecordBatch:
+    """part without the hit words, and without the rows of which too large a share is hit."""
+    counts, new, keep = words.counts(), {}, np.ones(part.num_rows, bool)
+    for t, spans in hits:
+        spans = merged(spans)
+        keep[t] = sum(b - a for a, b in spans) <= coverage * counts[t]
+        kept, last = [], int(offsets[t])
+        for a, b in spans:
+            a, b = a + int(words.first[t]), b + int(words.first[t])
+            kept.append(data[last : words.starts[a]].tobytes())
+            last = int(words.starts[b]) if b < words.first[t + 1] else int(offsets[t + 1])
+        kept.append(data[last : offsets[t + 1]].tobytes())
+        new[t] = b"".join(kept).decode("utf-8", "replace")
+    return replaced(part, at, new, keep)
+
+
+def _cut_scanned(parts: list, at: int, coverage: float):
+    def build(batches: Iterator[pa.RecordBatch]):
+        scanner = Scanner(*parts[0].value)
+        for batch in batches:
+            for part, data, offsets in pieces(batch, batch.schema.names[at]):
+                words = Words(data, offsets, _TABLE, lower=True)
+                yield _cut(part, data, offsets, words, ((t, spans) for t, spans, _ in scanner.scan(words)), at, coverage)
+
+    return build
+
+
+def _cut_joined(at: int, coverage: float):
+    """The last column holds each row's spans, or null."""
+
+    def build(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for part, data, offsets in pieces(batch, batch.schema.names[at]):
+                hits = [(t, [(x["a"], x["b"]) for x in spans]) for t, spans in enumerate(part.column(part.num_columns - 1).to_pylist()) if spans]
+                bare = pa.RecordBatch.from_arrays(part.columns[:-1], schema=pa.schema(list(part.schema)[:-1]))
+                yield _cut(bare, data, offsets, Words(data, offsets, _TABLE, lower=True), iter(hits), at, coverage)
+
+    return build
 
 
 def replaced(part: pa.RecordBatch, at: int, new: dict[int, str], keep: np.ndarray | None = None) -> pa.RecordBatch:

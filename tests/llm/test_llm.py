@@ -123,6 +123,21 @@ def test_decontamination(spark, docs, none):
     assert clean[6] == "after" and clean[3] == "one" and clean[0] is None
 
 
+def test_decontamination_blocks(spark):
+    """Items in blocks cut what one automaton cuts: overlapping items, shared coverage, and no windows across a cut."""
+    a, b = [f"a{i}" for i in range(12)], [f"b{i}" for i in range(10)]
+    items = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(a[-4:] + b[:6])), (3, " ".join(b)), (4, " ".join(["left"] * 5 + ["right"] * 5))], "item_id long, text string")
+    texts = [" ".join(["x"] * 10 + a + b[:6] + ["y"] * 10), " ".join(a + b + ["z"] * 5), " ".join(["left"] * 5 + a + ["right"] * 5), "clean", None, " ".join(["q"] * 30 + a)]
+    made = [(i, t, len(t or ""), "s", i) for i, t in enumerate(texts)] + [(0, texts[0], 9, "s", 7)]
+    rows = spark.createDataFrame(made, "doc_id long, text string, n_chars long, spans string, row long").repartition(3)
+    whole = decontaminate.cleaned(rows, items)
+    for block in (1, 2):
+        split = decontaminate.cleaned(rows, items, block=block)
+        assert split.schema == rows.schema and Counter(map(tuple, split.collect())) == Counter(map(tuple, whole.collect()))
+    got = {r.row: r.text for r in whole.collect()}
+    assert got[0] == got[7] == "x " * 10 + "y " * 9 + "y" and 1 not in got and got[2] == "left " * 5 + "right " * 4 + "right" and got[4] is None
+
+
 def test_private(docs, none):
     got = {r.doc_id: r for r in private.find_private(docs).collect()}
     r = got[11]
