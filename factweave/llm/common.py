@@ -29,6 +29,13 @@ def two(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores until no column has it, in whatever case."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir, or one set here where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

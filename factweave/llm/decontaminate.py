@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, saved, small_batches, small_enough, two
+from .common import read, saved, small_batches, small_enough, two, unused
 from .words import NON_ALNUM, Words, classes, pieces
 
 WINDOW = 10
@@ -273,13 +273,6 @@ def cleaned(docs: DataFrame, items: DataFrame, text_col: str = "text", window: i
     return joined.mapInArrow(_cut_joined(names.index(text_col), coverage), docs.schema)
 
 
-def unused(name: str, columns: list[str]) -> str:
-    """name, with underscores until no column has it, in whatever case."""
-    while name.lower() in {c.lower() for c in columns}:
-        name += "_"
-    return name
-
-
 def _cut(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, words: Words, hits: Iterator[tuple[int, list[tuple[int, int]]]], at: int, coverage: float) -> pa.RecordBatch:
     """part without the hit words, and without the rows of which too large a share is hit."""
     counts, new, keep = words.counts(), {}, np.ones(part.num_rows, bool)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import input_bytes, read, saved, small_enough, two
+from .common import input_bytes, read, saved, small_enough, two, unused
 from .words import SPACES, Words, classes, mix, pieces, whole, windows
 
 SHINGLE = 5
@@ -200,12 +200,19 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A stage: of each group of near copies (similarity 0.8 or more) the document of smallest id stays."""
-    found = near_duplicates(docs, 80)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    """A stage: of each group of near copies (similarity 0.8 or more) the document of smallest id stays.
+
+    Each row is a document of its own: of rows with one id some may go, and of equal ones one stays. Rows without an id stay.
+    """
+    names, key = docs.columns, "doc_id"
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        key = unused("row", names)  # numbers in the order of the ids, so that the smallest number has the smallest id
+        ordered = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+        docs = saved(ordered.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "numbered")
+    gone = near_duplicates(docs, 80, id_col=key).where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
     if small_enough(gone, BROADCAST_IDS):
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, key, "left_anti").select(*names)
 
 
 OP8_SQL = r"""

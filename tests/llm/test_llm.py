@@ -106,6 +106,18 @@ def test_neardup_blocks(spark, monkeypatch):
     assert len({r[2] for r in one}) > 1
 
 
+def test_keep_one_rows(spark):
+    """Rows are judged one by one, whatever their ids; other columns stay."""
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    made = [(3, a, "w", 1), (5, a, "x", 2), (5, b, "y", 3), (9, b, "z", 4), (7, "own text", "v", 5), (7, "own text", "v", 5), (None, a, "n", 6), (8, None, "t", 7), (8, None, "t", 8)]
+    rows = spark.createDataFrame(made, "doc_id long, text string, kept string, row long").repartition(3)
+    got = neardup.keep_one(spark, rows, SF)
+    assert got.columns == rows.columns
+    assert Counter(map(tuple, got.collect())) == Counter([made[0], made[2], made[4], made[6], made[7], made[8]])
+    once = spark.createDataFrame([r for i, r in enumerate(made) if i in (0, 1, 3, 4)], rows.schema)
+    assert sorted(r.row for r in neardup.keep_one(spark, once, SF).collect()) == [1, 4, 5]
+
+
 def test_connected(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 202)]
     got = {r.node: r.root for r in neardup.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
