@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, two
+from .common import read, small_batches, two, unused
 from .words import Words, mix, pieces, windows
 
 BITS = 20
@@ -117,16 +117,16 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCH
     return weights(z, n)[: BIAS + 1]
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, score_col: str = "score") -> DataFrame:
     """score for each row: the chance that its label is 1, from its whole text alone.
 
     An empty or null text has only the bias. Rows stay apart whatever their ids; an empty table
-    gives none. With keep, the input's columns come along (but for an own `score`, which is replaced).
+    gives none. With keep, the input's columns come along (but for one named score_col, which is replaced).
     """
     small_batches(docs.sparkSession)
     used = np.flatnonzero(weights)
     shared = docs.sparkSession.sparkContext.broadcast((used.astype(np.int32), weights[used].astype(np.float32)))  # at most 2**BITS slots
-    rest = [c for c in docs.columns if c != "score"] if keep else []
+    rest = [c for c in docs.columns if c != score_col] if keep else []
     source = docs.select(*rest) if keep else two(docs, id_col, text_col)
     at = rest.index(text_col) if keep else 1
 
@@ -138,10 +138,10 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
                 text, slot, value = features(data, offsets)
                 logit = np.bincount(text, w[slot] * value, part.num_rows)
                 out = pa.array(1 / (1 + np.exp(-np.clip(logit, -35, 35))))
-                yield pa.RecordBatch.from_arrays([*(part.columns if keep else part.columns[:1]), out], [*(part.schema.names if keep else ["doc_id"]), "score"])
+                yield pa.RecordBatch.from_arrays([*(part.columns if keep else part.columns[:1]), out], [*(part.schema.names if keep else ["doc_id"]), score_col])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) if keep else "doc_id long"
-    return source.mapInArrow(build, f"{kinds}, score double")
+    return source.mapInArrow(build, f"{kinds}, `{score_col}` double")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,4 +155,5 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A stage: documents scored under KEEP_AT go."""
     original = read(spark, sf_dir, "documents")
     weights = train(original, read(spark, sf_dir, "labels"))
-    return score(docs, weights, keep=True).where(F.col("score") >= KEEP_AT).drop("score")
+    name = unused("score", docs.columns)
+    return score(docs, weights, keep=True, score_col=name).where(F.col(name) >= KEEP_AT).select(*docs.columns)

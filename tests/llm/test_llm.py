@@ -274,6 +274,16 @@ def test_quality(spark, docs, none):
     assert quality.score(none, np.zeros(quality.BIAS + 1)).count() == 0
 
 
+def test_keep_good_columns(spark, docs):
+    """An input's own score stays, with all other columns, and decides nothing."""
+    got = quality.keep_good(spark, docs, SF)
+    assert got.schema == docs.schema
+    weights = quality.train(*(spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels")))
+    bare = docs.select("doc_id", "text")
+    want = quality.score(bare, weights, keep=True).where(f"score >= {quality.KEEP_AT}").select("doc_id", "text").collect()
+    assert Counter(map(tuple, got.collect())) == Counter((*r, "x", 1.0) for r in want) and 0 < len(want)
+
+
 def test_language(spark, docs, none):
     out = {r.doc_id: r for r in language.op10_language(spark, "/root/testdata/sf0.01").collect()}
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()
