@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read, two
+from .common import read, saved, two
 
 UNIT, UNITS_A_CHUNK, RATE = 64, 16, 8000
 #: Boxes that hold boxes, as the format names them.
@@ -201,21 +201,22 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As media_columns, but the files are only digested: each is stored, walked and read back where it is made."""
+    """Digests of the files in media_columns' media column, written to the shared folder and read again."""
 
     def build(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for text in batch.column(1):
-                n, media = _stored(text.as_py())
+            out: list[list] = [[] for _ in range(6)]
+            for media in batch.column(2):
+                media = media.as_py()
                 track = inspect(media)
                 back = payload(media, track)
-                for column, value in zip(out, (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(track)), strict=True):
+                for column, value in zip(out, (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(track)), strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], DIGESTS.replace(",", "").split(" ")[::2])
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], DIGESTS.replace(",", "").split(" ")[::2])
 
-    return two(docs, id_col, text_col).mapInArrow(build, DIGESTS)
+    stored = saved(media_columns(docs, id_col, text_col), "media")
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(build, DIGESTS)
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,6 +205,15 @@ def test_media(docs, none):
     assert iso_media.inspect(b"no file at all") is None and iso_media.inspect(b"") is None
 
 
+def test_media_stored(docs, monkeypatch):
+    """The digests are of the stored column's files."""
+    kept = []
+    monkeypatch.setattr(iso_media, "saved", lambda df, name: kept.append(df.localCheckpoint()) or kept[-1], raising=False)
+    got = Counter((r.doc_id, r.n_bytes, r.media_bytes, r.media_sha256) for r in iso_media.media_digests(docs).collect())
+    assert len(kept) == 1
+    assert got == Counter((r.doc_id, r.n_bytes, len(r.media), hashlib.sha256(r.media).hexdigest()) for r in kept[0].collect())
+
+
 def test_packing(docs, none):
     encode = tokens.Encoder(tokens.public_path("word_bpe_49k.json")).tokenizer
     pieces_of, length = defaultdict(list), Counter()
