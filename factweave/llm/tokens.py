@@ -1,8 +1,10 @@
 """Ids of whole texts, as the tokenizers library gives them, with each distinct word encoded once.
 
-A batch is cut into pre-tokens over its bytes with numpy, by the rule of the vocabulary file;
-distinct ones are told apart by 64-bit hashes and kept in a bounded table, and only new ones go
-to the library. Texts with characters outside ASCII and the Latin letters, or with the name of a
+A batch is cut into pre-tokens over its bytes with numpy, by the rule of the vocabulary file, and
+only words that a bounded table lacks go to the library. A word of up to EXACT bytes is told by
+its length, its first eight bytes and its hash, which leave no two words equal (a hash is a
+bijection of the second eight bytes then); longer ones, and any that clash, are told by their
+bytes. Texts with characters outside ASCII and the Latin letters, or with the name of a
 special token, go to the library whole, so every text gets the library's ids.
 """
 
@@ -15,10 +17,12 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .words import _BASE, _COEFF, mix, powers
+from .words import word_hashes
 
 #: Distinct words kept by a worker, but for those of the last chunk; then its table starts anew.
 TABLE_WORDS, SLOT_BITS = 600_000, 21
+#: Bytes up to which length, first eight bytes and hash tell a word.
+EXACT = 16
 #: Words in one text for the library.
 GROUP = 200
 LETTER, DIGIT, OTHER, SPACE, ODD = 1, 2, 3, 0, 4
@@ -80,11 +84,7 @@ class Encoder:
         starts, ends, of = self._cut(raw, kind, offsets)
         if self.ends_words:
             raw = _lower(raw)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        up, down = powers(_BASE, len(raw) + 1)
-        np.cumsum(_COEFF[raw] * up[:-1], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * down[starts])
-        back = self._look_up(hashes, raw, starts, ends)
+        back = self._look_up(raw, starts, ends)
         at, size, pool = self.at, self.size, self.ids
         counts = np.bincount(of, size[back], n).astype(np.int64) if len(of) else np.zeros(n, np.int64)
         if odd.any():  # their blanks, in the byte kind, have been cut too
@@ -157,44 +157,66 @@ class Encoder:
             starts, ends = starts[word], ends[word]
         return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
-    def _look_up(self, hashes: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def _look_up(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Each word's place in the table; new words are encoded and put there.
 
         A slot of the hash's high bits names a word; words whose slot is taken are found in a
         sorted list. A full table is emptied first, so its size is bounded.
         """
-        if len(self.hashes) > TABLE_WORDS:
+        if len(self.hashes) > TABLE_WORDS or len(self.ids) > 8 * TABLE_WORDS:
             self._clear()
+        sizes = ends - starts
+        hashes, head = word_hashes(raw, starts, ends)
         slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         found = self.slots[slot].astype(np.int64)
-        rest = np.flatnonzero(self.hashes[found] != hashes)
+        right = (self.hashes[found] == hashes) & (self.heads[found] == head) & (self.sizes[found] == sizes)
+        rest = np.flatnonzero(~right | (sizes > EXACT))
         if not len(rest):
             return found
-        distinct, first, back = np.unique(hashes[rest], return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.spilled, distinct), len(self.spilled) - 1)
-        known = self.spilled[place] == distinct
-        index = np.where(known, self.spilled_at[place], 0)
-        new = np.flatnonzero(~known)
-        if len(new):
-            first = rest[first[new]]
+        by_bytes, rest = rest[sizes[rest] > EXACT], rest[sizes[rest] <= EXACT]
+        if len(rest):
+            distinct, first, back = np.unique(hashes[rest], return_index=True, return_inverse=True)
+            place = np.minimum(np.searchsorted(self.spilled, distinct), len(self.spilled) - 1)
+            known = self.spilled[place] == distinct
+            index = np.where(known, self.spilled_at[place], 0)
+            new = np.flatnonzero(~known)
+            if len(new):
+                first = rest[first[new]]
+                index[new] = self._add(raw, starts[first], ends[first], distinct[new], head[first])
+                free = self.slots[slot[first]] == 0
+                self.slots[slot[first[free]]] = index[new[free]]
+                lost = new[self.slots[slot[first]] != index[new]]
+                where = np.searchsorted(self.spilled, distinct[lost])
+                self.spilled, self.spilled_at = np.insert(self.spilled, where, distinct[lost]), np.insert(self.spilled_at, where, index[lost])
+            found[rest] = index[back]
+            clash = (self.heads[found[rest]] != head[rest]) | (self.sizes[found[rest]] != sizes[rest])
+            by_bytes = np.concatenate((by_bytes, rest[clash]))
+        if len(by_bytes):
             buffer = raw.tobytes()
-            ids, at, lengths = self._encode_words([buffer[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-            index[new] = len(self.hashes) + np.arange(len(new))
-            self.at = np.append(self.at, len(self.ids) + at)
-            self.size, self.hashes, self.ids = np.append(self.size, lengths), np.append(self.hashes, distinct[new]), np.append(self.ids, ids)
-            free = self.slots[slot[first]] == 0
-            self.slots[slot[first[free]]] = index[new[free]]
-            lost = new[self.slots[slot[first]] != index[new]]
-            where = np.searchsorted(self.spilled, distinct[lost])
-            self.spilled, self.spilled_at = np.insert(self.spilled, where, distinct[lost]), np.insert(self.spilled_at, where, index[lost])
-        found[rest] = index[back]
+            words = [buffer[a:b] for a, b in zip(starts[by_bytes].tolist(), ends[by_bytes].tolist(), strict=True)]
+            new = {w: i for w, i in zip(words, by_bytes.tolist(), strict=True) if w not in self.by_bytes}
+            if new:
+                at = np.array(list(new.values()))
+                self.by_bytes.update(zip(new, self._add(raw, starts[at], ends[at], np.zeros(len(at), np.uint64), head[at]).tolist(), strict=True))
+            found[by_bytes] = [self.by_bytes[w] for w in words]
         return found
 
+    def _add(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """Places of new words in the table, each with its ids."""
+        index, buffer = len(self.hashes) + np.arange(len(starts)), raw.tobytes()
+        ids, at, lengths = self._encode_words([buffer[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        self.at, self.size = np.append(self.at, len(self.ids) + at), np.append(self.size, lengths)
+        self.hashes, self.heads, self.sizes = np.append(self.hashes, hashes), np.append(self.heads, heads), np.append(self.sizes, ends - starts)
+        self.ids = np.append(self.ids, ids)
+        return index
+
     def _clear(self) -> None:
         """An empty table; its first place is of no word."""
-        self.hashes, self.at, self.size, self.ids = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint16)
+        self.hashes, self.heads, self.sizes = np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.full(1, -1, np.int64)
+        self.at, self.size, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint16)
         self.slots = np.zeros(1 << SLOT_BITS, np.int32)
         self.spilled, self.spilled_at = np.zeros(1, np.uint64), np.zeros(1, np.int64)
+        self.by_bytes: dict[bytes, int] = {}
 
     def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The library's ids of single pre-tokens, many in one text where they stay apart: ids, and each word's place and length."""

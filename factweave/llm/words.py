@@ -1,14 +1,16 @@
 """Vectorised words, word hashes and rolling window hashes over Arrow string columns.
 
-A batch's UTF-8 buffer is handled as one numpy byte array. A word's hash is a polynomial in
-an odd base modulo 2**64 over random per-byte coefficients, got from prefix sums, then mixed;
-a window's hash is the same over its words' hashes. Nulls are empty texts.
+A batch's UTF-8 buffer is handled as one numpy byte array. A word's hash takes its length and
+its bytes, eight at a time, through a mixing bijection; words of over LONG_WORD bytes are digested
+by BLAKE2. A window's hash is a polynomial in an odd base modulo 2**64 over its words' hashes, got
+from prefix sums, then mixed. Nulls are empty texts.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,21 +22,22 @@ NON_ALNUM = (*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80))
 #: Bytes of text handled at once; a longer single text is handled alone.
 CHUNK_BYTES = 1 << 19
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_COEFF = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of the longest word that is hashed by blocks of eight.
+LONG_WORD = 256
+
 _WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _fold() -> np.ndarray:
-    table = np.arange(256)
+    table = np.arange(256, dtype=np.uint8)
     table[65:91] += 32
     return table
 
 
 _FOLD = _fold()
-_COEFF_FOLDED = _COEFF[_FOLD]
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_LENGTH_SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _inverse(odd: np.uint64) -> np.uint64:
@@ -65,6 +68,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def block(eights: np.ndarray, starts: np.ndarray, sizes: np.ndarray, i: int) -> np.ndarray:
+    """The i-th eight bytes of each word, zeros behind its end; eights are those that begin at each byte."""
+    return eights[starts + 8 * i] & _MASKS[np.clip(sizes - 8 * i, 0, 8)]
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each byte, as one number, read in place."""
+    padded = np.zeros(len(data) + LONG_WORD + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + LONG_WORD, "<u8", padded, strides=(1,))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's hash and first eight bytes."""
+    sizes = ends - starts
+    at = eights(data)
+    heads = block(at, starts, sizes, 0)
+    out = mix(heads ^ (sizes.astype(np.uint64) * _LENGTH_SALT))
+    left = np.flatnonzero(sizes > 8)
+    i = 1
+    while len(left):
+        if i * 8 >= LONG_WORD:
+            raw = data.tobytes()
+            for j in left.tolist():
+                out[j] = int.from_bytes(hashlib.blake2b(raw[starts[j] : ends[j]], digest_size=8).digest(), "little")
+            break
+        out[left] = mix(out[left] ^ block(at, starts[left], sizes[left], i))
+        i += 1
+        left = left[sizes[left] > 8 * i]
+    return out, heads
+
+
 def classes(separators: tuple[int, ...], lower: bool = False) -> np.ndarray:
     """A class for each byte value: 0 for separators, 1 for the rest."""
     table = np.ones(256, np.int8)
@@ -94,10 +129,7 @@ class Words:
         return len(self.starts)
 
     def hashes(self) -> np.ndarray:
-        up, down = powers(_BASE, len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((_COEFF_FOLDED if self.lower else _COEFF)[self.data] * up[:-1], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        return word_hashes(_FOLD[self.data] if self.lower else self.data, self.starts, self.ends)[0]
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from factweave.llm import decontaminate, iso_media, language, neardup, packing, private, quality, queries, repeats, token_counts, token_files, tokens
-from factweave.llm.words import pieces
+from factweave.llm.words import buffers, pieces, word_hashes
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i % 700} the" for i in range(6000))
@@ -56,6 +56,47 @@ def test_encoder(name):
         assert [g.tolist() for g in got] == [encode.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def _twins(n):
+    """Two texts of n letters that polynomial hashes modulo a power of two confuse."""
+    one = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return [one, one.translate(str.maketrans("ab", "ba"))]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_long_words(name):
+    encode, rng = tokens.Encoder(tokens.public_path(name)), random.Random(4)
+    texts = [t for n in (2048, 1024, 512, 17, 16, 9, 8) for t in _twins(n)]
+    texts += [" ".join("".join(rng.choice("abé1 ") for _ in range(rng.randint(1, rng.choice([5, 20, 300])))) for _ in range(9)) for _ in range(100)]
+    for _ in range(2):
+        got = []
+        for _, data, offsets in pieces(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])):
+            got += tokens.split_ids(*encode.encode(data, offsets))
+        assert [g.tolist() for g in got] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_clash(monkeypatch):
+    """Words whose hashes are equal still get their own ids."""
+    monkeypatch.setattr(tokens, "word_hashes", lambda raw, starts, ends: (np.full(len(starts), 7, np.uint64), word_hashes(raw, starts, ends)[1]))
+    encode, texts = tokens.Encoder(tokens.public_path("byte_bpe_50k.json")), ["one two three", "two one four", "extraordinary circumstances of one", "one"]
+    for _ in range(2):
+        data, offsets = buffers(pa.array(texts))
+        got = tokens.split_ids(*encode.encode(data, offsets))
+        assert [g.tolist() for g in got] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_words_apart(spark):
+    """Words that differ are never one word, however long: repeats, near copies and benchmark passages."""
+    for n in (1024, 2048):
+        one, two = _twins(n)
+        a, b = (" ".join([w, *(f"w{i}" for i in range(49))]) for w in (one, two))
+        df = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+        assert {r.doc_id: r.n_removed for r in repeats.without_repeats(df).collect()} == {1: 0, 2: 0, 3: 50}
+        items = spark.createDataFrame([(1, " ".join(a.split()[:10]))], "item_id long, text string")
+        assert {r.doc_id: r.n_hit for r in decontaminate.contamination(df, items).collect()} == {1: 10, 2: 0, 3: 10}
+        short = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
+        assert {r.doc_id: r.component_id for r in neardup.near_duplicates(short).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def test_repeats(docs, none):
     want, first = Counter(), {}
     split = lambda t: (t or "").encode().split()
