@@ -76,10 +76,13 @@ def pack(data: bytes) -> bytes:
     return _FTYP + moov(head) + box(b"mdat", data)
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """Each box's path, and where its content starts and ends; broken sizes end the walk of their level."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def walk(data: bytes) -> Iterator[tuple[bytes, bytes, int, int]]:
+    """Each box's kind, the kind of the box around it, and where its content starts and ends; broken sizes end the walk of their level."""
+    levels = [(0, len(data), b"")]
+    while levels:
+        start, end, outer = levels.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
         if size == 1 and start + 16 <= end:
@@ -87,11 +90,11 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
         elif size == 0:
             size = end - start
         if size < head or start + size > end:
-            return
-        yield (*path, kind), start + head, start + size
+            continue
+        yield kind, outer, start + head, start + size
+        levels.append((start + size, end, outer))
         if kind in CONTAINERS:
-            yield from walk(data, start + head, start + size, (*path, kind))
-        start += size
+            levels.append((start + head, start + size, kind))
 
 
 @dataclass
@@ -104,31 +107,58 @@ class Track:
     sync: np.ndarray
 
 
+#: The sample tables that inspect reads.
+TABLES = {b"stsd", b"stsc", b"stsz", b"stss", b"stco", b"co64"}
+
+
 def inspect(data: bytes) -> Track | None:
-    """The first track whose tables are whole; None if there is none (or data is no such file)."""
+    """The first track whose tables are whole and agree with one another and with the file; None if there is none (or data is no such file).
+
+    No count of a table is taken for true before it is held against the bytes that are there.
+    """
     tracks: list[dict] = []
-    for path, a, b in walk(data):
-        kind = path[-1]
+    for kind, outer, a, b in walk(data):
         if kind == b"trak":
             tracks.append({})
         elif kind == b"mdhd" and tracks:
-            tracks[-1]["time"] = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
-        elif path[-2:-1] == (b"stbl",) and tracks:
+            tracks[-1][kind] = data[a:b]
+        elif outer == b"stbl" and kind in TABLES and tracks:
             tracks[-1][kind] = data[a + 4 : b]
     for t in tracks:
         if {b"stsd", b"stsc", b"stsz"} <= set(t) and (b"stco" in t or b"co64" in t):
-            sizes = _sizes(t)
-            return Track(t[b"stsd"][8:12].decode("latin-1"), *t.get("time", (0, 0)), sizes, _offsets(t, sizes), _sync(t, len(sizes)))
+            try:
+                return _track(t, len(data))
+            except (struct.error, ValueError):  # cut or contradictory tables
+                continue
     return None
 
 
+def _track(t: dict[bytes, bytes], size: int) -> Track:
+    sizes = _sizes(t[b"stsz"], size)
+    offsets = _offsets(t, sizes)
+    if len(offsets) and int((offsets + sizes).max()) > size:
+        raise ValueError("a sample ends behind the file")
+    head = t.get(b"mdhd", b"")
+    time = (0, 0) if not head else struct.unpack_from(">IQ", head, 20) if head[0] == 1 else struct.unpack_from(">II", head, 12)
+    if len(t[b"stsd"]) < 12 or time[1] >= 1 << 63:
+        raise ValueError("no sample entry, or no duration")
+    return Track(t[b"stsd"][8:12].decode("latin-1"), *time, sizes, offsets, _sync(t, len(sizes)))
+
+
 def _numbers(raw: bytes, kind: str, skip: int, n: int) -> np.ndarray:
-    return np.frombuffer(raw, kind, n, skip).astype(np.int64)
+    if skip + n * np.dtype(kind).itemsize > len(raw):
+        raise ValueError("a table is cut")
+    found = np.frombuffer(raw, kind, n, skip)
+    if kind == ">u8" and n and int(found.max()) >= 1 << 62:
+        raise ValueError("a place behind any file")
+    return found.astype(np.int64)
 
 
-def _sizes(tables: dict[bytes, bytes]) -> np.ndarray:
-    same, n = struct.unpack_from(">II", tables[b"stsz"])
-    return np.full(n, same, np.int64) if same else _numbers(tables[b"stsz"], ">u4", 8, n)
+def _sizes(raw: bytes, size: int) -> np.ndarray:
+    same, n = struct.unpack_from(">II", raw)
+    if same * n > size:
+        raise ValueError("more samples than bytes")
+    return np.full(n, same, np.int64) if same else _numbers(raw, ">u4", 8, n)
 
 
 def _offsets(tables: dict[bytes, bytes], sizes: np.ndarray) -> np.ndarray:
@@ -137,9 +167,14 @@ def _offsets(tables: dict[bytes, bytes], sizes: np.ndarray) -> np.ndarray:
     chunks = _numbers(raw, kind, 4, struct.unpack_from(">I", raw)[0])
     n = struct.unpack_from(">I", tables[b"stsc"])[0]
     runs = _numbers(tables[b"stsc"], ">u4", 4, 3 * n).reshape(n, 3)
-    per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
+    edges = np.append(runs[:, 0], len(chunks) + 1)
+    if len(chunks) and (not n or edges[0] != 1) or (np.diff(edges) <= 0).any() and len(chunks):
+        raise ValueError("runs of chunks out of order")
+    per = np.repeat(runs[:, 1], np.diff(edges)) if len(chunks) else np.zeros(0, np.int64)
+    if int(per.sum()) != len(sizes):
+        raise ValueError("chunks and samples differ in number")
     first = np.concatenate(([0], np.cumsum(per)))
-    of = np.repeat(np.arange(len(per)), per)[: len(sizes)]
+    of = np.repeat(np.arange(len(per)), per)
     before = np.concatenate(([0], np.cumsum(sizes)))
     return chunks[of] + before[: len(of)] - before[first[of]]
 
@@ -219,5 +254,17 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(build, DIGESTS)
 
 
+#: What SQL can express of op9_media: the payload is the text's bytes and the padding.
+PAYLOAD_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents)
+SELECT doc_id, n AS n_bytes, greatest(64, (n + 63) // 64 * 64) AS payload_bytes, sha256(encode(t) || unhex(repeat('00', (greatest(64, (n + 63) // 64 * 64) - n)::INTEGER))) AS payload_sha256 FROM d
+"""
+
+
+def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9_media that SQL can express."""
+    return op9_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(read(spark, sf_dir, "documents"))

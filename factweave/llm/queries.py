@@ -15,6 +15,9 @@ QUERIES = {
     "op8_neardup": neardup.op8_neardup,
     "op9_media": iso_media.op9_media,
     "op10_language": language.op10_language,
+    # What SQL can express of op5 and op9.
+    "private_base": private.base_private,
+    "media_payload": iso_media.media_payload,
 }
 
-ORACLES = {"op6_repeats": repeats.OP6_SQL, "op7_decontaminate": decontaminate.OP7_SQL, "op8_neardup": neardup.OP8_SQL}
+ORACLES = {"private_base": private.BASE_SQL, "media_payload": iso_media.PAYLOAD_SQL, "op6_repeats": repeats.OP6_SQL, "op7_decontaminate": decontaminate.OP7_SQL, "op8_neardup": neardup.OP8_SQL}
