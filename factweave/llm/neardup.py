@@ -4,8 +4,13 @@ Equal sets are one class from the start. Each class has one signature of BINS bi
 borrows from the first non-empty bin in its own fixed random order. In each bucket of a band all
 classes are tied to the smallest only, so candidate edges are at most the bucket rows. The stars'
 connected families hold every pair that shares a bucket; within a family links are confirmed on
-the full sets, by counting over postings, and only a spanning forest of the links leaves the task.
-A family too large for one task is split into blocks, and each pair of blocks is a task.
+the full sets, and only a spanning forest of the links leaves the task.
+
+Pairs inside one component need no look: a family is compared from its most typical text on, and
+then only texts that aren't linked with that one, however far, are compared with others (by a
+prefix filter on the rarest shingles). A family too large for one task is dealt into blocks; all
+blocks also get a few common centres. What then lies outside a family's largest component, often
+nothing, is compared with all its blocks.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import input_bytes, read, saved, small_enough, two, unused
+from .common import read, saved, small_enough, two, unused
 from .words import SPACES, Words, classes, mix, pieces, whole, windows
 
 SHINGLE = 5
@@ -28,8 +33,14 @@ BANDS, ROWS = 42, 6
 BINS = BANDS * ROWS
 #: Shingles of the documents in one block of a family; smaller families are one task.
 BLOCK_SHINGLES = 2_000_000
-#: Ids are broadcast up to this count (16 MB); beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
+#: Texts of a large family, one from each of its first blocks, that all of its blocks are compared with.
+CENTRES = 8
+#: Small tables (at most six numbers a row, so 64 MB) are broadcast up to this count of rows; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+#: Nodes with more edges than this, and than a 50,000th of all edges (so they are few), are salted in a join.
+HOT_EDGES, MOST_HOT = 2_000, 50_000
+#: Candidates that are compared with a text at first; then twice as many each time.
+FIRST_LOOK = 64
 _TABLE = classes(SPACES, lower=True)
 
 
@@ -88,6 +99,16 @@ def _profile(batches: Iterator[pa.RecordBatch]):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), same, keys], ["doc_id", "n_shingles", "same", "bands"])
 
 
+def _with_least(edges: DataFrame, n_edges: int, own: bool) -> DataFrame:
+    """edges (a, b) and m, the least b of a (or a itself, with own). A node of very many edges is salted, so no task gets all of them."""
+    hot = max(HOT_EDGES, 2 * n_edges // MOST_HOT)
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.ceil(F.count("*") / hot).cast("int").alias("parts"))
+    salted = F.broadcast(least.where("parts > 1").select("a", "parts"))  # at most MOST_HOT rows, as all parts together are that many
+    rows = edges.join(salted, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "parts"), F.lit(0)).cast("int").alias("salt"))
+    copies = least.select("a", F.least("a", "m").alias("m") if own else "m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    return rows.join(copies, ["a", "salt"]).select("a", "b", "m")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of edges (a, b): root is the smallest node reachable.
 
@@ -95,73 +116,139 @@ def connected(edges: DataFrame) -> DataFrame:
     changes nothing; nothing of the graph is on the driver but a count.
     """
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    before, n = None, now.count()
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a")
+        large = _with_least(both, n, own=True).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = _with_least(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), n, own=False)
         step = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         now = saved(step, "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break
-        before = tuple(state)
+        before, n = tuple(state), state[0]
     nodes = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _find(parent: np.ndarray, x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+class Components:
+    """A component's number for each of n items; the smaller of two joined ones takes the other's number."""
+
+    def __init__(self, labels: np.ndarray):
+        order = np.argsort(labels, kind="stable")
+        edge = np.flatnonzero(np.diff(labels[order], prepend=labels[order[0]] - 1))
+        self.of = np.empty(len(labels), np.int64)
+        self.of[order] = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(labels))))
+        self.members = [part.tolist() for part in np.split(order, edge[1:])]
 
+    def join(self, i: int, j: int) -> bool:
+        a, b = int(self.of[i]), int(self.of[j])
+        if a == b:
+            return False
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        self.of[self.members[b]] = a
+        self.members[a] += self.members[b]
+        self.members[b] = []
+        return True
 
-def linked(sets: list[np.ndarray], similarity: int, first: int | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets; with `first`, only pairs across that place count."""
+
+def linked(sets: list[np.ndarray], similarity: int, labels: np.ndarray | None = None, pivots: int | None = None) -> list[tuple[int, int]]:
+    """Links among sets that join all that links join, as pairs of places: a spanning forest of the links.
+
+    labels: sets of one label are one component already. With pivots, only pairs with one of
+    the first so many sets count. Two sets at the threshold share one of their rarest shingles,
+    of which each set lists as many as it could miss and one more; only such pairs are compared.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    shingles, at = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(at, kind="stable")
-    posting, start = owner[order], np.searchsorted(at[order], np.arange(len(shingles) + 1))
+    shingles, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(shingles), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(shingles))
     ends = np.concatenate(([0], np.cumsum(sizes)))
-    parent, forest = np.arange(len(sets)), []
-    for i in range(len(sets) if first is None else first):
-        mine = at[ends[i] : ends[i + 1]]
-        lengths = start[mine + 1] - start[mine]
-        shared = lengths > 1
-        begin, lengths = start[mine[shared]], lengths[shared]
-        if not len(begin):
+    typical = int(np.argmax(np.add.reduceat(often[at], ends[:-1]) / sizes))
+    at = rank[at]
+    at = at[np.lexsort((at, owner))]
+    prefix = sizes - (similarity * sizes + 99) // 100 + 1
+    listed = np.flatnonzero(np.arange(len(at)) - ends[:-1][owner] < prefix[owner])
+    listed = listed[np.argsort(at[listed], kind="stable")]
+    posting, start = owner[listed], np.searchsorted(at[listed], np.arange(len(shingles) + 1))
+    groups, forest = Components(np.arange(len(sets)) if labels is None else labels), []
+    mark = np.zeros(len(shingles), bool)
+
+    def spread(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return np.repeat(begin - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(int(lengths.sum()))
+
+    for i in range(pivots) if pivots is not None else [typical, *range(len(sets))]:
+        if pivots is None and i != typical and groups.of[i] == groups.of[typical]:
             continue
-        shift = np.repeat(begin - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
-        both = np.bincount(posting[np.arange(len(shift)) + shift], minlength=len(sets))
-        hit = 100 * both >= similarity * (sizes[i] + sizes - both)
-        hit[: i + 1 if first is None else first] = False
-        for j in np.flatnonzero(hit).tolist():
-            a, b = _find(parent, i), _find(parent, j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                forest.append((i, j))
+        mine = at[ends[i] : ends[i] + prefix[i]]
+        found = np.unique(posting[spread(start[mine], start[mine + 1] - start[mine])])
+        found = found[(groups.of[found] != groups.of[i]) & (100 * sizes[found] >= similarity * sizes[i]) & (100 * sizes[i] >= similarity * sizes[found])]
+        mark[at[ends[i] : ends[i + 1]]] = True
+        look = FIRST_LOOK
+        while len(found):
+            some, found = found[:look], found[look:]
+            both = np.add.reduceat(mark[at[spread(ends[some], sizes[some])]], np.cumsum(sizes[some]) - sizes[some], dtype=np.int64)
+            forest += [(i, j) for j in some[100 * both >= similarity * (sizes[i] + sizes[some] - both)].tolist() if groups.join(i, j)]
+            found, look = found[groups.of[found] != groups.of[i]], 2 * look
+        mark[at[ends[i] : ends[i + 1]]] = False
     return forest
 
 
 def _confirm(similarity: int):
     def build(table: pa.Table) -> pa.Table:
-        """One pair of blocks of a family: its links as edges between classes."""
+        """One block of a family, or its rest (side 0) and a block: links as edges between classes. Texts of one label are one component."""
         table = table.sort_by([("side", "ascending"), ("doc_id", "ascending")])
         batch = table.combine_chunks().to_batches()[0]
         sets = [s for _, data, offsets in pieces(batch) for s in shingle_sets(data, offsets)]
-        ids = batch.column("doc_id").to_numpy()
-        sides = batch.column("side").to_numpy()
-        forest = linked(sets, similarity, int((sides == 0).sum()) if sides[-1] else None)
+        ids, sides = batch.column("doc_id").to_numpy(), batch.column("side").to_numpy()
+        forest = linked(sets, similarity, batch.column("label").to_numpy(), int((sides == 0).sum()) if sides[0] == 0 else None)
         return pa.table({"a": pa.array([int(ids[i]) for i, _ in forest], pa.int64()), "b": pa.array([int(ids[j]) for _, j in forest], pa.int64())})
 
     return build
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if small_enough(df, BROADCAST_ROWS) else df
+
+
+def _links(source: DataFrame, dealt: DataFrame, similarity: int) -> DataFrame:
+    """Links inside the groups (family, x, y) of dealt (rep, family, x, y, side, label)."""
+    # A repeated id may have several texts; the class's own is any whose set is the class's.
+    texts = source.join(_small(dealt), F.col("doc_id") == F.col("rep")).select("doc_id", "text", "family", "x", "y", "side", "label")
+    return saved(texts.groupBy("family", "x", "y").applyInArrow(_confirm(similarity), "a long, b long"), "links")
+
+
+def confirmed(source: DataFrame, family: DataFrame, similarity: int) -> DataFrame:
+    """(a, b) that join what links join inside each family of (rep, family, n_shingles)."""
+    blocks = lambda: F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int")
+    large = family.groupBy("family").agg(blocks().alias("blocks")).where("blocks > 1")
+    some = large.limit(1).count() > 0
+    if not some:
+        return _links(source, family.select("rep", "family", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(1).alias("side"), F.col("rep").alias("label")), similarity)
+    large = saved(large, "large-families")
+    sized = family.join(_small(large), "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    sized = sized.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = sized.select("rep", "family", F.col("own").alias("x"))
+    centres = sized.where((F.col("blocks") > 1) & (F.col("own") < CENTRES)).groupBy("family", "own", "blocks").agg(F.min_by("rep", F.xxhash64("rep")).alias("rep"))
+    centres = centres.select("rep", "family", "own", each("blocks").alias("x")).where("x <> own").select("rep", "family", "x")
+    dealt = members.unionByName(centres).select("*", F.lit(0).alias("y"), F.lit(1).alias("side"), F.col("rep").alias("label"))
+    links = _links(source, dealt, similarity)
+
+    # What lies outside the largest component of a large family meets all its blocks.
+    labelled = sized.where("blocks > 1").join(connected(links), F.col("rep") == F.col("node"), "left").select("rep", "family", "n_shingles", "own", "blocks", F.coalesce("root", "rep").alias("label"))
+    labelled = saved(labelled, "labelled")
+    main = labelled.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("label"))
+    rest = labelled.join(_small(main), ["family", "label"], "left_anti")
+    size = _small(saved(rest.groupBy("family").agg(blocks().alias("parts")), "rest"))
+    rest = rest.join(size, "family").select("rep", "family", "label", F.pmod(F.xxhash64("rep", F.lit(1)), "parts").cast("int").alias("x"), each("blocks").alias("y"), F.lit(0).alias("side"))
+    others = labelled.join(size, "family").select("rep", "family", "label", each("parts").alias("x"), F.col("own").alias("y"), F.lit(1).alias("side"))
+    return links.unionByName(_links(source, rest.unionByName(others), similarity))
+
+
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
@@ -179,17 +266,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str =
     stars = rows.join(centres, "key").where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
     family = saved(connected(stars).join(reps.select("rep", "n_shingles"), F.col("node") == F.col("rep")).select("rep", F.col("root").alias("family"), "n_shingles"), "families")
 
-    # Blocks: by a hash of the id, as many as the family's shingles need; a task for each pair of blocks.
-    blocks = F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int")
-    sized = family.join(family.groupBy("family").agg(blocks.alias("blocks")), "family")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = sized.withColumn("own", own).select("rep", "family", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("rep", "family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    wanted = F.broadcast(dealt) if small_enough(dealt, BROADCAST_IDS) else dealt
-    # A repeated id may have several texts; the class's own is any whose set is the class's.
-    texts = source.join(wanted, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "family", "x", "y", "side")
-    links = saved(texts.groupBy("family", "x", "y").applyInArrow(_confirm(similarity), "a long, b long"), "links")
-    roots = connected(links)
+    roots = connected(confirmed(source, family, similarity))
     out = profiles.join(reps.select("same", "rep"), "same", "left").join(roots, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("root", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -210,9 +287,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ordered = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
         docs = saved(ordered.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "numbered")
     gone = near_duplicates(docs, 80, id_col=key).where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
-    if small_enough(gone, BROADCAST_IDS):
-        gone = F.broadcast(gone)
-    return docs.join(gone, key, "left_anti").select(*names)
+    return docs.join(_small(gone), key, "left_anti").select(*names)
 
 
 OP8_SQL = r"""
