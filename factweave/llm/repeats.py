@@ -6,6 +6,11 @@ index; every rolling window of BLOCK words is a probe. Index and probes meet in
 hash, packed as numbers, never as a row for each. Stretches of SEGMENT words with a hit in
 another document are extended: their windows of WINDOW words are matched, and adjoining
 matches make up the maximal repeats, whose words go from all but the smallest document.
+
+A window that two documents have which are read together is a hit there and then, and sends no
+probe; of a block's documents only the smallest and the largest id are sent, of a window's
+only the smallest. So however common a passage, it comes to its bucket once from each part of
+the input, and a bucket's task holds one entry for each distinct window.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import input_bytes, read, saved, small_enough, two
+from .common import input_bytes, read, saved, small_enough, two, unused
 from .words import SPACES, Words, classes, pieces, windows
 
 WINDOW, BLOCK, SEGMENT = 50, 25, 1024
@@ -72,7 +77,7 @@ def _rolled(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _offer(buckets: int):
-    """Blocks (kind 0) and probes (kind 1): 32 bits of each hash within its bucket."""
+    """Blocks (kind 0) and probes (kind 1): 32 bits of each hash within its bucket. Kind 2: stretches that need no probe."""
 
     def build(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -81,12 +86,26 @@ def _offer(buckets: int):
                 if not len(hashes):
                     continue
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                wide = len(data) > SEGMENT and bool((place >= SEGMENT).any())
+                stretch, owner = np.unique(np.stack([of, place // SEGMENT]), axis=1, return_inverse=True) if wide else (np.stack([np.arange(len(ids)), np.zeros(len(ids), np.int64)]), of)
+                owner = owner.ravel()
                 bucket, low = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), hashes.astype(np.uint32)
+                order = np.argsort(hashes, kind="stable")
+                edge = _runs(hashes[order])
+                who = ids[of[order]]
+                shared = np.repeat(np.minimum.reduceat(who, edge[:-1]) != np.maximum.reduceat(who, edge[:-1]), np.diff(edge))
+                first = np.zeros(len(hashes), bool)
+                first[order[_runs(hashes[order], owner[order])[:-1]]] = True
+                first[order[shared]] = False
                 rows: list[list] = []
-                block = place % BLOCK == 0
+                block = np.flatnonzero(place % BLOCK == 0)
+                block = block[np.lexsort((ids[of[block]], hashes[block]))]
+                ends = _runs(hashes[block])
+                block = np.sort(block[np.unique(np.concatenate((ends[:-1], ends[1:] - 1)))]) if len(block) else block
                 _pack(bucket[block], 0, of[block], ids, None, low[block], None, rows)
-                stretch, owner = np.unique(np.stack([of, place // SEGMENT]), axis=1, return_inverse=True) if len(data) > SEGMENT and (place >= SEGMENT).any() else (np.stack([np.arange(len(ids)), np.zeros(len(ids), np.int64)]), of)
-                _pack(bucket, 1, owner.ravel(), ids[stretch[0]], stretch[1], low, None, rows)
+                _pack(bucket[first], 1, owner[first], ids[stretch[0]], stretch[1], low[first], None, rows)
+                if len(known := np.unique(owner[order[shared]])):
+                    rows.append([int(known[0] + ids[0]) % buckets, 2, ids[stretch[0][known]].tobytes(), stretch[1][known].tobytes(), b"", b"", b""])
                 yield _batch(rows)
 
     return build
@@ -101,6 +120,10 @@ def _probe(batches: Iterator[pa.RecordBatch]):
             if bucket != now:
                 now, kept, index = bucket, [], None
             ids = np.frombuffer(docs, np.int64)
+            if kind == 2:
+                found_docs.append(ids)
+                found_at.append(np.frombuffer(stretch, np.int64))
+                continue
             of = np.repeat(np.arange(len(ids)), np.frombuffer(counts, np.uint32))
             low = np.frombuffer(low, np.uint32)
             if kind == 0:
@@ -168,21 +191,29 @@ def _extend(buckets: int):
     return build
 
 
+#: Windows of a bucket that are looked at together, at least.
+SETTLE = 1 << 17
+
+
 def _settle(batches: Iterator[pa.RecordBatch]):
-    """Places of windows that start in a document of smaller id too. A window comes once from each part of a task at most, but for repeats in one document."""
-
-    def flush(held: list[list]):
-        ids = np.concatenate([np.frombuffer(r[2], np.int64) for r in held])
-        texts = np.concatenate([np.frombuffer(r[3], np.int64) for r in held])
-        of = np.repeat(np.arange(len(ids)), np.concatenate([np.frombuffer(r[4], np.uint32) for r in held]))
-        hashes = np.concatenate([np.frombuffer(r[5], np.uint64) for r in held])
-        places = np.concatenate([np.frombuffer(r[6], np.uint32) for r in held])
-        order = np.lexsort((ids[of], hashes))
+    """Places of windows that start in a document of smaller id too. Of each distinct window only those in the smallest document so far are held."""
+
+    def settled(held: list[tuple]) -> tuple[tuple, tuple]:
+        """(the windows in their smallest document, the others), each as ids, texts, hashes, places."""
+        ids, texts, hashes, places = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((texts, ids, hashes))
         edge = _runs(hashes[order])
         least = np.empty(len(hashes), np.int64)
-        least[order] = np.repeat(ids[of[order[edge[:-1]]]], np.diff(edge))
-        later = np.flatnonzero(ids[of] > least)
-        yield from emit(ids, texts, of[later], places[later])
+        least[order] = np.repeat(ids[order[edge[:-1]]], np.diff(edge))
+        later = ids > least
+        return tuple(x[~later] for x in (ids, texts, hashes, places)), tuple(x[later] for x in (ids, texts, hashes, places))
+
+    def told(ids, texts, _, places):
+        order = np.lexsort((places, texts, ids))
+        ids, texts, places = ids[order], texts[order], places[order]
+        cuts = _runs(ids, texts)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield int(ids[a]), int(texts[a]), places[a:b].astype(np.uint32).tobytes()
 
     def emit(ids, texts, of, places):
         cuts = _runs(of)
@@ -190,20 +221,24 @@ def _settle(batches: Iterator[pa.RecordBatch]):
             yield int(ids[of[a]]), int(texts[of[a]]), places[a:b].astype(np.uint32).tobytes()
 
     def rows():
-        now, held = None, []
+        now, held, kept, size = None, [], 0, 0
         for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if held and r[0] != now:
-                    yield from flush(held)
-                    held = []
-                now = r[0]
-                if now < 0:
-                    ids = np.frombuffer(r[2], np.int64)
-                    yield from emit(ids, np.frombuffer(r[3], np.int64), np.repeat(np.arange(len(ids)), np.frombuffer(r[4], np.uint32)), np.frombuffer(r[6], np.uint32))
+            for bucket, _, docs, text_ids, counts, hashes, places in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if held and (bucket != now or size >= max(SETTLE, 2 * kept)):
+                    least, others = settled(held)
+                    yield from told(*others)
+                    held, kept = ([], 0) if bucket != now else ([least], len(least[0]))
+                    size = kept
+                now = bucket
+                ids, texts = np.frombuffer(docs, np.int64), np.frombuffer(text_ids, np.int64)
+                of = np.repeat(np.arange(len(ids)), np.frombuffer(counts, np.uint32))
+                if bucket < 0:
+                    yield from emit(ids, texts, of, np.frombuffer(places, np.uint32))
                 else:
-                    held.append(r)
+                    held.append((ids[of], texts[of], np.frombuffer(hashes, np.uint64), np.frombuffer(places, np.uint32)))
+                    size += len(of)
         if held:
-            yield from flush(held)
+            yield from told(*settled(held)[1])
 
     pending: list[tuple] = []
     for row in rows():
@@ -243,13 +278,13 @@ def kept_words(raw: bytes, places: np.ndarray, window: int = WINDOW) -> list[byt
 
 def _without(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        counts, digests = [], []
+        texts, counts, digests = [], [], []
         for text, places in zip(batch.column("text"), batch.column("places").to_pylist(), strict=True):
-            raw = text.as_py().encode()
-            kept = kept_words(raw, np.unique(np.concatenate([np.frombuffer(p, np.uint32) for p in places])).astype(np.int64))
+            kept = kept_words(text.as_py().encode(), np.unique(np.concatenate([np.frombuffer(p, np.uint32) for p in places])).astype(np.int64))
+            texts.append(b" ".join(kept).decode())
             counts.append(len(kept))
             digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "text_id", "n_kept", "new_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "text_id", "new_text", "n_kept", "new_sha256"])
 
 
 def repeated_places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -266,6 +301,30 @@ def repeated_places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return saved(windows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle, "doc_id long, text_id long, places binary"), "repeat-places"), texts
 
 
+def changed_texts(source: DataFrame) -> DataFrame:
+    """(doc_id, text_id, new_text, n_kept, new_sha256) of the texts of source (doc_id, text, text_id) that lose words: the kept ones, joined by one space."""
+    places, texts = repeated_places(source)
+    packed = places.groupBy("doc_id", "text_id").agg(F.collect_list("places").alias("places"))
+    changed = texts.select("doc_id", "text_id", "text").dropDuplicates(["doc_id", "text_id"]).join(packed, ["doc_id", "text_id"])
+    return changed.mapInArrow(_without, "doc_id long, text_id long, new_text string, n_kept long, new_sha256 string")
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return two(docs, id_col, text_col).withColumn("text_id", F.xxhash64("text"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without repeats: a text that loses words becomes its kept words, joined by one space; all others stay as they are, as do the other columns.
+
+    Nulls, rows without an id, repeated ids and empty tables are taken as by without_repeats.
+    """
+    names = docs.columns
+    a, b, c = (unused(n, names) for n in ("key", "text_key", "new"))
+    new = changed_texts(_source(docs, id_col, text_col)).select(F.col("doc_id").alias(a), F.col("text_id").alias(b), F.col("new_text").alias(c))
+    joined = docs.join(new, (F.col(id_col).cast("long") == F.col(a)) & (F.xxhash64(F.col(text_col)) == F.col(b)), "left")
+    return joined.select(*[F.coalesce(c, n).alias(n) if n == text_col else n for n in names])
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for each row of docs.
 
@@ -273,13 +332,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     any; rows of the same id don't either, among themselves. Texts under WINDOW words stay whole.
     An empty table gives none.
     """
-    source = two(docs, id_col, text_col).withColumn("text_id", F.xxhash64("text"))
-    places, texts = repeated_places(source)
-    packed = places.groupBy("doc_id", "text_id").agg(F.collect_list("places").alias("places"))
-    changed = texts.select("doc_id", "text_id", "text").dropDuplicates(["doc_id", "text_id"]).join(packed, ["doc_id", "text_id"])
-    changed = changed.mapInArrow(_without, "doc_id long, text_id long, n_kept long, new_sha256 string")
+    source = _source(docs, id_col, text_col)
     plain = source.mapInArrow(_plain, "doc_id long, text_id long, n_words long, kept_sha256 string")
-    joined = plain.join(changed, ["doc_id", "text_id"], "left")
+    joined = plain.join(changed_texts(source).drop("new_text"), ["doc_id", "text_id"], "left")
     return joined.select("doc_id", "n_words", (F.col("n_words") - F.coalesce("n_kept", "n_words")).alias("n_removed"), F.coalesce("new_sha256", "kept_sha256").alias("kept_sha256"))
 
 
