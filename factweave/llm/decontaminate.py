@@ -8,94 +8,168 @@ item) is a hit; the words it covers are marked, and the items that hold it are l
 from __future__ import annotations
 
 import hashlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, saved, small_batches, small_enough, two, unused
-from .words import NON_ALNUM, Words, classes, pieces
+from .common import read, saved, small_batches, two, unused
+from .words import NON_ALNUM, Words, buffers, classes, pieces
 
 WINDOW = 10
-#: Items in one automaton; more are taken in blocks of so many, each block a pass over the documents.
-BLOCK_ITEMS = 20_000
+#: Words of the items in one automaton, whose arrays then take some 100 MB (the driver takes four times that while it makes them); more are taken in blocks, each a pass over the documents.
+BLOCK_WORDS = 2_000_000
+#: Bytes of items that the driver takes at once; more come as a stream, in order.
+DRIVER_BYTES = 32 << 20
 #: The stage drops a document of which a larger share of words is hit.
 MAX_COVERAGE = 0.8
 _TABLE = classes(NON_ALNUM, lower=True)
 
 
-class Automaton:
-    """States of the suffix automaton over word numbers; it accepts the runs of words that stand in one item."""
+class Builder:
+    """Makes the suffix automaton over word numbers, which accepts the runs of words that stand in one item.
 
-    def __init__(self, items: list[tuple[int | None, list[int]]], window: int):
-        self.window = window
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        self.windows: dict[tuple[int, ...], list] = {}
-        for item, words in items:
-            k = min(window, len(words))
-            for i in range(len(words) - k + 1 if k else 0):
-                mine = self.windows.setdefault(tuple(words[i : i + k]), [])
-                if not mine or mine[-1] != item:
-                    mine.append(item)
-            last = 0
-            for word in words:
-                last = self._extend(last, word)
-        self.short = sorted({len(w) for w in self.windows} - {window})
-        self.least = min(map(len, self.windows), default=window)
+    Most states have one edge, kept in two arrays; the others have a table.
+    """
+
+    def __init__(self) -> None:
+        self.word, self.to, self.more = array("i", [-1]), array("i", [-1]), {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
+
+    def get(self, at: int, word: int) -> int:
+        return self.to[at] if self.word[at] == word else self.more[at].get(word, -1) if at in self.more else -1
+
+    def put(self, at: int, word: int, to: int) -> None:
+        if self.word[at] in (-1, word):
+            self.word[at], self.to[at] = word, to
+        else:
+            self.more.setdefault(at, {})[word] = to
+
+    def add(self, words: list[int]) -> None:
+        last = 0
+        for word in words:
+            last = self._extend(last, word)
 
     def _extend(self, last: int, word: int) -> int:
-        if (to := self.next[last].get(word)) is not None:
+        if (to := self.get(last, word)) >= 0:
             return to if self.length[to] == self.length[last] + 1 else self._split(last, word, to)
-        new = self._state(self.length[last] + 1, {})
-        at = last
-        while at >= 0 and word not in self.next[at]:
-            self.next[at][word] = new
+        new, at = self._state(self.length[last] + 1, 0), last
+        while at >= 0 and self.get(at, word) < 0:
+            self.put(at, word, new)
             at = self.link[at]
-        if at < 0:
-            self.link[new] = 0
-        else:
-            to = self.next[at][word]
+        if at >= 0:
+            to = self.get(at, word)
             self.link[new] = to if self.length[to] == self.length[at] + 1 else self._split(at, word, to)
         return new
 
-    def _state(self, length: int, edges: dict[int, int], link: int = 0) -> int:
-        self.next.append(edges)
-        self.length.append(length)
-        self.link.append(link)
-        return len(self.next) - 1
+    def _state(self, length: int, link: int) -> int:
+        for column, x in ((self.word, -1), (self.to, -1), (self.length, length), (self.link, link)):
+            column.append(x)
+        return len(self.word) - 1
 
     def _split(self, at: int, word: int, to: int) -> int:
-        copy = self._state(self.length[at] + 1, dict(self.next[to]), self.link[to])
+        copy = self._state(self.length[at] + 1, self.link[to])
+        self.word[copy], self.to[copy] = self.word[to], self.to[to]
+        if to in self.more:
+            self.more[copy] = dict(self.more[to])
         self.link[to] = copy
-        while at >= 0 and self.next[at].get(word) == to:
-            self.next[at][word] = copy
+        while at >= 0 and self.get(at, word) == to:
+            self.put(at, word, copy)
             at = self.link[at]
         return copy
 
-    def stream(self, words: list[int]) -> tuple[list[tuple[int, int]], set]:
-        """Hit spans (start, end; they may touch or overlap) and the items that they hold."""
-        spans, found = [], set()
-        edges, link, length, k = self.next, self.link, self.length, self.window
+    def edges(self) -> tuple[array, array, array]:
+        """Where each state's edges start, their words, rising within a state, and where they lead."""
+        sizes = np.array(self.word) >= 0
+        sizes = sizes.astype(np.int64)
+        for at, table in self.more.items():
+            sizes[at] += len(table)
+        start = np.concatenate(([0], np.cumsum(sizes)))
+        word, to = np.zeros(start[-1], np.int32), np.zeros(start[-1], np.int32)
+        one = np.flatnonzero(sizes)
+        word[start[one]], to[start[one]] = np.array(self.word)[one], np.array(self.to)[one]
+        for at, table in self.more.items():
+            every = sorted([(self.word[at], self.to[at]), *table.items()])
+            word[start[at] : start[at + 1]], to[start[at] : start[at + 1]] = zip(*every, strict=True)
+        return array("q", start.tobytes()), array("i", word.tobytes()), array("i", to.tobytes())
+
+
+class Automaton:
+    """The automaton as arrays, and the items of each window: a window of k words is the state whose runs of k words are all one."""
+
+    def __init__(self, items: list[tuple[int, list[int]]], window: int):
+        made = Builder()
+        for _, words in items:
+            made.add(words)
+        self.window, self.link, self.length = window, made.link, made.length
+        self.start, self.word, self.to = made.edges()
+        del made
+        lengths = {min(window, len(words)) for _, words in items if words}
+        self.short, self.least = sorted(lengths - {window}), min(lengths, default=window)
+        told = {k: (array("q"), array("q")) for k in lengths}  # by length: states, items
+        for item, words in items:
+            if k := min(window, len(words)):
+                for state, matched in self.steps(words):
+                    if matched >= k:
+                        told[k][0].append(self.at_length(state, k))
+                        told[k][1].append(item)
+        self.items = {}
+        for k, (states, names) in told.items():
+            pairs = np.unique(np.stack((np.array(states), np.array(names)), axis=1), axis=0)
+            self.items[k] = (array("q", pairs[:, 0].tobytes()), array("q", pairs[:, 1].tobytes()))
+
+    def steps(self, words: list[int]) -> Iterator[tuple[int, int]]:
+        """After each word, the state and how many last words it has; what goes beyond a window is let go."""
+        start, edge, to, link, length, k = self.start, self.word, self.to, self.link, self.length, self.window
         state = matched = 0
-        for p, word in enumerate(words):
-            while state and word not in edges[state]:
+        for word in words:
+            while True:
+                a, b = start[state], start[state + 1]
+                place = bisect_left(edge, word, a, b)
+                if place < b and edge[place] == word:
+                    state, matched = to[place], matched + 1
+                    while length[link[state]] >= k:
+                        state = link[state]
+                    matched = min(matched, length[state])
+                    break
+                if not state:
+                    matched = 0
+                    break
                 state = link[state]
                 matched = length[state]
-            to = edges[state].get(word)
-            if to is None:
-                matched = 0
-                continue
-            state, matched = to, matched + 1
-            if matched >= k:
+            yield state, matched
+
+    def at_length(self, state: int, k: int) -> int:
+        """The state of the last k words of a state that has more."""
+        while self.length[self.link[state]] >= k:
+            state = self.link[state]
+        return state
+
+    def of_window(self, state: int, k: int) -> list[int]:
+        states, names = self.items[k]
+        state = self.at_length(state, k)
+        a = bisect_left(states, state)
+        b = a
+        while b < len(states) and states[b] == state:
+            b += 1
+        return names[a:b].tolist()
+
+    def stream(self, words: list[int]) -> tuple[list[tuple[int, int]], set]:
+        """Hit spans (start, end; they may touch or overlap) and the items that they hold."""
+        spans, found, k = [], set(), self.window
+        for p, (state, matched) in enumerate(self.steps(words)):
+            if matched >= k and (items := self.of_window(state, k)):
                 spans.append((p + 1 - k, p + 1))
-                found.update(self.windows[tuple(words[p + 1 - k : p + 1])])
+                found.update(items)
             for n in self.short:
                 if matched < n:
                     break
-                if items := self.windows.get(tuple(words[p + 1 - n : p + 1])):
+                if items := self.of_window(state, n):
                     spans.append((p + 1 - n, p + 1))
                     found.update(items)
         return spans, found
@@ -109,6 +183,7 @@ def _items(rows: list, window: int) -> tuple[np.ndarray, Automaton]:
         words = Words(data, offsets, _TABLE, lower=True)
         hashed += np.split(words.hashes(), words.first[1:-1])
     known = np.unique(np.concatenate(hashed)) if hashed else np.zeros(0, np.uint64)
+    # A word's number is its place among the distinct hashes.
     return known, Automaton([(r.item_id, np.searchsorted(known, h).tolist()) for r, h in zip(rows, hashed, strict=True)], window)
 
 
@@ -172,39 +247,55 @@ DIGEST = "n_words long, n_hit long, n_items long, items_sha256 string, contamina
 _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
 
 
-def _blocks(items: DataFrame, size: int) -> Iterator[list]:
-    """Items with an id, in order, `size` at a time: no more are on the driver at once."""
+def _blocks(items: DataFrame, words: int) -> Iterator[list]:
+    """Items with an id, in order, as many as have that many words, or one: no more are on the driver at once but for a part of the table."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    if small_enough(items, size):
-        yield items.orderBy("item_id", "text").collect()
-        return
-    last = None
-    while True:
-        part = (items if last is None else items.where(F.col("item_id") > last)).orderBy("item_id", "text").limit(size).collect()
-        if not part:
-            return
-        last = part[-1].item_id
-        yield [r for r in part if r.item_id != last] + items.where(F.col("item_id") == last).collect()
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = BLOCK_ITEMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    items = items.orderBy("item_id", "text")
+    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    rows, held = [], 0
+    for row in items.collect() if size <= DRIVER_BYTES else items.toLocalIterator():
+        n = len(Words(*buffers(pa.array([row.text])), _TABLE, lower=True))
+        if rows and held + n > words:
+            yield rows
+            rows, held = [], 0
+        rows.append(row)
+        held += n
+    if rows:
+        yield rows
+
+
+def _automata(items: DataFrame, window: int, words: int) -> Iterator[tuple[Broadcast, bool]]:
+    """Each block's automaton, broadcast, and whether it's the only one. One that isn't goes when the next is asked for."""
+    sc, blocks = items.sparkSession.sparkContext, _blocks(items, words)
+    rows, only = next(blocks, None), True
+    while rows is not None:
+        after = next(blocks, None)
+        only = only and after is None
+        shared = sc.broadcast(_items(rows, window))  # some 40 bytes a word of the items, so BLOCK_WORDS bounds it
+        yield shared, only
+        if not only:
+            shared.destroy()
+        rows = after
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """n_words, n_hit, n_items, items_sha256 and contaminated for each row of docs.
 
     A null or empty text (or item) has no words. Items without an id are left out; items that
     repeat one id count once. Rows stay apart whatever their ids. No items: nothing is hit.
+    block: words of the items in one automaton.
     """
     source = two(docs, id_col, text_col)
-    parts = []
-    for rows in _blocks(items, block):
-        parts.append(source.sparkSession.sparkContext.broadcast(_items(rows, window)))
-    if len(parts) <= 1:
-        return source.mapInArrow(_scan_digests(parts), f"doc_id long, {DIGEST}")
+    automata, found = _automata(items, window, block), None
+    shared, only = next(automata, (None, True))
+    if only:
+        return source.mapInArrow(_scan_digests(shared), f"doc_id long, {DIGEST}")
     # Blocks: a pass each, told apart by the row's number; their spans meet again by that number.
     numbered = saved(source.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
-    found = None
-    for part in parts:
-        one = saved(numbered.mapInArrow(_scan_spans(part), "row long, doc_id long, n_words long, spans array<struct<a:long,b:long>>, items array<long>"), "decontaminate-spans")
+    while shared is not None:
+        one = saved(numbered.mapInArrow(_scan_spans(shared), "row long, doc_id long, n_words long, spans array<struct<a:long,b:long>>, items array<long>"), "decontaminate-spans")
         found = one if found is None else found.unionByName(one)
+        shared, _ = next(automata, (None, False))
     joined = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
     def finish(batches):
@@ -216,11 +307,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     return joined.mapInArrow(finish, f"doc_id long, {DIGEST}")
 
 
-def _scan_digests(parts: list):
+def _scan_digests(shared: Broadcast | None):
     nothing = _digest([], set(), 0)
 
     def build(batches: Iterator[pa.RecordBatch]):
-        scanner = Scanner(*(parts[0].value if parts else (np.zeros(0, np.uint64), None)))
+        scanner = Scanner(*(shared.value if shared else (np.zeros(0, np.uint64), None)))
         for batch in batches:
             for part, data, offsets in pieces(batch):
                 words = Words(data, offsets, _TABLE, lower=True)
@@ -248,7 +339,7 @@ def _scan_spans(shared):
     return build
 
 
-def cleaned(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, coverage: float = MAX_COVERAGE, block: int = BLOCK_ITEMS) -> DataFrame:
+def cleaned(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, coverage: float = MAX_COVERAGE, block: int = BLOCK_WORDS) -> DataFrame:
     """docs without the hit words; a document goes if more than `coverage` of its words are hit.
 
     Each removed span takes the separators behind it along. Other columns stay, and n_chars, if
@@ -257,17 +348,18 @@ def cleaned(docs: DataFrame, items: DataFrame, text_col: str = "text", window: i
     """
     small_batches(docs.sparkSession)
     names = docs.columns
-    parts = [docs.sparkSession.sparkContext.broadcast(_items(rows, window)) for rows in _blocks(items, block)]
-    if len(parts) <= 1:
-        return docs.mapInArrow(_cut_scanned(parts, names.index(text_col), coverage), docs.schema) if parts else docs
+    automata, found = _automata(items, window, block), None
+    shared, only = next(automata, (None, True))
+    if only:
+        return docs.mapInArrow(_cut_scanned(shared, names.index(text_col), coverage), docs.schema) if shared else docs
     # Blocks: a pass each over the same texts, whose spans meet again by the row's number.
     row, spans = unused("row", names), unused("spans", names)
     numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
     source = numbered.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(row).alias("row"))
-    found = None
-    for part in parts:
-        one = saved(source.mapInArrow(_scan_spans(part), "row long, doc_id long, n_words long, spans array<struct<a:long,b:long>>, items array<long>").where("size(spans) > 0").select("row", "spans"), "decontaminate-spans")
+    while shared is not None:
+        one = saved(source.mapInArrow(_scan_spans(shared), "row long, doc_id long, n_words long, spans array<struct<a:long,b:long>>, items array<long>").where("size(spans) > 0").select("row", "spans"), "decontaminate-spans")
         found = one if found is None else found.unionByName(one)
+        shared, _ = next(automata, (None, False))
     found = found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias(spans)).withColumnRenamed("row", row)
     joined = numbered.join(found, row, "left").select(*names, spans)
     return joined.mapInArrow(_cut_joined(names.index(text_col), coverage), docs.schema)
@@ -289,9 +381,9 @@ def _cut(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, words: Wor
     return replaced(part, at, new, keep)
 
 
-def _cut_scanned(parts: list, at: int, coverage: float):
+def _cut_scanned(shared: Broadcast, at: int, coverage: float):
     def build(batches: Iterator[pa.RecordBatch]):
-        scanner = Scanner(*parts[0].value)
+        scanner = Scanner(*shared.value)
         for batch in batches:
             for part, data, offsets in pieces(batch, batch.schema.names[at]):
                 words = Words(data, offsets, _TABLE, lower=True)
