@@ -8,14 +8,14 @@ text has unit length, so long and short texts weigh alike. A score is a sparse d
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, two, unused
+from .common import read, saved, small_batches, two, unused
 from .words import Words, mix, pieces, windows
 
 BITS = 20
@@ -23,6 +23,8 @@ BITS = 20
 TRAIN_ROWS = 6000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.2
 KEEP_AT = 0.7
+#: Bytes of vectors that the driver takes at once; more come as a stream, part by part.
+DRIVER_BYTES = 64 << 20
 #: The text's bias has its own slot.
 BIAS = 1 << BITS
 
@@ -76,8 +78,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROW
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> np.ndarray:
     """Weights of the hashed slots, learnt from at most `rows` labelled texts, whole.
 
-    Features are made on the executors; the driver gets at most `rows` sparse vectors. Without
-    labelled texts all weights are 0, so every score is 0.5.
+    Features are made on the executors and written to the shared folder; the driver reads the
+    sparse vectors in the order of a hash, part by part if they are many bytes. Of rows with one
+    id only one counts. Without labelled texts all weights are 0, so every score is 0.5.
     """
     chosen = sample(docs, labels, label, rows)
     spark = docs.sparkSession
@@ -91,22 +94,27 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
                 at = np.searchsorted(text[order], np.arange(part.num_rows + 1))
                 slot, value = slot[order].astype(np.int32), value[order].astype(np.float32)
                 pack = lambda x: pa.array([x[at[i] : at[i + 1]].tobytes() for i in range(part.num_rows)], pa.binary())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pack(slot), pack(value)], ["doc_id", "y", "slot", "value"])
+                place = pa.array([hash((i, 17)) for i in part.column(0).to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([place, part.column(0), part.column(1), pack(slot), pack(value)], ["place", "doc_id", "y", "slot", "value"])
 
-    found = picked.mapInArrow(build, "doc_id long, y int, slot binary, value binary").collect()
-    found.sort(key=lambda r: (hash((r.doc_id, 17)), bytes(r.slot)))
-    return ftrl([(np.frombuffer(r.slot, np.int32), np.frombuffer(r.value, np.float32), r.y) for r in found])
+    made = picked.mapInArrow(build, "place long, doc_id long, y int, slot binary, value binary")
+    one = made.groupBy("place", "doc_id").agg(F.min(F.struct("slot", "value", "y")).alias("x")).select("place", "doc_id", "x.*")
+    found = saved(one.sort("place", "doc_id"), "quality-vectors")
+    size = found.agg(F.sum(F.octet_length("slot") + F.octet_length("value"))).first()[0] or 0
+    read_back = found.sort("place", "doc_id")
+    held = read_back.collect() if size <= DRIVER_BYTES else None
+    return ftrl(lambda: ((np.frombuffer(r.slot, np.int32), np.frombuffer(r.value, np.float32), r.y) for r in (read_back.toLocalIterator() if held is None else held)))
 
 
-def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -> np.ndarray:
-    """FTRL-proximal: per-slot rates, L1 and L2, one example at a time in the given order."""
+def ftrl(examples: Callable[[], Iterable[tuple[np.ndarray, np.ndarray, int]]], epochs: int = EPOCHS) -> np.ndarray:
+    """FTRL-proximal: per-slot rates, L1 and L2, one example at a time in the given order, which each call of examples starts anew."""
     z, n = np.zeros(2 * BIAS), np.zeros(2 * BIAS)
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
     for _ in range(epochs):
-        for slot, value, y in examples:
+        for slot, value, y in examples():
             zs, ns = z[slot], n[slot]
             w = weights(zs, ns)
             p = 1 / (1 + np.exp(-np.clip(w @ value, -35, 35)))
@@ -152,7 +160,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A stage: documents scored under KEEP_AT go."""
+    """A stage: documents scored under KEEP_AT go. Each row is judged by its own text, whatever its id; null texts are scored as empty ones; an empty table stays empty."""
     original = read(spark, sf_dir, "documents")
     weights = train(original, read(spark, sf_dir, "labels"))
     name = unused("score", docs.columns)
