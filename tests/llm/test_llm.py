@@ -114,6 +114,45 @@ def test_repeats(docs, none):
         want[i, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()] += 1
     assert Counter(map(tuple, repeats.without_repeats(docs).collect())) == want
     assert repeats.without_repeats(none).count() == 0
+    whole = repeats.deduplicated(docs)
+    assert whole.schema == docs.schema and repeats.deduplicated(none).count() == 0
+    texts = Counter((r.doc_id, hashlib.sha256(b" ".join(split(r.text))).hexdigest(), r.kept, r.score) for r in whole.collect())
+    assert texts == Counter({(i, digest, "x", 1.0): n for (i, _, _, digest), n in want.items()})
+    assert next(r.text for r in whole.collect() if r.doc_id == 2) == TEXTS[2]
+
+
+def test_repeats_settled(monkeypatch):
+    """A bucket's windows in many parts give what they give at once, with only the smallest document's held."""
+    rng = np.random.default_rng(6)
+    rows: list[list] = []
+    want = set()
+    least: dict[int, int] = {}
+    seen = []
+    for _ in range(60):
+        ids = np.sort(rng.choice(40, 5, replace=False)).astype(np.int64)
+        of, hashes, places = np.sort(rng.integers(0, 5, 30)), rng.integers(0, 25, 30).astype(np.uint64), rng.integers(0, 99, 30)
+        repeats._pack(np.zeros(30, np.int64), 0, of, ids, ids * 7, hashes, places, rows)
+        seen += zip(ids[of].tolist(), hashes.tolist(), places.tolist(), strict=True)
+    for i, h, _ in seen:
+        least[h] = min(least.get(h, i), i)
+    want = Counter((i, i * 7, p) for i, h, p in seen if i > least[h])
+    for size in (1 << 17, 50):
+        monkeypatch.setattr(repeats, "SETTLE", size)
+        got = Counter()
+        for batch in repeats._settle(iter([repeats._batch(rows[:30]), repeats._batch(rows[30:])])):
+            for r in batch.to_pylist():
+                got.update((r["doc_id"], r["text_id"], p) for p in np.frombuffer(r["places"], np.uint32).tolist())
+        assert got == want
+
+
+def test_repeats_common(spark):
+    """A passage that most documents have, some of them read together, goes from all but the first; what two share by chance stays."""
+    line = " ".join(f"c{i}" for i in range(70))
+    made = [(i, " ".join([*(f"o{i}_{k}" for k in range(i % 31)), line, *(f"e{i}_{k}" for k in range(9))])) for i in range(400)]
+    made += [(900, line[: line.index(" c40")] + " only"), (901, "else " + line[: line.index(" c40")])]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.n_removed for r in repeats.without_repeats(df).collect()}
+    assert got == {i: 70 if 0 < i < 900 else 0 for i, _ in made}
 
 
 def test_neardup(docs, none):
@@ -162,12 +201,86 @@ def test_keep_one_rows(spark):
     assert sorted(r.row for r in neardup.keep_one(spark, once, SF).collect()) == [1, 4, 5]
 
 
-def test_connected(spark):
+def test_links_brute_force():
+    """Spanning forests of links against all pairs, also with labels and pivots."""
+    rng = np.random.default_rng(1)
+
+    def components(n, links):
+        of = list(range(n))
+        for a, b in links:
+            of = [of[a] if x == of[b] else x for x in of]
+        return [of.index(x) for x in of]
+
+    for _ in range(150):
+        sim, n = int(rng.choice([80, 85, 50])), int(rng.integers(2, 30))
+        base, sets = [rng.choice(10_000, int(rng.integers(3, 60)), replace=False).astype(np.uint64) for _ in range(3)], []
+        for _ in range(n):
+            b = base[rng.integers(3)].copy()
+            for j in rng.integers(0, len(b), int(rng.integers(0, len(b) // 4 + 1))):
+                b[j] = rng.integers(10_000, 30_000)
+            sets.append(np.unique(b[: int(rng.integers(max(1, len(b) * 3 // 4), len(b) + 1))]))
+        links = [(i, j) for i in range(n) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= sim * len(np.union1d(sets[i], sets[j]))]
+        assert components(n, neardup.linked(sets, sim)) == components(n, links)
+        labels, pivots = rng.integers(0, n, n), int(rng.integers(1, n + 1))
+        same = [(i, j) for i in range(n) for j in range(i) if labels[i] == labels[j]]
+        want = [(i, j) for i, j in links if i < pivots or j < pivots]
+        assert components(n, same + neardup.linked(sets, sim, labels, pivots)) == components(n, same + want)
+
+
+def test_links_cost():
+    """Four times the near-equal texts take about four times as long."""
+    rng, took = np.random.default_rng(2), []
+    for n in (500, 2000):
+        sets = []
+        for _ in range(n):
+            s = np.arange(500, dtype=np.uint64) * np.uint64(1_000_003)
+            s[rng.integers(0, 500, 15)] = rng.integers(1 << 40, 1 << 60, 15, dtype=np.uint64)
+            sets.append(np.unique(s))
+        start = time.perf_counter()
+        assert len(neardup.linked(sets, 85)) == n - 1
+        took.append(time.perf_counter() - start)
+    assert took[1] < 9 * took[0] + 0.2
+
+
+def test_connected(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_EDGES", 5)  # nodes of more edges are salted
+    monkeypatch.setattr(neardup, "MOST_HOT", 1_000_000)
+    star = [(300 + i, 500) for i in range(30)] + [(600 + i, 330) for i in range(20)] + [(329, 330)]
+    got = {r.node: r.root for r in neardup.connected(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert set(got.values()) == {300} and len(got) == 30 + 1 + 20 + 1
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 202)]
     got = {r.node: r.root for r in neardup.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys([*range(41), 100], 0), 200: 200, 201: 200, 202: 200}
 
 
+def test_automaton_brute_force():
+    rng = random.Random(1)
+    for _ in range(300):
+        v, window = rng.choice([2, 3, 8]), rng.choice([1, 2, 4, 10])
+        items = [(i // 2, [rng.randrange(v) for _ in range(rng.randint(0, 12))]) for i in range(rng.randint(1, 6))]
+        words = [rng.randrange(v) for _ in range(30)]
+        words[5:5] = rng.choice(items)[1]
+        spans, found = set(), set()
+        for item, mine in items:
+            k = min(window, len(mine))
+            for i in range(len(mine) - k + 1 if k else 0):
+                for p in range(len(words) - k + 1):
+                    if words[p : p + k] == mine[i : i + k]:
+                        spans.add((p, p + k))
+                        found.add(item)
+        got = decontaminate.Automaton(items, window).stream(words)
+        assert (set(got[0]), got[1]) == (spans, found)
+
+
+def test_decontamination_stream(spark, docs, monkeypatch):
+    """Items that come as a stream, and many under one id, are all looked for."""
+    items = spark.createDataFrame([(1, PASSAGE)] + [(7, f"q{i} r{i}") for i in range(200)] + [(7, "before p0")], "item_id long, text string").repartition(3)
+    want = Counter(map(tuple, decontaminate.contamination(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "DRIVER_BYTES", 100)
+    assert Counter(map(tuple, decontaminate.contamination(docs, items, block=150).collect())) == want
+    assert {r[2]: r[3] for r in want if r[0] == 6} == {61: 2}
+
+
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame([(1, PASSAGE), (2, "before p0"), (3, None), (None, "x"), (10, "p5 p6 p7 p8 p9 p10 p11 p12 p13 p14 zz"), (11, "")], "item_id long, text string")
     got = {(r.doc_id, r.n_words): (r.n_hit, r.n_items) for r in decontaminate.contamination(docs, items).collect()}
@@ -433,6 +546,44 @@ def test_quality(spark, docs, none):
     assert quality.score(none, np.zeros(quality.BIAS + 1)).count() == 0
 
 
+def test_quality_stream(spark, monkeypatch):
+    """Vectors that come part by part teach the same; a repeated id counts once."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    want = quality.train(docs, labels)
+    monkeypatch.setattr(quality, "DRIVER_BYTES", 0)
+    assert (quality.train(docs.union(docs), labels) == want).all() and want.any()
+
+
+def test_quality_plain(spark):
+    """Training and scores against plain Python over 50 texts: the same updates, slot by slot."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["Good words", "here", "!!", "99", "éa", "SPAM spam", ""]) for _ in range(rng.randint(0, 30))), i % 3 % 2) for i in range(50)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    learnt = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    vectors = {}
+    for i, t, _ in rows:
+        _, slot, value = quality.features(*buffers(pa.array([t])))
+        assert len(set(slot.tolist())) == len(slot) and quality.BIAS in slot
+        vectors[i] = list(zip(slot.tolist(), value.astype(np.float32).tolist(), strict=True))
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(s):
+        return 0.0 if abs(z[s]) <= quality.L1 else -(z[s] - np.sign(z[s]) * quality.L1) / ((quality.BETA + n[s] ** 0.5) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for i, _, y in sorted(learnt, key=lambda r: hash((r[0], 17))):
+            w = {s: weight(s) for s, _ in vectors[i]}
+            p = 1 / (1 + np.exp(-sum(w[s] * v for s, v in vectors[i])))
+            for s, v in vectors[i]:
+                g = (p - y) * v
+                z[s] += g - ((n[s] + g * g) ** 0.5 - n[s] ** 0.5) / quality.ALPHA * w[s]
+                n[s] += g * g
+    weights = quality.train(docs, labels)
+    assert set(np.flatnonzero(weights).tolist()) == {s for s in z if weight(s)} and all(abs(weights[s] - weight(s)) < 1e-4 for s in z)
+    for r in quality.score(docs, weights).collect():
+        assert abs(r.score - 1 / (1 + np.exp(-sum(weight(s) * v for s, v in vectors[r.doc_id])))) < 1e-4
+
+
 def test_keep_good_columns(spark, docs):
     """An input's own score stays, with all other columns, and decides nothing."""
     got = quality.keep_good(spark, docs, SF)
