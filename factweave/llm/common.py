@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,10 +38,16 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+#: The folder of saved() within a scratch().
+_scratch: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one set here where it is unset (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or one set here where it is unset and all run on one machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         folder = f"file://{tempfile.gettempdir()}/factweave-{os.getuid()}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -48,11 +56,29 @@ def shared_folder(spark: SparkSession) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table to the shared folder and read again: it cuts the lineage and outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch[-1] if _scratch else shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever file system it's on."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """All that saved() writes inside goes at the end, so results that read it must be written by then."""
+    folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    _scratch.append(folder)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        deleted(spark, folder)
+
+
 def input_bytes(docs: DataFrame) -> int:
     """A table's bytes, to size partitions by, at least 1: as its files have it, else counted from the texts."""
     known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -428,7 +428,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A stage: benchmark words go, and documents that are little else."""
+    """A stage: benchmark words go, and documents that are little else. Nulls and rows without hits stay as they are, each row for itself; an empty table stays empty."""
     return cleaned(docs, read(spark, sf_dir, "benchmark"))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, two
+from .common import read, small_batches, two
 from .words import pieces
 
 DIMENSIONS = 1024
@@ -81,6 +81,7 @@ def prototypes(texts: DataFrame) -> tuple[list[str], np.ndarray]:
     Each task sends one vector for each language, whatever its rows; the driver gets
     languages x DIMENSIONS numbers.
     """
+    small_batches(texts.sparkSession)
 
     def build(batches: Iterator[pa.RecordBatch]):
         sums: dict[str, np.ndarray] = {}

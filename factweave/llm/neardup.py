@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, saved, small_enough, two, unused
+from .common import deleted, read, saved, small_enough, two, unused
 from .words import SPACES, Words, classes, mix, pieces, whole, windows
 
 SHINGLE = 5
@@ -122,7 +122,8 @@ def connected(edges: DataFrame) -> DataFrame:
         large = _with_least(both, n, own=True).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = _with_least(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), n, own=False)
         step = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        now = saved(step, "edges")
+        last, now = now, saved(step, "edges")
+        deleted(now.sparkSession, last.inputFiles()[0].rsplit("/", 1)[0])
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break

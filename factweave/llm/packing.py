@@ -1,7 +1,7 @@
 """Packing (3): Karmarkar-Karp multiway differencing into near-equal windows.
 
 Each document is its tokenizer's ids and an end id. Whole windows of SIZE ids are cut from it as
-they are; what remains is cut into pieces of at most PIECE and packed. Within a group of pieces
+they are; what remains is cut into pieces of at most PIECE (here and there FINE) and packed. Within a group of pieces
 the two partial partitions of largest imbalance are merged, the large sums of one onto the small
 sums of the other, until one is left: its parts are the windows. If one exceeds SIZE, the number
 of windows rises.
@@ -17,12 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read, two
 from .tokens import encoder, public_path
 from .words import pieces
 
-SIZE, PIECE, END_ID = 2048, 512, 1
+SIZE, PIECE, END_ID = 2048, 682, 1
+#: The rest of each so many documents is cut into pieces of at most so many ids, which level the windows.
+FINE_EVERY, FINE = 40, 32
 #: Windows of pieces that are packed together.
 GROUP_WINDOWS = 128
 #: Share of their ids that a group takes, so that levelling needs no window more.
@@ -85,7 +88,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False,
     def build(batches: Iterator[pa.RecordBatch]):
         encode, sequence = encoder(path), TaskContext.get().partitionId() * TASK_SEQUENCES
         waiting: list[tuple] = []
-        held = 0
+        held = number = 0
         out: list[tuple] = []
 
         def settle(most: float = np.inf):
@@ -110,7 +113,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False,
                 for doc, n in zip(part.column(0).to_pylist(), counts.tolist(), strict=True):
                     raw = np.append(ids[at : at + n], END_ID).astype("<u2")
                     at += n
-                    whole, rest = cut(n + 1)
+                    whole, rest = cut(n + 1, piece=PIECE if number % FINE_EVERY else FINE)
+                    number += 1
                     for a, m in whole:
                         piece = raw[a : a + m]
                         out.append((doc, a, m, zlib.crc32(piece.astype("<u4")), n + 1, sequence, 0, piece.tobytes() if with_ids else None))
@@ -136,10 +140,23 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], SCHEMA.replace(",", "").split(" ")[::2])
 
 
+def sequences(packed: DataFrame, pad_id: int = 0, size: int = SIZE) -> DataFrame:
+    """(sequence_id, n_tokens, ids) of pack(with_ids=True): each sequence's pieces in order, padded to `size` ids but where their number is a power of two.
+
+    A sequence is at most `size` ids, so its group is small. An empty table gives none.
+    """
+    pieces_ = F.sort_array(F.collect_list(F.struct("offset", "ids")))
+    ids = F.aggregate(F.transform(pieces_, lambda x: x["ids"]), F.lit(b""), lambda a, b: F.concat(a, b))
+    n = F.col("n_tokens")
+    padded = F.concat("ids", F.substring(F.unhex(F.repeat(F.lit(np.array([pad_id], "<u2").tobytes().hex()), F.lit(size))), F.lit(1), 2 * (size - n).cast("int")))
+    whole = packed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), ids.alias("ids"))
+    return whole.select("sequence_id", "n_tokens", F.when(n.bitwiseAND(n - 1) == 0, F.col("ids")).otherwise(padded).alias("ids"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: the packed pieces with their ids."""
+    """The last stage: the packed pieces with their ids. Null texts are empty ones; rows stay apart whatever their ids; an empty table gives none."""
     return pack(docs, with_ids=True)

@@ -6,12 +6,14 @@ and data bytes. An id is its rank in that vocabulary, in 1, 2 or 3 bytes; a cont
 lengths of four ids, two bits each. Decoding looks all four lengths up at once.
 
 Files are cells of a Parquet table in the shared folder, so that Spark's committers put them on
-any file system, once, whatever executors are lost; `export` writes one to a local path.
+any file system, once, whatever executors are lost; `export` writes them to a mounted folder.
 """
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +34,8 @@ FILE_IDS = 1 << 20
 #: Input bytes of one range of documents, and so of a task that writes files.
 RANGE_BYTES = 8 << 20
 BROADCAST_FILES = 1_000_000
+#: Tasks whose ids are summed up together; 2**31 tasks are at most 500,000 such blocks, which are broadcast.
+TASKS = 4096
 NO_ID = -(1 << 63)
 
 _LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
@@ -76,9 +80,18 @@ def decode_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if d == NO_ID else d for d in names.tolist()], counts, vocabulary[ranks] if n else np.zeros(0, np.uint32)
 
 
-def export(raw: bytes, path: str) -> None:
-    with open(path, "wb") as f:
-        f.write(raw)
+def export(files: DataFrame, folder: str) -> None:
+    """Writes each file to a folder that all executors mount, named by its place in the order; a task that runs again writes the same."""
+
+    def put(rows) -> None:
+        for r in rows:
+            path = os.path.join(folder, f"{r.task:08d}-{r.file_no:06d}.bin")
+            part = f"{path}.{uuid.uuid4().hex}"
+            with open(part, "wb") as f:
+                f.write(r.file)
+            os.replace(part, path)
+
+    files.select("task", "file_no", "file").foreachPartition(put)
 
 
 def write_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,14 +132,19 @@ def write_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = END
         if names:
             yield flush()
 
-    dealt = two(docs, id_col, text_col).repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one id, or of none, are parted by how their texts begin.
+    dealt = two(docs, id_col, text_col).repartitionByRange(ranges, F.col("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     return saved(dealt.mapInArrow(build, "task int, file_no int, n_docs long, n_ids long, file binary"), "token-files")
 
 
 def read_files(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) decoded from the files; start counts the ids of all documents before."""
-    tasks = files.groupBy("task").agg(F.sum("n_ids").alias("n"))
-    before = tasks.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("task_start"))  # a row per task
+    # Running sums over tasks: within blocks of tasks, and over the blocks (one row for each TASKS of them).
+    tasks = files.groupBy("task").agg(F.sum("n_ids").alias("n")).withColumn("block", F.floor(F.col("task") / TASKS))
+    blocks = tasks.groupBy("block").agg(F.sum("n").alias("m"))
+    blocks = blocks.select("block", (F.sum("m").over(Window.orderBy("block")) - F.col("m")).alias("block_start"))
+    within = (F.sum("n").over(Window.partitionBy("block").orderBy("task")) - F.col("n")).alias("in_block")
+    before = tasks.select("task", "block", within).join(F.broadcast(blocks), "block").select("task", (F.col("block_start") + F.col("in_block")).alias("task_start"))
     inner = Window.partitionBy("task").orderBy("file_no")
     starts = files.select("task", "file_no", (F.sum("n_ids").over(inner) - F.col("n_ids")).alias("inner")).join(before, "task").select("task", "file_no", (F.col("task_start") + F.col("inner")).alias("start"))
     if small_enough(files.select("task"), BROADCAST_FILES):

@@ -494,6 +494,24 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_sequences(spark, docs, none):
+    """Padded to 2048 but where the length is a power of two; under a hundredth is padding once there is enough to pack."""
+    packed = packing.pack(docs, with_ids=True)
+    length, text = Counter(), defaultdict(list)
+    for r in packed.collect():
+        length[r.sequence_id] += r.length
+        text[r.sequence_id].append((r.offset, bytes(r.ids)))
+    for r in packing.sequences(packed, pad_id=9).collect():
+        n = length[r.sequence_id]
+        raw = b"".join(x for _, x in sorted(text[r.sequence_id]))
+        assert r.n_tokens == n == len(raw) // 2
+        assert bytes(r.ids) == (raw if n & (n - 1) == 0 else raw + b"\x09\x00" * (2048 - n))
+    assert packing.sequences(packing.pack(none, with_ids=True)).count() == 0
+    many = packing.pack(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").coalesce(1)).groupBy("sequence_id").agg({"length": "sum"}).collect()
+    used = [r[1] for r in many]
+    assert sum(2048 - n for n in used if n & (n - 1)) < 0.01 * sum(used)
+
+
 def test_differencing():
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 500, 400).tolist()
@@ -516,6 +534,27 @@ def test_token_files(docs, none):
     assert token_files.read_files(token_files.write_files(none)).count() == 0
 
 
+def test_token_files_order(spark, monkeypatch, tmp_path):
+    """Starts count over blocks of tasks and ranges of one id's rows; exported files hold the same."""
+    monkeypatch.setattr(token_files, "TASKS", 2)
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 100)
+    rows = [(7, f"{i:04d} text of one id") for i in range(40)] + [(i, f"number {i}") for i in range(40)]
+    files = token_files.write_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = sorted(map(tuple, token_files.read_files(files).collect()), key=lambda r: r[1])
+    assert files.select("task").distinct().count() > 5
+    assert [r[0] for r in got] == sorted(i for i, _ in rows) and [r[1] for r in got] == np.cumsum([0, *(r[2] for r in got)])[:-1].tolist()
+    encode = tokens.Encoder(tokens.public_path("byte_bpe_50k.json")).tokenizer
+    want = [zlib.crc32(np.array([*encode.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for _, t in sorted(rows)]
+    assert [r[3] for r in got] == want
+    token_files.export(files, str(tmp_path))
+    names, crcs = [], []
+    for path in sorted(tmp_path.iterdir()):
+        docs_, counts, ids = token_files.decode_file(path.read_bytes())
+        names += docs_
+        crcs += [zlib.crc32(x.astype("<u4").tobytes()) for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert names == sorted(i for i, _ in rows) and crcs == want
+
+
 @pytest.mark.parametrize("top", [1, 200, 70_000])
 def test_file_round_trip(top):
     ids = np.random.default_rng(top).integers(0, top, 999).astype(np.uint32)
@@ -536,6 +575,59 @@ def test_section_counts(docs, none):
     assert tokens_.tolist() == [1, 1, 1] and crossing.tolist() == [0, 1, 1]
 
 
+def test_sections_brute_force(spark):
+    """Every section of random texts, with characters of several bytes and tokens over line breaks, from the library's own offsets."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "b ", "\n", "\n\n", " \n ", "é", "日本", "  ", "word", "𝄞", "x\ny", "..."]) for _ in range(rng.randint(0, 25))) for _ in range(150)]
+    encode = tokens.Encoder(tokens.public_path("byte_bpe_50k.json"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, crossed = defaultdict(list), 0
+    for r in token_counts.section_tokens(df).collect():
+        got[r.doc_id].append((r.section, r.start, r.stop, r.n_tokens, r.n_crossing))
+    for i, text in enumerate(texts):
+        starts = [0] + [k + 1 for k, c in enumerate(text) if c == "\n" and k + 1 < len(text)]
+        stops = starts[1:] + [len(text)]
+        counts, crossing = [0] * len(starts), [0] * len(starts)
+        whole, at = text.encode(), 0  # a character belongs to the token in which its last byte stands
+        last = [len(text[: k + 1].encode()) for k in range(len(text))]
+        for x in encode.tokenizer.encode(text, add_special_tokens=False).ids:
+            n = len(encode.tokenizer.id_to_token(x))
+            a, b = sum(e <= at for e in last), sum(e <= at + n for e in last)
+            at += n
+            share = [max(0, min(b, t) - max(a, s)) for s, t in zip(starts, stops, strict=True)]
+            where = share.index(max(share)) if b > a else max(k for k, s in enumerate(starts) if s <= min(a, max(len(text) - 1, 0)))
+            counts[where] += 1
+            crossing[where] += sum(x > 0 for x in share) > 1
+        assert at == len(whole) and sorted(got[i]) == list(zip(range(len(starts)), starts, stops, counts, crossing, strict=True)), repr(text)
+        crossed += sum(crossing)
+    assert crossed > 5
+
+
+def test_language_plain(spark):
+    """Prototypes and predictions against plain Python: trigram by trigram, vector by vector."""
+    rng = random.Random(12)
+    texts = [(i, "".join(rng.choice("abc dé1.ZÑ") for _ in range(rng.randint(0, 40))), ["xx", "yy"][i % 2]) for i in range(50)]
+    first, second, third = language._vectors()
+
+    def profile(text):
+        out = np.zeros(language.DIMENSIONS)
+        rows = [0, *(1 + ord(c.lower()[0]) % (language.LETTERS - 1) if c.isalpha() else 0 for c in text), 0]
+        for a, b, c in zip(rows, rows[1:], rows[2:], strict=False):
+            if b:
+                out += first[a].astype(float) * second[b] * third[c]
+        return out
+
+    sums = {k: sum(profile(t) for _, t, lang in texts if lang == k) for k in ("xx", "yy")}
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(3)
+    names, vectors = language.prototypes(df)
+    assert names == ["xx", "yy"] and np.allclose(vectors, [sums[k] / np.linalg.norm(sums[k]) for k in names])
+    for r in language.identify(df, names, vectors).collect():
+        mine = profile(texts[r.doc_id][1])
+        cosines = vectors @ mine / max(np.linalg.norm(mine), 1e-9)
+        has = any(c.isalpha() for c in texts[r.doc_id][1])
+        assert r.lang_pred == (names[int(cosines.argmax())] if has else "und") and abs(r.score - (min(1, max(0, cosines.max())) if has else 0)) < 1e-6
+
+
 def test_quality(spark, docs, none):
     out = quality.op2_quality(spark, "/root/testdata/sf0.01").collect()
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
