@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,37 +19,48 @@ def prepared(claims: DataFrame, scenes: DataFrame, entities: DataFrame) -> DataF
     cp = T.continuity_predicate(F.col("predicate"), F.col("claim_type"), F.col("claim_text"), F.col("evidence_text"))
     told = F.coalesce(F.when(F.col("evidence_text") != "", F.col("evidence_text")), "claim_text", F.lit(""))
     c = c.withColumns({"cp": cp, "told": told, "subject_key": T.norm(F.col("subject")), "object_key": T.norm(F.col("object"))})
+    c = c.withColumn("is_place", T.is_location(F.col("cp")))
     return c.withColumns(
         {
             "stance": T.predicate_key(T.stance(F.col("cp"), F.col("polarity"))),
-            "place": T.place_granularity(F.col("object"), F.col("told"), F.col("place_granularity")),
-            "is_place": T.is_location(F.col("cp")),
-            "told": T.norm(F.col("told")),
+            # Only places are held against where they lie and what is told of them.
+            "place": F.when(F.col("is_place"), T.place_granularity(F.col("object"), F.col("told"), F.col("place_granularity"))),
+            "told": F.when(F.col("is_place"), T.norm(F.col("told"))),
             "sid": F.when(F.col("subject_entity_id") != 0, F.col("subject_entity_id")),
             "oid": F.when(F.col("object_entity_id") != 0, F.col("object_entity_id")),
         }
-    )
+    ).drop("place_granularity")
+
+
+#: What a pair is judged by; what its issue tells is fetched for hits alone.
+_KEEP = ("id", "scene_number", "polarity", "is_major_plotline", "cp", "stance", "place", "is_place", "told", "subject_key", "object_key", "sid", "oid")
+_TOLD = ("id", "scene_id", "scene_number", "subject", "predicate", "object", "polarity")
+#: All that the rules read of prepared().
+COLUMNS = tuple(dict.fromkeys(("story_id", *_KEEP, *_TOLD, "status", "valid_until_scene")))
 
 
-_KEEP = ("id", "story_id", "scene_id", "scene_number", "subject", "predicate", "object", "polarity", "is_major_plotline", "cp", "stance", "place", "is_place", "told", "subject_key", "object_key", "sid", "oid")
+def _listed(by_id: Column, by_name: Column) -> Column:
+    """The keys under which a subject or object can be met: its id, if it has one, and its name."""
+    return F.array_compact(F.array(F.when(by_id.isNotNull(), F.concat(F.lit("i"), by_id.cast("string"))), F.concat(F.lit("n"), by_name)))
 
 
-def pairs(prep: DataFrame, scenes: DataFrame | None = None) -> DataFrame:
-    """(n, o): a claim, of the given scenes (scene_id) if any are given, and an open accepted claim of an earlier scene about the
-    same subject.
+def _meeting(new: DataFrame, old: DataFrame, *second: str) -> DataFrame:
+    """(n, o): claims of one story and subject whose second keys are equal, o of an earlier scene.
 
-    The subject test is by ids where both have one, else by name; it's split into equi-joins, so
-    no story's claims meet in a nested loop, and a large story is split by adaptive execution.
+    Where both have an id, ids decide, else names. Claims are listed under both, and a pair counts only under the key that decides, so
+    that one equi-join is enough and no pair comes twice.
     """
-    checked = prep if scenes is None else prep.join(scenes.select("scene_id"), "scene_id", "left_semi")
-    new = checked.where(F.col("status").isin(*V.CURRENT_CHECK)).select(F.struct(*_KEEP).alias("n"))
-    old = prep.where(F.col("status").isin(*V.PAST_CANON) & F.col("valid_until_scene").isNull()).select(F.struct(*_KEEP).alias("o"))
-    before = (F.col("n.story_id") == F.col("o.story_id")) & (F.col("o.scene_number") < F.col("n.scene_number"))
-    named = F.col("n.subject_key") == F.col("o.subject_key")
-    by_id = new.join(old, before & (F.col("n.sid") == F.col("o.sid")))
-    new_bare = new.where("n.sid is null").join(old, before & named)
-    old_bare = new.where("n.sid is not null").join(old.where("o.sid is null"), before & named)
-    return by_id.unionByName(new_bare).unionByName(old_bare)
+    keys = ["story_id", "subject_by", *[f"{c}_by" if c == "object" else c for c in second]]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        x = df.withColumn("subject_by", F.explode(_listed(F.col("sid"), F.col("subject_key"))))
+        if "object" in second:
+            x = x.withColumn("object_by", F.explode(_listed(F.col("oid"), F.col("object_key"))))
+        return x.select(F.struct(*_KEEP).alias(name), *keys)
+
+    decides = lambda key, i: F.col(key).startswith("i") == (F.col(f"n.{i}").isNotNull() & F.col(f"o.{i}").isNotNull())
+    met = side(new, "n").join(side(old, "o"), keys).where((F.col("o.scene_number") < F.col("n.scene_number")) & decides("subject_by", "sid"))
+    return (met.where(decides("object_by", "oid")) if "object" in second else met).select("n", "o")
 
 
 def _opposed(a: Column, b: Column) -> Column:
@@ -57,8 +70,17 @@ def _opposed(a: Column, b: Column) -> Column:
     return (a != b) & ~family & (named | either(V.APPROACHING, V.AVOIDING) | either(V.POSITIVE, V.NEGATIVE))
 
 
-def issues(prep: DataFrame, scenes: DataFrame | None = None) -> DataFrame:
-    """A row for each issue, of the given scenes if any are given; a pair can raise two."""
+KINDS = ("polarity_flip", "exclusive_object", "predicate_opposition")
+#: Stances that can be opposed to another.
+_OPPOSABLE = tuple(sorted({x for pair in V.OPPOSITES for x in pair} | {*V.APPROACHING, *V.AVOIDING, *V.POSITIVE, *V.NEGATIVE}))
+
+
+def conflicts(prep: DataFrame, scenes: DataFrame | None = None, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """(current_claim_id, conflicting_claim_id, severity, conflict_kind) of the given kinds, of the given scenes if any are given; a pair can raise two.
+
+    Only claims meet that can raise an issue: for a flip, of one predicate and object; for an exclusive object, of one predicate, one
+    of them exclusive; for a tension, of one object and stances that have an opposite. prep is read several times.
+    """
     n, o = lambda c: F.col(f"n.{c}"), lambda c: F.col(f"o.{c}")
     same_object = F.when(n("oid").isNotNull() & o("oid").isNotNull(), n("oid") == o("oid")).otherwise(n("object_key") == o("object_key"))
     same = n("cp") == o("cp")
@@ -68,24 +90,43 @@ def issues(prep: DataFrame, scenes: DataFrame | None = None) -> DataFrame:
     mentioned = (n("object_key") != "") & told.contains(n("object_key")) | (o("object_key") != "") & told.contains(o("object_key"))
     placed = other & n("is_place") & o("is_place") & T.places_compatible(o("place"), n("place"), mentioned)
     only_one = T.predicate_key(n("cp")).isin(*V.EXCLUSIVE) | n("object_key").isin(*V.NOBODY) | o("object_key").isin(*V.NOBODY)
+    placed = F.coalesce(placed, F.lit(False))
     exclusive = ~flip & ~placed & same & other & only_one
     opposed = ~flip & ~placed & same_object & _opposed(o("stance"), n("stance"))
     major = F.coalesce(n("is_major_plotline"), F.lit(False)) | F.coalesce(o("is_major_plotline"), F.lit(False))
-    scene = n("scene_number").cast("string")
-    said = lambda who: F.concat_ws(" ", who("subject"), who("predicate"), who("object"))
-    asserted = F.when(o("polarity"), said(o)).otherwise(said(n))
-    tail = F.when(major, " This conflicts with a major plotline relationship/fact.").otherwise("")
-
-    def issue(test: Column, kind: str, verdict: str, *message: Column | str) -> Column:
-        text = F.concat(*[F.lit(m) if isinstance(m, str) else m for m in message], tail)
-        return F.when(test, F.struct(F.lit(kind).alias("conflict_kind"), F.lit(verdict).alias("judge_classification"), F.lit(1.0 if verdict == "hard_contradiction" else 0.75).alias("judge_confidence"), text.alias("message")))
-
-    found = F.array_compact(
-        F.array(
-            issue(flip, "polarity_flip", "hard_contradiction", "Scene ", scene, " reverses an earlier fact: '", asserted, "' is now negated."),
-            issue(exclusive, "exclusive_object", "hard_contradiction", "Scene ", scene, " contradicts earlier fact: ", n("subject"), " ", n("predicate"), " was '", o("object"), "', now '", n("object"), "'."),
-            issue(opposed, "predicate_opposition", "soft_tension", "Scene ", scene, " conflicts with an earlier claim about ", n("subject"), " and ", n("object"), ": earlier '", o("predicate"), "', now '", n("predicate"), "'."),
-        )
-    )
-    rows = pairs(prep, scenes).select(n("story_id").alias("story_id"), n("scene_id").alias("scene_id"), n("id").alias("current_claim_id"), o("id").alias("conflicting_claim_id"), F.when(major, "high").otherwise("medium").alias("severity"), F.explode(found).alias("i"))
-    return rows.select("story_id", "scene_id", "current_claim_id", "conflicting_claim_id", "severity", "i.*")
+    checked = prep if scenes is None else prep.join(scenes.select("scene_id"), "scene_id", "left_semi")
+    new = checked.where(F.col("status").isin(*V.CURRENT_CHECK))
+    old = prep.where(F.col("status").isin(*V.PAST_CANON) & F.col("valid_until_scene").isNull())
+    strong = F.coalesce(T.predicate_key(F.col("cp")).isin(*V.EXCLUSIVE) | F.col("object_key").isin(*V.NOBODY), F.lit(False))
+    opposable = F.col("stance").isin(*_OPPOSABLE)
+    meetings = {
+        "polarity_flip": lambda: _meeting(new, old, "cp", "object").where(flip),
+        "exclusive_object": lambda: _meeting(new.where(strong), old, "cp").unionByName(_meeting(new.where(~strong), old.where(strong), "cp")).where(exclusive),
+        "predicate_opposition": lambda: _meeting(new.where(opposable), old.where(opposable), "object").where(opposed),
+    }
+    row = lambda kind: meetings[kind]().select(n("id").alias("current_claim_id"), o("id").alias("conflicting_claim_id"), F.when(major, "high").otherwise("medium").alias("severity"), F.lit(kind).alias("conflict_kind"))
+    return reduce(DataFrame.unionByName, [row(kind) for kind in KINDS if kind in kinds])
+
+
+def issues(prep: DataFrame, scenes: DataFrame | None = None, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """A row for each issue of the given kinds, of the given scenes if any are given, as continuity tells it."""
+    c = F.col
+    ends = prep.select("story_id", *_TOLD)
+    n = ends.select("story_id", c("scene_id"), c("id").alias("current_claim_id"), F.struct(*_TOLD).alias("n"))
+    o = ends.select(c("id").alias("conflicting_claim_id"), F.struct(*_TOLD).alias("o"))
+    found = conflicts(prep, scenes, kinds).join(n, "current_claim_id").join(o, "conflicting_claim_id")
+    said = lambda who: F.concat_ws(" ", f"{who}.subject", f"{who}.predicate", f"{who}.object")
+    told = {
+        "polarity_flip": ("Scene ", c("n.scene_number"), " reverses an earlier fact: '", F.when(c("o.polarity"), said("o")).otherwise(said("n")), "' is now negated."),
+        "exclusive_object": ("Scene ", c("n.scene_number"), " contradicts earlier fact: ", c("n.subject"), " ", c("n.predicate"), " was '", c("o.object"), "', now '", c("n.object"), "'."),
+        "predicate_opposition": ("Scene ", c("n.scene_number"), " conflicts with an earlier claim about ", c("n.subject"), " and ", c("n.object"), ": earlier '", c("o.predicate"), "', now '", c("n.predicate"), "'."),
+    }
+    message = F.lit(None).cast("string")
+    for kind, parts in told.items():
+        message = F.when(c("conflict_kind") == kind, F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])).otherwise(message)
+    hard = c("conflict_kind") != "predicate_opposition"
+    tail = F.when(c("severity") == "high", " This conflicts with a major plotline relationship/fact.").otherwise("")
+    return found.select(
+        "story_id", "scene_id", "current_claim_id", "conflicting_claim_id", "severity", "conflict_kind",
+        F.when(hard, "hard_contradiction").otherwise("soft_tension").alias("judge_classification"), F.when(hard, 1.0).otherwise(0.75).alias("judge_confidence"), F.concat(message, tail).alias("message"),
+    )

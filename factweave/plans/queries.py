@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import candidates, chapters, editor, entities, evidence, extraction, folding, graph, kin, merge, registry, store, validate
+from ..session import saved
 from ..sources import manuscripts
 from ..streaming import edits
 from . import adapters as A
@@ -30,19 +31,19 @@ def _graph(f: Callable[..., DataFrame], **how: bool) -> Query:
 
 
 def _prepared(spark: SparkSession, d: str) -> DataFrame:
-    return validate.prepared(A.claims(spark, d), A.scenes(spark, d), A.entities(spark, d))
+    """Written once, as the rules read it several times."""
+    return saved(validate.prepared(A.claims(spark, d), A.scenes(spark, d), A.entities(spark, d)).select(*validate.COLUMNS), "prepared")
 
 
 def _issues(kind: str | None = None) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        found = validate.issues(_prepared(spark, d))
-        return found if kind is None else found.where(F.col("conflict_kind") == kind)
+        return validate.issues(_prepared(spark, d), kinds=validate.KINDS if kind is None else (kind,))
 
     return run
 
 
 def _severity(spark: SparkSession, d: str) -> DataFrame:
-    return validate.issues(_prepared(spark, d)).groupBy("conflict_kind", "severity").agg(F.count("*").alias("n"))
+    return validate.conflicts(_prepared(spark, d)).groupBy("conflict_kind", "severity").agg(F.count("*").alias("n"))
 
 
 def _scalars(spark: SparkSession, d: str) -> DataFrame:

@@ -94,18 +94,41 @@ def test_names_resolve(spark):
     assert a == ["M", "Venn"]
 
 
-def test_evidence_spans():
+def test_evidence_spans(spark):
+    def locate(*row):
+        df = spark.createDataFrame([row], "t string, e string, c string, o string, s string")
+        return tuple(df.select(evidence.located(*[F.col(x) for x in "tecos"]).alias("x")).first().x)
+
     text = "The bell rang twice. Mara  handed the brass key to Teo before dawn. Nobody slept."
-    assert evidence.locate(text, "Mara handed the brass key", None, None, None)[2] == "Mara  handed the brass key"
-    assert evidence.locate(text, "Before dawn Mara gave Teo that brass key", "", "Teo", "Mara")[2].startswith("Mara  handed")
-    assert evidence.locate(text, "Nobody slept. The bell rang twice.", None, None, None)[2] == "Nobody slept."
-    assert evidence.locate(text, None, None, "dawn", None)[2].strip().startswith("Mara")
-    assert evidence.locate(text, "Gone.", "", "", "Mara") == (-1, 0, "Gone.")
-    assert evidence.locate(None, "x", None, None, None) == (-1, 0, "")
-    start, length, anchor = evidence.locate("word " * 200, "word " * 90, None, None, None)
+    assert locate(text, "Mara handed the brass key", None, None, None)[2] == "Mara  handed the brass key"
+    assert locate(text, "Before dawn Mara gave Teo that brass key", "", "Teo", "Mara")[2].startswith("Mara  handed")
+    assert locate(text, "Nobody slept. The bell rang twice.", None, None, None)[2] == "Nobody slept."
+    assert locate(text, None, None, "dawn", None)[2].strip().startswith("Mara")
+    assert locate(text, "Gone.", "", "", "Mara") == (-1, 0, "Gone.")
+    assert locate(None, "x", None, None, None) == (-1, 0, "")
+    start, length, anchor = locate("word " * 200, "word " * 90, None, None, None)
     assert start == 0 and length <= evidence.SPAN and anchor.strip().endswith("word")
 
 
+def test_evidence_edges(spark):
+    """Words at the limit of a span stay whole, white space and case differ, and marks of patterns are letters like others."""
+    long = "Ash " + "x" * 300
+    rows = [
+        ("Teo  saw (the) \\\\E sea.\nIt was cold.", "teo saw (THE) \\\\E sea", (0, 22)),
+        (long, long, (0, 4)),
+        ("y" * 300, "y" * 300, (0, 240)),
+        ("It ends so.\nBrass.", "Brass", (12, 6)),
+        ("One. Two", "two", (4, 4)),
+        ("a", " ", (-1, 0)),
+    ]
+    df = spark.createDataFrame([(i, t, q) for i, (t, q, _) in enumerate(rows)], "i long, t string, q string")
+    nothing = F.lit(None).cast("string")
+    got = {r.i: (r.x.start, r.x.length) for r in df.select("i", evidence.located(F.col("t"), F.col("q"), nothing, nothing, nothing).alias("x")).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(rows)}
+    strict = df.select("i", evidence.anchored_strictly(F.col("t"), F.col("q"), nothing).alias("x")).collect()
+    assert {r.i: r.x for r in strict} == {0: False, 1: True, 2: True, 3: True, 4: True, 5: False}
+
+
 def _claim(i, scene=1, s=11, p="trusts", o=12, polarity=True, told=None, status="approved", until=None, story=1):
     return (i, story, scene, i, s, p, o, "relationship_state", polarity, told or f"told {i}", status, 0.7, until)
 
