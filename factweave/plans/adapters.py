@@ -215,3 +215,18 @@ WITH letters AS (SELECT o_orderkey AS doc_id, ({_quoted(LETTERS)})[o_orderkey %
 TALE_SQL = f"""
 WITH tales AS (SELECT o_orderkey AS doc_id, ({_quoted(TALES)})[o_orderkey % {len(TALES)} + 1] AS text, CASE WHEN o_custkey % 3 > 0 THEN 'Isolde' END AS pov FROM orders)
 """
+
+
+RESOLUTIONS = ("open", "fixed", "rejected", "odd")
+
+
+def stored_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues as stored, one a claim: of some, the earlier claim is gone, or the offset isn't known."""
+    c = F.col("id")
+    state = F.when(c % 5 < 4, _pick(RESOLUTIONS, c % 5 + 1))
+    return claims(spark, sf_dir).select("id", "story_id", "scene_id", c.alias("current_claim_id"), (c - 1).alias("conflicting_claim_id"), F.when(c % 7 > 0, c * 13 % 97).alias("text_offset"), state.alias("resolution_status"))
+
+
+#: stored_issues() for DuckDB: put after SQL.
+ISSUE_SQL = f""", stored_issues AS (SELECT id, story_id, scene_id, id AS current_claim_id, id - 1 AS conflicting_claim_id, CASE WHEN id % 7 > 0 THEN id * 13 % 97 END AS text_offset,
+  CASE WHEN id % 5 < 4 THEN ({_list(RESOLUTIONS)})[id % 5 + 1] END AS resolution_status FROM claims)"""

@@ -13,7 +13,7 @@ from ..session import saved
 from ..sources import manuscripts
 from ..streaming import edits
 from . import adapters as A
-from . import extract
+from . import extract, reviews
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -220,3 +220,5 @@ QUERIES: dict[str, Query] = {
     "ui_circle_named": lambda s, d: editor.circle(_graph(graph.nodes)(s, d)),
     "ui_origins": lambda s, d: editor.origins_told(A.drafts(s, d)),
 }
+
+QUERIES |= reviews.queries(_prepared)
