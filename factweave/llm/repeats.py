@@ -29,6 +29,8 @@ from .words import SPACES, Words, classes, pieces, windows
 WINDOW, BLOCK, SEGMENT = 50, 25, 1024
 #: Bytes of input for each bucket, so that a bucket's index is a few MB at any size of input.
 BUCKET_BYTES = 16 << 20
+#: Bytes of text whose windows are packed together.
+PART_BYTES = 2 << 20
 #: Ids are broadcast up to this count (16 MB); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 _TABLE = classes(SPACES)
@@ -81,7 +83,7 @@ def _offer(buckets: int):
 
     def build(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for part, data, offsets in pieces(batch):
+            for part, data, offsets in pieces(batch, limit=PART_BYTES):
                 hashes, of, place = _rolled(Words(data, offsets, _TABLE, lower=False), BLOCK)
                 if not len(hashes):
                     continue
@@ -163,7 +165,7 @@ def _extend(buckets: int):
 
     def build(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for part, data, offsets in pieces(batch):
+            for part, data, offsets in pieces(batch, limit=PART_BYTES):
                 hashes, of, place = _rolled(Words(data, offsets, _TABLE, lower=False), WINDOW)
                 if not len(hashes):
                     continue
@@ -257,7 +259,7 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
 def _plain(batches: Iterator[pa.RecordBatch]):
     """Words and digest of each text as it stands; bytes.split() parts at the same six characters."""
     for batch in batches:
-        for part, data, offsets in pieces(batch):
+        for part, data, offsets in pieces(batch, limit=PART_BYTES):
             raw, counts, digests = data.tobytes(), [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 words = raw[a:b].split()
