@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORDS, OVERLAP, SINGLE = 1500, 200, 3000
+from ..functions import text as T
+
+WORDS, OVERLAP, SINGLE, LONG = 1500, 200, 3000, 10000
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *kept: str) -> DataFrame:
@@ -20,16 +24,45 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *kep
     return x.select("doc_id", *kept, F.col("chunk_index").cast("long").alias("chunk_index"), F.when(F.col("n") <= SINGLE, F.col("n")).otherwise(F.least(F.lit(WORDS), F.col("n") - F.col("s"))).cast("long").alias("n_words"), part.alias("chunk"))
 
 
-def places(text: Column, pattern: str) -> Column:
-    """Where the matches of a pattern start, counted in characters from 0."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zipped = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"))
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), where x is computed once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def running(steps: Column, piece: int = 256) -> Column:
+    """The sum before each of an array's numbers.
+
+    Slices of piece numbers are summed alone and then moved by what the slices before hold: a fold copies the array it grows, and
+    so none grows beyond a slice, or the number of slices.
+    """
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    grown = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    slices = F.transform(F.sequence(F.lit(0), F.greatest(F.size(steps) - 1, F.lit(0)), F.lit(piece)), lambda i: F.aggregate(F.slice(steps, i + 1, piece), none, grown))
+
+    def moved(sums: Column) -> Column:
+        bases = F.aggregate(F.transform(sums, lambda s: s["at"]), none, grown)["out"]
+        return F.flatten(F.zip_with(sums, bases, lambda s, b: F.transform(s["out"], lambda at: at + b)))
+
+    return _let(slices, moved)
+
+
+def places(text: Column, pattern: str | Column) -> Column:
+    """Where the matches of a pattern start, counted in characters from 0; in time that grows with the text's length alone, nearly."""
+    given = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found, gaps = F.regexp_extract_all(text, given, F.lit(0)), F.split(text, given, -1)
+    both = F.arrays_zip(F.transform(found, F.length).alias("m"), F.slice(F.transform(gaps, F.length), 1, F.size(found)).alias("g"))
+
+    def starts(z: Column) -> Column:
+        return F.zip_with(running(F.transform(z, lambda x: x["g"] + x["m"])), z, lambda at, x: at + x["g"])
+
+    return _let(both, starts)
 
-    def step(a: Column, z: Column) -> Column:
-        start = a["at"] + F.length(z["g"])
-        return F.struct((start + F.length(z["m"])).alias("at"), F.concat(a["out"], F.array(start)).alias("out"))
 
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_chunks, long): words of each text, the chunks they make, and whether they are over LONG; null texts have none and are one chunk."""
+    n = T.word_count(F.col(text_col))
+    windows = F.when(n <= SINGLE, 1).otherwise(F.ceil((n - OVERLAP) / (WORDS - OVERLAP)))
+    return docs.select(F.col(id_col).alias("doc_id"), n.alias("n_words"), windows.cast("long").alias("n_chunks"), (n > LONG).alias("long"))
 
 
 def sentence_array(text: Column) -> Column:
