@@ -77,13 +77,18 @@ def phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return x.select("doc_id", "sentence_index", "p.*")
 
 
+def without_fillers(raw: Column) -> Column:
+    """A mention, white space collapsed, without fillers behind it, and before it while two words stay; null becomes empty."""
+    fill = "|".join(V.OBJECT_FILLERS)
+    x = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)\s+", " "))
+    return F.regexp_replace(F.regexp_replace(x, rf"(?i)(?: (?:{fill}))+$", ""), rf"(?i)^(?:(?:{fill}) )+(?=\S+ \S)", "")
+
+
 def resolved(raw: Column, pov: Column, cast: dict[str, Column]) -> Column:
     """Who a mention is: fillers around it go, the narrator is the point of view, names of roles are those the text tells, others
     stay. Null where nobody is found: nothing left, the narrator without a point of view, another's pronoun (no tagger names an
     antecedent)."""
-    fill = "|".join(V.OBJECT_FILLERS)
-    x = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)\s+", " "))
-    x = F.regexp_replace(F.regexp_replace(x, rf"(?i)(?: (?:{fill}))+$", ""), rf"(?i)^(?:(?:{fill}) )+(?=\S+ \S)", "")
+    x = without_fillers(raw)
     head = F.lower(F.substring_index(x, " ", 1))
     named = F.when(x == "", None).when(head.isin(*V.NARRATING), F.when(pov != "", pov)).when(head.isin(*V.THIRD_PERSON), None)
     for role, name in cast.items():
@@ -91,6 +96,22 @@ def resolved(raw: Column, pov: Column, cast: dict[str, Column]) -> Column:
     return named.otherwise(x)
 
 
+def reject_reason(subject: Column, predicate: Column, target: Column, subject_method: Column, object_method: Column) -> Column:
+    """Why a relation is left out, null where it stays; the methods are those of coreference.resolved."""
+    s, o = T.norm(subject), T.norm(target)
+    kin = ("father_of", "mother_of", "parent_of")
+    return (
+        F.when(s == "", "missing subject")
+        .when(s.rlike(rf"^(?:{'|'.join(V.AUXILIARY_STARTS)})\b"), "auxiliary/fragment subject")
+        .when(subject_method == "unresolved", "unresolved pronoun subject")
+        .when(object_method == "unresolved", "unresolved pronoun object")
+        .when((o == "") & ~F.coalesce(predicate.isin(*kin), F.lit(False)), "missing object")
+        .when(F.substring_index(o, " ", 1).isin("him", "her", "them", "me", "you", "it"), "unresolved pronoun object")
+        .when(o.rlike(r" (?:all|either|anymore)$"), "junk object fragment")
+        .when((s == o) & predicate.endswith("_of"), "self-referential family relation")
+    )
+
+
 def relations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pov_col: str | None = None) -> DataFrame:
     """A row per distinct relation of a text: (doc_id, sentence_index, start, end, subject, predicate, object, polarity, confidence,
     evidence, origin), the first of those equal but for case.

@@ -62,11 +62,11 @@ def resolution(status: Column) -> Column:
 
 
 def circle(nodes: DataFrame, radius: float = 220.0) -> DataFrame:
-    """Nodes of each story on a circle from the top, by importance, then label and id."""
+    """Nodes of each story on a circle from the top, by importance, then label and id; a single one stands in the middle."""
     w = Window.partitionBy("story_id")
     order = w.orderBy(F.desc("importance_score"), F.lower("label"), "entity_id")
     angle = 2 * F.pi() * (F.row_number().over(order) - 1) / F.count("*").over(w) - F.pi() / 2
-    return nodes.withColumn("a", angle).select("story_id", "entity_id", F.round(radius * F.cos("a"), 2).alias("x"), F.round(radius * F.sin("a"), 2).alias("y"))
+    return nodes.withColumns({"a": angle, "r": F.when(F.count("*").over(w) > 1, F.lit(radius)).otherwise(0.0)}).select("story_id", "entity_id", F.round(F.col("r") * F.cos("a"), 2).alias("x"), F.round(F.col("r") * F.sin("a"), 2).alias("y"))
 
 
 def origins_told(claims: DataFrame, by: str = "scene_id") -> DataFrame:

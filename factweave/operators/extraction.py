@@ -169,7 +169,7 @@ def merged_sources(drafts: DataFrame) -> DataFrame:
     """
     c = F.col
     key = {"_s": T.norm(c("subject")), "_p": F.translate(T.norm(c("predicate")), " ", "_"), "_t": T.norm(c("target")), "_k": T.norm(c("claim_type")), "_n": c("polarity")}
-    own = F.filter(F.transform(F.split(F.coalesce("generation_origin", F.lit("")), r"\+"), F.trim), lambda p: p != "")
+    own = F.filter(F.transform(F.split(F.coalesce("generation_origin", F.lit("")), r"\+"), lambda p: F.trim(p)), lambda p: p != "")
     fields = F.struct("ord", "subject", "predicate", "target", "claim_type", "polarity", c("confidence").cast("double").alias("confidence"), F.coalesce("evidence", F.lit("")).alias("evidence"), F.coalesce("claim", F.lit("")).alias("claim"), F.coalesce("anchored", F.lit(False)).alias("anchored"), F.array_distinct(own).alias("origins"), F.lit(None).cast("string").alias("review_status"))
 
     def both(a: Column, b: Column) -> Column:

@@ -88,3 +88,38 @@ def repointed(claims: DataFrame, entities: DataFrame, found: DataFrame) -> DataF
         claims = claims.join(names, c(side) == c("loser"), "left")
         claims = claims.withColumns({side: F.coalesce("winner_id", side), text: F.coalesce("winner_name", text)}).drop("loser", "winner_id", "winner_name")
     return claims
+
+
+def narrators_repointed(claims: DataFrame, entities: DataFrame, povs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """claims whose ends are a narrator's entity on their scene's point of view (scene_id, pov), with their new hashes; and the entities left.
+
+    A narrator's entity is one with a placeholder's name; it goes once no claim has it. The point of view is the entity of that name
+    or alias in the claim's story (registry.with_narrator makes it before). Where there is none, or a scene tells no point of view, a
+    claim stays as it is, but for suggested ones, which need review. Ids of other claims, null ones among them, don't change.
+    """
+    c = F.col
+    narrators = entities.where(E.is_placeholder(c("canonical_name"))).select(c("id").alias("narrator"))
+    ends = ("subject", "object")
+    x = claims
+    for end in ends:
+        x = x.join(narrators.withColumnRenamed("narrator", f"{end}_narrator"), c(f"{end}_entity_id") == c(f"{end}_narrator"), "left")
+    hit = c("subject_narrator").isNotNull() | c("object_narrator").isNotNull()
+    told = povs.groupBy("scene_id").agg(F.min("pov").alias("pov"))
+    names = claims.select("story_id", "scene_id").distinct().join(told, "scene_id").select("story_id", c("pov").alias("name")).distinct()
+    who = E.resolved(names, entities.where(~E.is_placeholder(c("canonical_name")))).where("entity_id is not null").select("story_id", c("name").alias("pov"), c("entity_id").alias("pov_id"))
+    who = who.join(entities.select(c("id").alias("pov_id"), c("canonical_name").alias("pov_name")), "pov_id")
+    x = x.join(told, "scene_id", "left").join(who, ["story_id", "pov"], "left")
+    moved, flagged = hit & c("pov_id").isNotNull(), hit & c("pov_id").isNull()
+    new = {"status": F.when(flagged & (c("status") == "suggested"), "needs_review").otherwise(c("status"))}
+    for end in ends:
+        on = moved & c(f"{end}_narrator").isNotNull()
+        new |= {f"{end}_entity_id": F.when(on, c("pov_id")).otherwise(c(f"{end}_entity_id")), end: F.when(on, c("pov_name")).otherwise(c(end))}
+    x = x.withColumns(new | {"moved": moved})
+    by_id = T.entity_hash(c("subject_entity_id"), c("predicate"), c("object_entity_id"), c("claim_type"), F.lit(True))
+    hashed = F.when(c("subject_entity_id").isNull(), T.string_hash(c("subject"), c("claim_type"), c("object"), F.lit(True))).otherwise(by_id)
+    kept = [k for k in claims.columns if k != "source_hash"]
+    old = c("source_hash") if "source_hash" in claims.columns else F.lit(None).cast("string")
+    x = x.select(*kept, F.when(c("moved"), hashed).otherwise(old).alias("source_hash"))
+    used = x.select(F.explode(F.array("subject_entity_id", "object_entity_id")).alias("id")).where("id is not null")
+    unused = narrators.join(used, c("narrator") == c("id"), "left_anti").withColumnRenamed("narrator", "id")
+    return x, entities.join(unused, "id", "left_anti").select(*entities.columns)

@@ -219,9 +219,32 @@ def heading(block: Column) -> Column:
     return F.when(found != "", found).when(chapter != "", chapter)
 
 
+def body(block: Column) -> Column:
+    """A scene's text without its first ## heading and its first Chapter line."""
+    first = lambda x, line: F.regexp_replace(x, rf"\A(?m:((?:(?s:.)*?))(?i:{line})[^\n]*\n?)", "$1")
+    return _stripped(first(first(F.coalesce(block, F.lit("")), r"^##\s+"), r"^Chapter\s+\d+"))
+
+
+def recombined(title: Column, text: Column) -> Column:
+    """A title and a text as stored: an empty line between them, or the one that isn't blank."""
+    parts = F.filter(F.array(_stripped(title), _stripped(text)), lambda x: x != "")
+    return F.array_join(parts, "\n\n")
+
+
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(F.coalesce(x, F.lit("")), r"^\s+|\s+\z", "")
+
+
+def titled(scenes: DataFrame) -> DataFrame:
+    """scenes (text) with title, which is null without a heading, body, and both recombined."""
+    x = scenes.withColumns({"title": heading(F.col("text")), "body": body(F.col("text"))})
+    return x.withColumn("stored", recombined(F.col("title"), F.col("body")))
+
+
 def aliases(raw: Column) -> Column:
-    """A JSON list of names; what is none is an empty list."""
-    return F.coalesce(F.from_json(raw, "array<string>"), F.array().cast("array<string>"))
+    """A JSON list of names, trimmed and without blanks; what is no list is an empty one."""
+    given = F.when(F.trim(raw).startswith("["), F.from_json(raw, "array<string>"))
+    return F.filter(F.transform(F.coalesce(given, F.array().cast("array<string>")), lambda a: F.trim(a)), lambda a: a != "")
 
 
 def origin_counts(claims: DataFrame, by: str = "scene_id") -> DataFrame:

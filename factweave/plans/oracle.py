@@ -211,8 +211,9 @@ SELECT s.doc_id, s.start, s."end", count(*) AS depth FROM s JOIN w ON w.doc_id =
     "ui_confidence_label": f"{SQL} SELECT id, CASE WHEN confidence >= 0.9::DOUBLE THEN '✓' WHEN confidence >= 0.65::DOUBLE THEN '○' ELSE '⚠' END || ' ' || floor(confidence * 100 + 0.5::DOUBLE)::BIGINT || '%' AS label FROM claims",
     "ui_origins": f"{DRAFT_SQL}, n AS (SELECT scene_id, generation_origin AS o, count(*) AS n FROM drafts GROUP BY ALL) SELECT scene_id, string_agg(o || ': ' || n, ', ' ORDER BY n DESC, o) AS origins FROM n GROUP BY 1",
 }
-ORACLES["ui_circle"] = f"""WITH nd AS ({ORACLES["gra_nodes"]}), a AS (SELECT *, 2 * pi() * (row_number() OVER (PARTITION BY story_id ORDER BY importance_score DESC, lower(label), entity_id) - 1) / count(*) OVER (PARTITION BY story_id) - pi() / 2 AS a FROM nd)
-SELECT story_id, entity_id, round(220.0::DOUBLE * cos(a), 2) AS x, round(220.0::DOUBLE * sin(a), 2) AS y FROM a"""
+ORACLES["ui_circle"] = f"""WITH nd AS ({ORACLES["gra_nodes"]}), a AS (SELECT *, 2 * pi() * (row_number() OVER (PARTITION BY story_id ORDER BY importance_score DESC, lower(label), entity_id) - 1) / count(*) OVER (PARTITION BY story_id) - pi() / 2 AS a,
+  CASE WHEN count(*) OVER (PARTITION BY story_id) > 1 THEN 220.0::DOUBLE ELSE 0::DOUBLE END AS r FROM nd)
+SELECT story_id, entity_id, round(r * cos(a), 2) AS x, round(r * sin(a), 2) AS y FROM a"""
 
 # The graph with null ids looked up by name; the adapters' names are their entities' canonical ones.
 _NAMED = SQL.replace("\nclaims AS (", "\ngiven AS (") + """, claims AS (SELECT g.* REPLACE (coalesce(subject_entity_id, a.id) AS subject_entity_id, coalesce(object_entity_id, b.id) AS object_entity_id) FROM given g

@@ -13,7 +13,7 @@ from ..session import saved
 from ..sources import manuscripts
 from ..streaming import edits
 from . import adapters as A
-from . import extract, reviews
+from . import extract, readings, reviews
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -221,4 +221,4 @@ QUERIES: dict[str, Query] = {
     "ui_origins": lambda s, d: editor.origins_told(A.drafts(s, d)),
 }
 
-QUERIES |= reviews.queries(_prepared)
+QUERIES |= reviews.queries(_prepared) | readings.QUERIES

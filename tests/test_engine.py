@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from factweave.operators import chapters, graph, store, validate
-from factweave.plans import oracle, queries, reviews
+from factweave.plans import oracle, queries, readings, reviews
 from factweave.sources import manuscripts
 
 SF = "/root/testdata/sf0.001"
@@ -25,10 +25,13 @@ def rows(columns, records):
     return sorted((tuple(plain(r[i]) for i in order) for r in records), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(oracle.ORACLES | reviews.ORACLES))
+ORACLES = oracle.ORACLES | reviews.ORACLES | readings.ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_sql(spark, duck, name):
     df = queries.QUERIES[name](spark, SF)
-    rel = duck.execute((oracle.ORACLES | reviews.ORACLES)[name])
+    rel = duck.execute(ORACLES[name])
     columns = [d[0] for d in rel.description]
     assert sorted(df.columns) == sorted(columns)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
