@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, iso_media, language, neardup, packing, private, quality, repeats, token_counts, token_files, top_k
+from . import decontaminate, iso_media, language, neardup, packing, private, quality, repeats, token_counts, token_files, top_k, trie
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,10 +15,11 @@ QUERIES = {
     "op8_neardup": neardup.op8_neardup,
     "op9_media": iso_media.op9_media,
     "op10_language": language.op10_language,
+    "op12_prefix_trie": trie.op12_prefix_trie,
     "op13_top_k": top_k.op13_top_k,
     # What SQL can express of op5 and op9.
     "private_base": private.base_private,
     "media_payload": iso_media.media_payload,
 }
 
-ORACLES = {"private_base": private.BASE_SQL, "media_payload": iso_media.PAYLOAD_SQL, "op6_repeats": repeats.OP6_SQL, "op7_decontaminate": decontaminate.OP7_SQL, "op8_neardup": neardup.OP8_SQL, "op13_top_k": top_k.OP13_SQL}
+ORACLES = {"private_base": private.BASE_SQL, "media_payload": iso_media.PAYLOAD_SQL, "op6_repeats": repeats.OP6_SQL, "op7_decontaminate": decontaminate.OP7_SQL, "op8_neardup": neardup.OP8_SQL, "op12_prefix_trie": trie.OP12_SQL, "op13_top_k": top_k.OP13_SQL}
