@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, iso_media, language, neardup, packing, private, quality, repeats, token_counts, token_files, top_k, trie
+from . import decontaminate, iso_media, language, neardup, packing, private, quality, repeats, runs, token_counts, token_files, top_k, trie
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_neardup": neardup.op8_neardup,
     "op9_media": iso_media.op9_media,
     "op10_language": language.op10_language,
+    "op11_runs": runs.op11_runs,
     "op12_prefix_trie": trie.op12_prefix_trie,
     "op13_top_k": top_k.op13_top_k,
     # What SQL can express of op5 and op9.

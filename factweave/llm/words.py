@@ -4,6 +4,11 @@ A batch's UTF-8 buffer is handled as one numpy byte array. A word's hash takes i
 its bytes, eight at a time, through a mixing bijection; words of over LONG_WORD bytes are digested
 by BLAKE2. A window's hash is a polynomial in an odd base modulo 2**64 over its words' hashes, got
 from prefix sums, then mixed. Nulls are empty texts.
+
+Words of one hash may differ, as may windows: such hashes find candidates and no more. What
+decides goes by the words' bytes: `Words.numbers` tells words apart within a batch, `shingles`
+windows, `equal_words` words of two batches, and `strong` gives windows digests that hold across
+batches, under a key that is drawn anew for each run.
 """
 
 from __future__ import annotations
@@ -80,19 +85,19 @@ def eights(data: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data) + LONG_WORD, "<u8", padded, strides=(1,))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's hash and first eight bytes."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's hash and first eight bytes. With another salt, other words share a hash."""
     sizes = ends - starts
     at = eights(data)
     heads = block(at, starts, sizes, 0)
-    out = mix(heads ^ (sizes.astype(np.uint64) * _LENGTH_SALT))
+    out = mix(heads ^ (sizes.astype(np.uint64) * _LENGTH_SALT) ^ np.uint64(salt))
     left = np.flatnonzero(sizes > 8)
     i = 1
     while len(left):
         if i * 8 >= LONG_WORD:
             raw = data.tobytes()
             for j in left.tolist():
-                out[j] = int.from_bytes(hashlib.blake2b(raw[starts[j] : ends[j]], digest_size=8).digest(), "little")
+                out[j] = int.from_bytes(hashlib.blake2b(raw[starts[j] : ends[j]], digest_size=8, key=salt.to_bytes(8, "little") if salt else b"").digest(), "little")
             break
         out[left] = mix(out[left] ^ block(at, starts[left], sizes[left], i))
         i += 1
@@ -100,6 +105,24 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return out, heads
 
 
+def equal_words(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
+    """Whether each word has the same bytes as the other of its place."""
+    same = sizes == other_sizes
+    at, other_at = eights(data), eights(other)
+    left, i = np.flatnonzero(same), 0
+    while len(left):
+        if i * 8 >= LONG_WORD:
+            for j in left.tolist():
+                a, b, n = starts[j], other_starts[j], sizes[j]
+                same[j] = np.array_equal(data[a : a + n], other[b : b + n])
+            break
+        like = block(at, starts[left], sizes[left], i) == block(other_at, other_starts[left], sizes[left], i)
+        same[left[~like]] = False
+        i += 1
+        left = left[like & (sizes[left] > 8 * i)]
+    return same
+
+
 def classes(separators: tuple[int, ...], lower: bool = False) -> np.ndarray:
     """A class for each byte value: 0 for separators, 1 for the rest."""
     table = np.ones(256, np.int8)
@@ -111,7 +134,8 @@ class Words:
     """The words of some texts: runs of bytes of one class over 0. text i's words are those from first[i] to first[i + 1]."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool):
-        self.data, self.offsets, self.lower = data, offsets, lower
+        self.offsets, self.lower = offsets, lower
+        self.data = _FOLD[data] if lower else data
         kind = table[data]
         begin, end = kind > 0, kind > 0
         if len(data):
@@ -128,15 +152,29 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self) -> np.ndarray:
-        return word_hashes(_FOLD[self.data] if self.lower else self.data, self.starts, self.ends)[0]
+    def hashes(self, salt: int = 0) -> np.ndarray:
+        return word_hashes(self.data, self.starts, self.ends, salt)[0]
+
+    def numbers(self) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each word, one for words of the same bytes, and each number's first place."""
+        salt, n = 0, len(self)
+        while True:
+            hashes = self.hashes(salt)
+            order = np.argsort(hashes, kind="stable")
+            same = hashes[order[1:]] == hashes[order[:-1]]
+            i, j = order[1:][same], order[:-1][same]
+            if equal_words(self.data, self.starts[i], (self.ends - self.starts)[i], self.data, self.starts[j], (self.ends - self.starts)[j]).all():
+                break
+            salt += 1  # two words share a hash
+        out, new = np.empty(n, np.int64), np.concatenate((np.ones(min(n, 1), bool), ~same))
+        out[order] = np.cumsum(new) - 1
+        return out, order[new]
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
     def word(self, j: int) -> bytes:
-        found = self.data[self.starts[j] : self.ends[j]].tobytes()
-        return found.lower() if self.lower else found
+        return self.data[self.starts[j] : self.ends[j]].tobytes()
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
