@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, saved, small_batches, two, unused
-from .words import NON_ALNUM, Words, buffers, classes, pieces
+from .words import NON_ALNUM, Spelled, Words, buffers, classes, pieces
 
 WINDOW = 10
 #: Words of the items in one automaton, whose arrays then take some 100 MB (the driver takes four times that while it makes them); more are taken in blocks, each a pass over the documents.
@@ -175,35 +175,58 @@ class Automaton:
         return spans, found
 
 
-def _items(rows: list, window: int) -> tuple[np.ndarray, Automaton]:
-    """The sorted hashes of the items' words, and the automaton over their places in that order."""
+class Vocabulary:
+    """The items' words, by a hash that no two of them share. A text's word is known if it has the bytes of the one with its hash."""
+
+    def __init__(self, words: list[bytes]):
+        sizes = np.array([len(w) for w in words], np.int64)
+        ends, self.salt = np.cumsum(sizes), 0
+        spelled = Spelled(np.frombuffer(b"".join(words), np.uint8), ends - sizes, ends)
+        while len(np.unique(hashes := spelled.hashes(self.salt))) < len(words):
+            self.salt += 1
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+        self.words = Spelled(spelled.data, spelled.starts[self.order], spelled.ends[self.order])
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+
+def _items(rows: list, window: int) -> tuple[Vocabulary, Automaton]:
+    """The items' words, and the automaton over their places in the vocabulary."""
     text = pa.array([r.text for r in rows], pa.string())
-    hashed: list[np.ndarray] = []
+    known: dict[bytes, int] = {}
+    items: list[np.ndarray] = []
     for _, data, offsets in pieces(pa.RecordBatch.from_arrays([text], ["text"])):
         words = Words(data, offsets, _TABLE, lower=True)
-        hashed += np.split(words.hashes(), words.first[1:-1])
-    known = np.unique(np.concatenate(hashed)) if hashed else np.zeros(0, np.uint64)
-    # A word's number is its place among the distinct hashes.
-    return known, Automaton([(r.item_id, np.searchsorted(known, h).tolist()) for r, h in zip(rows, hashed, strict=True)], window)
+        numbers, first = words.numbers()
+        named = np.array([known.setdefault(words.word(j), len(known)) for j in first.tolist()], np.int64)
+        items += np.split(named[numbers], words.first[1:-1])
+    vocabulary = Vocabulary(list(known))
+    place = np.empty(len(known), np.int64)
+    place[vocabulary.order] = np.arange(len(known))
+    return vocabulary, Automaton([(r.item_id, place[x].tolist()) for r, x in zip(rows, items, strict=True)], window)
 
 
 class Scanner:
     """Finds hits in texts; words that no item has are passed over without a step of the automaton."""
 
-    def __init__(self, known: np.ndarray, automaton: Automaton):
+    def __init__(self, known: Vocabulary, automaton: Automaton):
         self.known, self.automaton = known, automaton
         self.quick = np.zeros(1 << 20, bool)
-        self.quick[(known >> np.uint64(44)).astype(np.int64)] = True
+        self.quick[(known.hashes >> np.uint64(44)).astype(np.int64)] = True
 
     def scan(self, words: Words) -> Iterator[tuple[int, list[tuple[int, int]], set]]:
         """(text number, spans in its words, items) of the texts with hits."""
-        hashes = words.hashes()
+        hashes = words.hashes(self.known.salt)
         maybe = np.flatnonzero(self.quick[(hashes >> np.uint64(44)).astype(np.int64)])
         if not len(self.known) or not len(maybe):
             return
-        place = np.minimum(np.searchsorted(self.known, hashes[maybe]), len(self.known) - 1)
-        real = self.known[place] == hashes[maybe]
+        place = np.minimum(np.searchsorted(self.known.hashes, hashes[maybe]), len(self.known) - 1)
+        real = self.known.hashes[place] == hashes[maybe]
         at, ids = maybe[real], place[real]
+        real = words.same(at, self.known.words, ids)
+        at, ids = at[real], ids[real]
         if not len(at):
             return
         text = np.searchsorted(words.first, at, "right") - 1
@@ -311,7 +334,7 @@ def _scan_digests(shared: Broadcast | None):
     nothing = _digest([], set(), 0)
 
     def build(batches: Iterator[pa.RecordBatch]):
-        scanner = Scanner(*(shared.value if shared else (np.zeros(0, np.uint64), None)))
+        scanner = Scanner(*(shared.value if shared else (Vocabulary([]), None)))
         for batch in batches:
             for part, data, offsets in pieces(batch):
                 words = Words(data, offsets, _TABLE, lower=True)

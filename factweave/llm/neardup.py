@@ -1,20 +1,22 @@
 """MinHash near-dedup (8): one-permutation hashing with optimal densification, banded buckets, star-shaped candidate edges.
 
-Equal sets are one class from the start. Each class has one signature of BINS bins; an empty bin
+Equal word sequences are one class from the start, by a digest of 128 bits. Each class has one signature of BINS bins; an empty bin
 borrows from the first non-empty bin in its own fixed random order. In each bucket of a band all
 classes are tied to the smallest only, so candidate edges are at most the bucket rows. The stars'
 connected families hold every pair that shares a bucket; within a family links are confirmed on
 the full sets, and only a spanning forest of the links leaves the task.
 
 Pairs inside one component need no look: a family is compared from its most typical text on, and
-then only texts that aren't linked with that one, however far, are compared with others (by a
-prefix filter on the rarest shingles). A family too large for one task is dealt into blocks; all
+then only texts that aren't linked with that one, however far, are compared with others (by
+prefix filters on the rarest shingles and their places). Links go by the shingles themselves: their
+hashes only find candidates, and within a task are checked to tell its shingles apart. A family too large for one task is dealt into blocks; all
 blocks also get a few common centres. What then lies outside a family's largest component, often
 nothing, is compared with all its blocks.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import deleted, read, saved, small_enough, two, unused
-from .words import SPACES, Words, classes, mix, pieces, whole, windows
+from .words import SPACES, Words, buffers, classes, mix, pieces, told_apart, whole, windows
 
 SHINGLE = 5
 #: Links need 100 * intersection >= SIMILARITY * union.
@@ -54,19 +56,32 @@ _ORDERS = _orders()
 _EDGES = (np.arange(BINS, dtype=object) * (1 << 64) // BINS).astype(np.uint64)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Each text's set: the sorted distinct hashes of its shingles."""
-    words = Words(data, offsets, _TABLE, lower=True)
-    hashes = words.hashes()
-    rolled, out = windows(hashes, SHINGLE), []
+def _by_text(words: Words, rolled: np.ndarray) -> list[np.ndarray]:
+    """Each text's set: the sorted distinct values that `rolled` has for its shingles."""
+    out, hashes = [], None
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
         if b - a >= SHINGLE:
             out.append(np.unique(rolled[a : b - SHINGLE + 1]))
         else:
+            hashes = words.hashes() if hashes is None and b > a else hashes
             out.append(np.array([whole(hashes[a:b])] if b > a else [], np.uint64))
     return out
 
 
+def exact_sets(words: Words) -> list[np.ndarray]:
+    """Each text's set as numbers, equal for equal shingles of these texts alone; a text of fewer words is one shingle."""
+    rolled, _ = told_apart(words, SHINGLE)
+    distinct, numbers = np.unique(rolled, return_inverse=True)
+    numbers, short, out = numbers.astype(np.uint64), {}, []
+    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+        if b - a >= SHINGLE:
+            out.append(np.unique(numbers[a : b - SHINGLE + 1]))
+        else:
+            key = tuple(words.word(j) for j in range(a, b))
+            out.append(np.array([len(distinct) + short.setdefault(key, len(short))] if key else [], np.uint64))
+    return out
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The least hash of each bin of a non-empty sorted set, empty bins filled."""
     at = np.searchsorted(shingles, _EDGES)
@@ -90,13 +105,19 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]):
+    """Size of the set, digest of the words and band keys of each text."""
     for batch in batches:
         for part, data, offsets in pieces(batch):
-            sets = shingle_sets(data, offsets)
-            digest = [(int(np.bitwise_xor.reduce(mix(s))), int(s.sum(dtype=np.uint64))) if len(s) else None for s in sets]
-            same = pa.array([None if d is None else d[0].to_bytes(8, "little") + d[1].to_bytes(8, "little") + len(s).to_bytes(4, "little") for d, s in zip(digest, sets, strict=True)], pa.binary())
+            words = Words(data, offsets, _TABLE, lower=True)
+            rolled, salt = told_apart(words, SHINGLE)
+            sets = _by_text(words, rolled)
+            sizes = [len(s) for s in sets]
+            if salt:  # candidates go by the hashes that all tasks have
+                sets = _by_text(words, windows(words.hashes(), SHINGLE))
+            raw = words.data.tobytes()
+            same = [hashlib.blake2b(b" ".join(raw[a:b].split()), digest_size=16).digest() if n else None for a, b, n in zip(offsets[:-1].tolist(), offsets[1:].tolist(), sizes, strict=True)]
             keys = pa.array([band_keys(s) if len(s) else None for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), same, keys], ["doc_id", "n_shingles", "same", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), keys], ["doc_id", "n_shingles", "same", "bands"])
 
 
 def _with_least(edges: DataFrame, n_edges: int, own: bool) -> DataFrame:
@@ -158,8 +179,9 @@ def linked(sets: list[np.ndarray], similarity: int, labels: np.ndarray | None =
     """Links among sets that join all that links join, as pairs of places: a spanning forest of the links.
 
     labels: sets of one label are one component already. With pivots, only pairs with one of
-    the first so many sets count. Two sets at the threshold share one of their rarest shingles,
-    of which each set lists as many as it could miss and one more; only such pairs are compared.
+    the first so many sets count. Shingles are ranked, rarest first. Of two sets at the threshold the smaller
+    has a common shingle among its first `index`, the other among its first `probe`; and behind the
+    first common one enough must be left of both. Only pairs that pass both are compared.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -170,22 +192,48 @@ def linked(sets: list[np.ndarray], similarity: int, labels: np.ndarray | None =
     typical = int(np.argmax(np.add.reduceat(often[at], ends[:-1]) / sizes))
     at = rank[at]
     at = at[np.lexsort((at, owner))]
-    prefix = sizes - (similarity * sizes + 99) // 100 + 1
-    listed = np.flatnonzero(np.arange(len(at)) - ends[:-1][owner] < prefix[owner])
-    listed = listed[np.argsort(at[listed], kind="stable")]
-    posting, start = owner[listed], np.searchsorted(at[listed], np.arange(len(shingles) + 1))
+    place = np.arange(len(at)) - ends[:-1][owner]
+    probe = sizes + 1 - (similarity * sizes + 99) // 100
+    index = sizes + 1 - (2 * similarity * sizes + 99 + similarity) // (100 + similarity)
+
+    def listed(prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each shingle, where its sets stand that have it in their prefix; the sets; its places in them."""
+        chosen = np.flatnonzero(place < prefix[owner])
+        chosen = chosen[np.argsort(at[chosen], kind="stable")]
+        return np.searchsorted(at[chosen], np.arange(len(shingles) + 1)), owner[chosen], place[chosen]
+
+    smaller, larger = listed(index), listed(probe)
     groups, forest = Components(np.arange(len(sets)) if labels is None else labels), []
     mark = np.zeros(len(shingles), bool)
 
     def spread(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.repeat(begin - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(int(lengths.sum()))
 
+    def candidates(i: int) -> np.ndarray:
+        found, mine, theirs = [], [], []
+        for (start, sets_of, places), prefix, larger_ones in ((smaller, probe[i], False), (larger, index[i], True)):
+            own = at[ends[i] : ends[i] + prefix]
+            count = start[own + 1] - start[own]
+            posted = spread(start[own], count)
+            other = sets_of[posted]
+            good = (sizes[other] > sizes[i]) == larger_ones
+            found.append(other[good])
+            mine.append(np.repeat(np.arange(prefix), count)[good])
+            theirs.append(places[posted][good])
+        found, first = np.unique(np.concatenate(found), return_index=True)
+        mine, theirs = np.concatenate(mine)[first], np.concatenate(theirs)[first]
+        both = sizes[found] + sizes[i]
+        left = np.minimum(sizes[i] - mine, sizes[found] - theirs)
+        good = ((100 + similarity) * left >= similarity * both) & (100 * np.minimum(sizes[found], sizes[i]) >= similarity * np.maximum(sizes[found], sizes[i]))
+        found = found[good]
+        return found[groups.of[found] != groups.of[i]]
+
     for i in range(pivots) if pivots is not None else [typical, *range(len(sets))]:
         if pivots is None and i != typical and groups.of[i] == groups.of[typical]:
             continue
-        mine = at[ends[i] : ends[i] + prefix[i]]
-        found = np.unique(posting[spread(start[mine], start[mine + 1] - start[mine])])
-        found = found[(groups.of[found] != groups.of[i]) & (100 * sizes[found] >= similarity * sizes[i]) & (100 * sizes[i] >= similarity * sizes[found])]
+        found = candidates(i)
+        if not len(found):
+            continue
         mark[at[ends[i] : ends[i + 1]]] = True
         look = FIRST_LOOK
         while len(found):
@@ -202,7 +250,7 @@ def _confirm(similarity: int):
         """One block of a family, or its rest (side 0) and a block: links as edges between classes. Texts of one label are one component."""
         table = table.sort_by([("side", "ascending"), ("doc_id", "ascending")])
         batch = table.combine_chunks().to_batches()[0]
-        sets = [s for _, data, offsets in pieces(batch) for s in shingle_sets(data, offsets)]
+        sets = exact_sets(Words(*buffers(batch.column("text")), _TABLE, lower=True))
         ids, sides = batch.column("doc_id").to_numpy(), batch.column("side").to_numpy()
         forest = linked(sets, similarity, batch.column("label").to_numpy(), int((sides == 0).sum()) if sides[0] == 0 else None)
         return pa.table({"a": pa.array([int(ids[i]) for i, _ in forest], pa.int64()), "b": pa.array([int(ids[j]) for _, j in forest], pa.int64())})

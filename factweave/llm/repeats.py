@@ -7,6 +7,9 @@ hash, packed as numbers, never as a row for each. Stretches of SEGMENT words wit
 another document are extended: their windows of WINDOW words are matched, and adjoining
 matches make up the maximal repeats, whose words go from all but the smallest document.
 
+Hashes only find stretches. Windows that are removed are matched by 96 bits of keyed digests (and
+those that choose the bucket); the key is drawn anew for each run, so no text can be written to match.
+
 A window that two documents have which are read together is a hit there and then, and sends no
 probe; of a block's documents only the smallest and the largest id are sent, of a window's
 only the smallest. So however common a passage, it comes to its bucket once from each part of
@@ -16,6 +19,7 @@ the input, and a bucket's task holds one entry for each distinct window.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import input_bytes, read, saved, small_enough, two, unused
-from .words import SPACES, Words, classes, pieces, windows
+from .words import SPACES, Words, classes, pieces, strong, windows
 
 WINDOW, BLOCK, SEGMENT = 50, 25, 1024
 #: Bytes of input for each bucket, so that a bucket's index is a few MB at any size of input.
@@ -32,6 +36,8 @@ BUCKET_BYTES = 16 << 20
 #: Ids are broadcast up to this count (16 MB); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 _TABLE = classes(SPACES)
+#: 96 bits of a window's digests.
+_DIGEST = np.dtype([("high", "<u8"), ("low", "<u4")])
 
 _PACKED = "bucket int, kind int, docs binary, texts binary, counts binary, hashes binary, places binary"
 _NAMES = _PACKED.replace(",", "").split(" ")[::2]
@@ -70,12 +76,17 @@ def _batch(rows: list[list]) -> pa.RecordBatch:
 def _rolled(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, text number and place in the text of each window of k words."""
     hashes = windows(words.hashes(), k)
-    of = np.repeat(np.arange(len(words.first) - 1), words.counts())
-    inside = np.flatnonzero(of[: len(hashes)] == of[k - 1 : k - 1 + len(hashes)])
-    of = of[inside]
+    inside, of = _inside(words, k)
     return hashes[inside], of, inside - words.first[of]
 
 
+def _inside(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and text number of each window of k words that one text has."""
+    of, n = np.repeat(np.arange(len(words.first) - 1), words.counts()), max(0, len(words) - k + 1)
+    inside = np.flatnonzero(of[:n] == of[k - 1 : k - 1 + n])
+    return inside, of[inside]
+
+
 def _offer(buckets: int):
     """Blocks (kind 0) and probes (kind 1): 32 bits of each hash within its bucket. Kind 2: stretches that need no probe."""
 
@@ -158,15 +169,17 @@ def _condense(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
     return low[keep], ids[keep]
 
 
-def _extend(buckets: int):
+def _extend(buckets: int, key: bytes):
     """Windows of WINDOW words in the stretches: known repeats within the part (bucket < 0), the rest for a look at all."""
 
     def build(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part, data, offsets in pieces(batch):
-                hashes, of, place = _rolled(Words(data, offsets, _TABLE, lower=False), WINDOW)
-                if not len(hashes):
+                words = Words(data, offsets, _TABLE, lower=False)
+                inside, of = _inside(words, WINDOW)
+                if not len(inside):
                     continue
+                place = inside - words.first[of]
                 ids = part.column("doc_id").to_numpy().astype(np.int64)
                 texts = part.column("text_id").to_numpy().astype(np.int64)
                 wide = int(place.max()) // SEGMENT + 2
@@ -174,17 +187,20 @@ def _extend(buckets: int):
                 for i, x in enumerate(part.column("stretches").to_pylist()):
                     marked[i, [s for s in x if s < wide]] = True
                 near = marked[of, place // SEGMENT] | marked[of, (place + BLOCK) // SEGMENT]
-                hashes, of, place = hashes[near], of[near], place[near]
-                if not len(hashes):
+                inside, of, place = inside[near], of[near], place[near]
+                if not len(inside):
                     continue
-                order = np.lexsort((ids[of], hashes))
-                edge = _runs(hashes[order])
-                least = np.empty(len(hashes), np.int64)
+                digests = np.empty(len(inside), _DIGEST)
+                high, low = strong(words, WINDOW, key)
+                digests["high"], digests["low"] = high[inside], low[inside].astype(np.uint32)
+                order = np.lexsort((ids[of], digests["low"], digests["high"]))
+                edge = _runs(digests["high"][order], digests["low"][order])
+                least = np.empty(len(inside), np.int64)
                 least[order] = np.repeat(ids[of[order[edge[:-1]]]], np.diff(edge))
                 later = ids[of] > least
-                bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                bucket = ((low[inside] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
                 rows: list[list] = []
-                _pack(bucket[~later], 0, of[~later], ids, texts, hashes[~later], place[~later], rows)
+                _pack(bucket[~later], 0, of[~later], ids, texts, digests[~later], place[~later], rows)
                 _pack(-1 - (of[later] % buckets), 1, of[later], ids, texts, None, place[later], rows)
                 yield _batch(rows)
 
@@ -201,8 +217,8 @@ def _settle(batches: Iterator[pa.RecordBatch]):
     def settled(held: list[tuple]) -> tuple[tuple, tuple]:
         """(the windows in their smallest document, the others), each as ids, texts, hashes, places."""
         ids, texts, hashes, places = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((texts, ids, hashes))
-        edge = _runs(hashes[order])
+        order = np.lexsort((texts, ids, hashes["low"], hashes["high"]))
+        edge = _runs(hashes["high"][order], hashes["low"][order])
         least = np.empty(len(hashes), np.int64)
         least[order] = np.repeat(ids[order[edge[:-1]]], np.diff(edge))
         later = ids > least
@@ -235,7 +251,7 @@ def _settle(batches: Iterator[pa.RecordBatch]):
                 if bucket < 0:
                     yield from emit(ids, texts, of, np.frombuffer(places, np.uint32))
                 else:
-                    held.append((ids[of], texts[of], np.frombuffer(hashes, np.uint64), np.frombuffer(places, np.uint32)))
+                    held.append((ids[of], texts[of], np.frombuffer(hashes, _DIGEST), np.frombuffer(places, np.uint32)))
                     size += len(of)
         if held:
             yield from told(*settled(held)[1])
@@ -297,7 +313,7 @@ def repeated_places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if small_enough(ids := stretches.select("doc_id"), BROADCAST_IDS):
         wanted = docs.join(F.broadcast(ids), "doc_id", "left_semi")
     texts = saved(wanted.join(stretches, "doc_id"), "repeat-texts")
-    windows = texts.mapInArrow(_extend(buckets), _PACKED)
+    windows = texts.mapInArrow(_extend(buckets, os.urandom(16)), _PACKED)
     return saved(windows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle, "doc_id long, text_id long, places binary"), "repeat-places"), texts
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -85,10 +86,10 @@ def eights(data: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data) + LONG_WORD, "<u8", padded, strides=(1,))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Each word's hash and first eight bytes. With another salt, other words share a hash."""
     sizes = ends - starts
-    at = eights(data)
+    at = eights(data) if at is None else at
     heads = block(at, starts, sizes, 0)
     out = mix(heads ^ (sizes.astype(np.uint64) * _LENGTH_SALT) ^ np.uint64(salt))
     left = np.flatnonzero(sizes > 8)
@@ -105,22 +106,57 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: in
     return out, heads
 
 
-def equal_words(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
-    """Whether each word has the same bytes as the other of its place."""
-    same = sizes == other_sizes
-    at, other_at = eights(data), eights(other)
-    left, i = np.flatnonzero(same), 0
-    while len(left):
-        if i * 8 >= LONG_WORD:
-            for j in left.tolist():
-                a, b, n = starts[j], other_starts[j], sizes[j]
-                same[j] = np.array_equal(data[a : a + n], other[b : b + n])
-            break
-        like = block(at, starts[left], sizes[left], i) == block(other_at, other_starts[left], sizes[left], i)
-        same[left[~like]] = False
-        i += 1
-        left = left[like & (sizes[left] > 8 * i)]
-    return same
+class Spelled:
+    """Words as places in some bytes."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        self.data, self.starts, self.ends = data, starts, ends
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "eights"}
+
+    @functools.cached_property
+    def eights(self) -> np.ndarray:
+        return eights(self.data)
+
+    def hashes(self, salt: int = 0) -> np.ndarray:
+        return word_hashes(self.data, self.starts, self.ends, salt, self.eights)[0]
+
+    def word(self, j: int) -> bytes:
+        return self.data[self.starts[j] : self.ends[j]].tobytes()
+
+    def same(self, mine: np.ndarray, other: Spelled, others: np.ndarray) -> np.ndarray:
+        """Whether each of the words at `mine` has the same bytes as the other's of its place."""
+        starts, theirs, sizes = self.starts[mine], other.starts[others], self.ends[mine] - self.starts[mine]
+        same = sizes == other.ends[others] - theirs
+        left, i = np.flatnonzero(same), 0
+        while len(left):
+            if i * 8 >= LONG_WORD:
+                for j in left.tolist():
+                    same[j] = self.word(mine[j]) == other.word(others[j])
+                break
+            like = block(self.eights, starts[left], sizes[left], i) == block(other.eights, theirs[left], sizes[left], i)
+            same[left[~like]] = False
+            i += 1
+            left = left[like & (sizes[left] > 8 * i)]
+        return same
+
+    def numbers(self) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each word, one for words of the same bytes, and each number's first place."""
+        salt, n = 0, len(self)
+        while True:
+            hashes = self.hashes(salt)
+            order = np.argsort(hashes, kind="stable")
+            same = hashes[order[1:]] == hashes[order[:-1]]
+            if self.same(order[1:][same], self, order[:-1][same]).all():
+                break
+            salt += 1  # two words share a hash
+        out, new = np.empty(n, np.int64), np.concatenate((np.ones(min(n, 1), bool), ~same))
+        out[order] = np.cumsum(new) - 1
+        return out, order[new]
 
 
 def classes(separators: tuple[int, ...], lower: bool = False) -> np.ndarray:
@@ -130,7 +166,7 @@ def classes(separators: tuple[int, ...], lower: bool = False) -> np.ndarray:
     return table[_FOLD] if lower else table
 
 
-class Words:
+class Words(Spelled):
     """The words of some texts: runs of bytes of one class over 0. text i's words are those from first[i] to first[i + 1]."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool):
@@ -149,40 +185,16 @@ class Words:
         self.kinds = kind[self.starts]
         self.first = np.searchsorted(self.starts, offsets)
 
-    def __len__(self) -> int:
-        return len(self.starts)
-
-    def hashes(self, salt: int = 0) -> np.ndarray:
-        return word_hashes(self.data, self.starts, self.ends, salt)[0]
-
-    def numbers(self) -> tuple[np.ndarray, np.ndarray]:
-        """A number for each word, one for words of the same bytes, and each number's first place."""
-        salt, n = 0, len(self)
-        while True:
-            hashes = self.hashes(salt)
-            order = np.argsort(hashes, kind="stable")
-            same = hashes[order[1:]] == hashes[order[:-1]]
-            i, j = order[1:][same], order[:-1][same]
-            if equal_words(self.data, self.starts[i], (self.ends - self.starts)[i], self.data, self.starts[j], (self.ends - self.starts)[j]).all():
-                break
-            salt += 1  # two words share a hash
-        out, new = np.empty(n, np.int64), np.concatenate((np.ones(min(n, 1), bool), ~same))
-        out[order] = np.cumsum(new) - 1
-        return out, order[new]
-
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def word(self, j: int) -> bytes:
-        return self.data[self.starts[j] : self.ends[j]].tobytes()
-
 
-def windows(hashes: np.ndarray, k: int) -> np.ndarray:
+def windows(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """The hash of each k consecutive words, at the place of the first; the caller drops those that span texts."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = powers(_WORD_BASE, len(hashes) + 1)
+    up, down = powers(_WORD_BASE if not salt else mix(np.array([salt], np.uint64))[0] | np.uint64(1), len(hashes) + 1)
     sums = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * up[:-1], out=sums[1:])
     return mix((sums[k:] - sums[:n]) * down[:n])
@@ -193,6 +205,40 @@ def whole(hashes: np.ndarray) -> np.uint64:
     return windows(hashes, len(hashes))[0]
 
 
+def told_apart(words: Words, k: int) -> tuple[np.ndarray, int]:
+    """Hashes of the windows of k words that are equal for equal words alone, and their salt: 0 but where windows of these texts share a hash."""
+    numbers, salt = words.numbers()[0], 0
+    while True:
+        hashes = windows(words.hashes(salt), k, salt)
+        order = np.argsort(hashes, kind="stable")
+        same = hashes[order[1:]] == hashes[order[:-1]]
+        a, b = order[1:][same], order[:-1][same]
+        if all(np.array_equal(numbers[a + j], numbers[b + j]) for j in range(k)):
+            return hashes, salt
+        salt += 1
+
+
+def strong(words: Words, k: int, key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers of 64 bits for each window of k words, under a secret key of 16 bytes.
+
+    Each distinct word's BLAKE2 digest of 128 bits; a window's are sums of its words' with random factors. Whoever
+    writes the texts doesn't know the key, so two different windows agree in 96 bits with probability below 2**-90.
+    """
+    numbers, first = words.numbers()
+    raw = words.data.tobytes()
+    digests = [hashlib.blake2b(raw[a:b], digest_size=16, key=key).digest() for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
+    each = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)[numbers]
+    factors = np.frombuffer(b"".join(hashlib.blake2b(j.to_bytes(4, "little"), digest_size=16, key=key, person=b"factors").digest() for j in range(k)), np.uint64).reshape(-1, 2)
+    n = max(0, len(words) - k + 1)
+    out = []
+    for lane in range(2):
+        total, column = np.zeros(n, np.uint64), np.ascontiguousarray(each[:, lane])
+        for j in range(k):
+            total += column[j : j + n] * factors[j, lane]
+        out.append(mix(total))
+    return out[0], out[1]
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and offsets of a string column; a null has no bytes."""
     if isinstance(column, pa.ChunkedArray):

@@ -131,7 +131,8 @@ def test_repeats_settled(monkeypatch):
     for _ in range(60):
         ids = np.sort(rng.choice(40, 5, replace=False)).astype(np.int64)
         of, hashes, places = np.sort(rng.integers(0, 5, 30)), rng.integers(0, 25, 30).astype(np.uint64), rng.integers(0, 99, 30)
-        repeats._pack(np.zeros(30, np.int64), 0, of, ids, ids * 7, hashes, places, rows)
+        digests = np.array([(h // 5, h % 5) for h in hashes.tolist()], repeats._DIGEST)  # either part alone would not do
+        repeats._pack(np.zeros(30, np.int64), 0, of, ids, ids * 7, digests, places, rows)
         seen += zip(ids[of].tolist(), hashes.tolist(), places.tolist(), strict=True)
     for i, h, _ in seen:
         least[h] = min(least.get(h, i), i)
@@ -242,6 +243,21 @@ def test_links_cost():
     assert took[1] < 9 * took[0] + 0.2
 
 
+def test_unlinked_cost():
+    """Texts of similarity 0.8, none linked at 0.85: twice as many take about twice as long, not four times."""
+    rng, took = np.random.default_rng(3), []
+    for n in (1000, 4000):
+        sets = []
+        for _ in range(n):
+            s = np.arange(1000, dtype=np.uint64)
+            s[rng.choice(1000, 111, replace=False)] = rng.integers(1 << 40, 1 << 60, 111, dtype=np.uint64)
+            sets.append(np.unique(s))
+        start = time.perf_counter()
+        assert neardup.linked(sets, 85) == []
+        took.append(time.perf_counter() - start)
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def test_connected(spark, monkeypatch):
     monkeypatch.setattr(neardup, "HOT_EDGES", 5)  # nodes of more edges are salted
     monkeypatch.setattr(neardup, "MOST_HOT", 1_000_000)
