@@ -10,6 +10,8 @@ CLAIM_TYPES = (
     "relationship_change", "event", "world_rule", "power_rule", "timeline_fact", "plotline_fact",
 )
 
+ENTITY_TYPES = ("character", "animal", "place", "object", "concept", "group")
+
 NEGATED = {"trusts": "distrusts", "trust": "distrust", "loves": "hates", "love": "hate", "likes": "dislikes", "like": "dislike"}
 NEGATIVE = (
     "dislikes", "dislike", "distrusts", "distrust", "dreads", "dread", "fears", "fear", "feels fear", "hostile", "is hostile",

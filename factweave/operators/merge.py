@@ -11,19 +11,28 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
+from .review import history, resolved_status
 
 #: Statuses of rows that a merge keeps and reinforces.
 KEPT = ("approved", "canonized", "rejected")
 _OUT = "scene_id long, id long, ord long, action string, status string, claim_version int, confidence double, source_hash string, valid_from_scene long, valid_until_scene long"
+#: Also the ord of the extracted row whose fields a row took last, and of the first one that reinforced it.
+_FULL = _OUT + ", from_ord long, told_ord long"
+#: What a stored row has besides.
+STORED = ("story_id", "source", "is_major_plotline", "claim_version", "valid_from_scene", "confidence_history")
+#: What a reinforced row takes over of the extracted one.
+TAKEN = ("subject", "predicate", "object", "polarity", "subject_entity_id", "object_entity_id", "claim_type", "claim_text", "confidence", "canon_level", "evidence_text", "chunk_index", "generation_origin")
 
 
 def keyed(claims: DataFrame) -> DataFrame:
-    """Claims with the keys a merge compares: hash, evidence, pair and predicate."""
+    """Claims with the keys a merge compares: hash, evidence, pair and predicate. A stored hash counts; else rows without a subject's id are hashed by their words."""
     c = F.col
     polarity = F.coalesce("polarity", F.lit(True))
+    by_id = T.entity_hash(c("subject_entity_id"), c("predicate"), c("object_entity_id"), c("claim_type"), polarity)
+    by_words = T.string_hash(c("subject"), F.coalesce(F.when(F.trim("claim_type") != "", c("claim_type")), "predicate"), c("object"), polarity)
     return claims.withColumns(
         {
-            "source_hash": T.entity_hash(c("subject_entity_id"), c("predicate"), c("object_entity_id"), c("claim_type"), polarity),
+            "source_hash": F.coalesce(F.when(c("source_hash") != "", c("source_hash")) if "source_hash" in claims.columns else F.lit(None).cast("string"), F.when(c("subject_entity_id") != 0, by_id).otherwise(by_words)),
             "evidence_key": T.norm_evidence(c("evidence_text")),
             "merge_key": T.predicate_merge_key(c("predicate")),
             "polarity": polarity,
@@ -69,7 +78,7 @@ def _merge(rows: Iterable[tuple], scene: int) -> list[dict]:
         s, o, polarity = whole(r.subject_entity_id), whole(r.object_entity_id), bool(r.polarity)
         new = {
             "scene_id": scene, "id": r.id, "ord": r.ord, "action": "kept", "status": r.status, "claim_version": int(r.claim_version), "confidence": r.confidence,
-            "source_hash": r.source_hash, "valid_from_scene": r.valid_from_scene, "valid_until_scene": whole(r.valid_until_scene), "s": s, "o": o, "key": r.merge_key, "polarity": polarity,
+            "source_hash": r.source_hash, "valid_from_scene": r.valid_from_scene, "valid_until_scene": whole(r.valid_until_scene), "s": s, "o": o, "key": r.merge_key, "polarity": polarity, "from_ord": None, "told_ord": None,
         }
         if not r.extracted:
             index(new, r.evidence_key, first=True)
@@ -87,6 +96,7 @@ def _merge(rows: Iterable[tuple], scene: int) -> list[dict]:
                 found["claim_version"] += 1
             elif found["action"] == "inserted":
                 found["claim_version"] += not found.get("bumped")
+            found.update(from_ord=r.ord, told_ord=r.ord if found["told_ord"] is None else found["told_ord"])
             found.update(action="reinforced" if found["action"] != "inserted" else "inserted", bumped=True, source_hash=r.source_hash, confidence=r.confidence, s=s, o=o, key=r.merge_key, polarity=polarity)
             index(found, r.evidence_key, first=False)
             continue
@@ -98,23 +108,27 @@ def _merge(rows: Iterable[tuple], scene: int) -> list[dict]:
         if whole(r.canon_id):
             log.append(new | {"action": "suppressed"})
             continue
-        new.update(action="inserted", valid_from_scene=scene)
+        new.update(action="inserted", valid_from_scene=scene, from_ord=r.ord)
         index(new, r.evidence_key, first=False)
         facts.append(new)
     return facts + log
 
 
-def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Scenes one after the other, as they come sorted; only one scene's facts are held, and some results."""
-    names, held = [c.split()[0] for c in _OUT.split(", ")], []
-    frame = lambda: pd.DataFrame(held, columns=names).astype({"valid_until_scene": "Int64", "valid_from_scene": "Int64"})
-    for scene, rows in groupby(_rows(batches), key=lambda r: r.scene_id):
-        held += [{n: f[n] for n in names} for f in _merge(rows, int(scene))]
-        if len(held) >= 10_000:
+def _stream(columns: str):
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Scenes one after the other, as they come sorted; only one scene's facts are held, and some results."""
+        names, held = [c.split()[0] for c in columns.split(", ")], []
+        whole = {n: "Int64" for n in ("id", "ord", "valid_until_scene", "valid_from_scene", "from_ord", "told_ord") if n in names}
+        frame = lambda: pd.DataFrame(held, columns=names).astype(whole)
+        for scene, rows in groupby(_rows(batches), key=lambda r: r.scene_id):
+            held += [{n: f[n] for n in names} for f in _merge(rows, int(scene))]
+            if len(held) >= 10_000:
+                yield frame()
+                held = []
+        if held:
             yield frame()
-            held = []
-    if held:
-        yield frame()
+
+    return build
 
 
 def merged(stored: DataFrame, extracted: DataFrame) -> DataFrame:
@@ -125,9 +139,50 @@ def merged(stored: DataFrame, extracted: DataFrame) -> DataFrame:
     through one task in order, as a stream that holds the scene's facts (one chapter's claims), never a partition. Rows to be replaced (suggested, needs_review, deprecated) must be gone from `stored`'s
     scene, and are left out here. Nulls: polarity is true, a missing object has no pair.
     """
+    return _ordered(stored, extracted).mapInPandas(_stream(_OUT), _OUT)
+
+
+def merged_rows(stored: DataFrame, extracted: DataFrame, canon: DataFrame | None = None) -> DataFrame:
+    """The claims of each scene as whole rows after the merge, with `action` as merged() has it; suppressed ones are rows too, to be counted and dropped.
+
+    stored: a story's rows with TAKEN and the columns of STORED; those of status suggested, needs_review or deprecated are
+    left out. extracted: resolved rows with TAKEN, ord, and a story's id; canon: where accepted facts are looked for, else `stored`. A
+    reinforced row takes the extracted fields and keeps its status; it gets one version and one entry of its history more, however often it is
+    told (the entry has the confidence of the first telling). A new row begins at version 1 with its own entry, and has no id yet. Only keys
+    go through the ordered stream; the rows' texts are joined to what it tells, by equal keys.
+    """
+    c = F.col
+    told = _ordered(stored, extracted, canon).mapInPandas(_stream(_FULL), _FULL)
+    facts = told.select("scene_id", c("id").alias("row_id"), "action", c("status").alias("new_status"), c("claim_version").alias("added"), c("source_hash").alias("new_hash"), c("valid_until_scene").alias("until"), "from_ord", "told_ord", c("ord").alias("own_ord"))
+    facts = facts.withColumn("from_ord", F.coalesce("from_ord", F.when(c("action") == "suppressed", c("own_ord"))))
+    old = stored.select(c("id").alias("row_id"), F.struct(*[c(x) for x in (*TAKEN, *STORED)]).alias("old"))
+    new = extracted.select("scene_id", c("ord").alias("from_ord"), c("story_id").alias("new_story"), F.struct(*[c(x) for x in TAKEN]).alias("new"))
+    first = extracted.select("scene_id", c("ord").alias("told_ord"), c("confidence").alias("first_confidence"))
+    own = extracted.select("scene_id", c("ord").alias("own_ord"), c("confidence").alias("own_confidence"))
+    keys, is_new = F.coalesce("from_ord", F.lit(-1)), c("action").isin("inserted", "suppressed")
+    x = facts.withColumns({"from_ord": keys, "told_ord": F.coalesce("told_ord", F.lit(-1)), "row_id": F.when(~is_new, c("row_id")), "own_ord": F.when(is_new, c("own_ord"))})
+    x = x.join(old, "row_id", "left").join(new, ["scene_id", "from_ord"], "left").join(first, ["scene_id", "told_ord"], "left").join(own, ["scene_id", "own_ord"], "left")
+    version = F.when(is_new, c("added")).otherwise(F.coalesce("old.claim_version", F.lit(1)) + c("added") - 1)
+    taken = c("new").isNotNull()
+    begun = history(c("own_confidence"), c("scene_id"), F.lit(1))
+    more = lambda before: F.when(c("first_confidence").isNull(), before).otherwise(history(c("first_confidence"), c("scene_id"), version, before))
+    fields = {f: F.when(taken, c(f"new.{f}")).otherwise(c(f"old.{f}")) for f in TAKEN}
+    major = F.coalesce((fields["claim_type"] == "plotline_fact") | (fields["canon_level"] == "core"), F.lit(False))
+    return x.select(
+        c("row_id").alias("id"), F.coalesce("old.story_id", "new_story").alias("story_id"), "scene_id", "action", *[v.alias(k) for k, v in fields.items()],
+        c("new_status").alias("status"), F.when(is_new, F.lit("extracted")).otherwise(c("old.source")).alias("source"), F.when(taken, major).otherwise(c("old.is_major_plotline")).alias("is_major_plotline"),
+        c("new_hash").alias("source_hash"), version.cast("int").alias("claim_version"), F.when(is_new, c("scene_id")).otherwise(c("old.valid_from_scene")).alias("valid_from_scene"), c("until").alias("valid_until_scene"),
+        F.when(is_new, more(begun)).otherwise(more(c("old.confidence_history"))).alias("confidence_history"), F.when(is_new, c("own_ord")).alias("ord"),
+    )
+
+
+def _ordered(stored: DataFrame, extracted: DataFrame, canon: DataFrame | None = None) -> DataFrame:
+    """Stored and extracted rows of a scene in one partition, in the order in which the merge takes them."""
+    if "id" not in extracted.columns:
+        extracted = extracted.withColumn("id", F.lit(None).cast("long"))
     s = keyed(stored)
     cols = ["scene_id", "id", "subject_entity_id", "object_entity_id", "polarity", "source_hash", "evidence_key", "merge_key", "status", "confidence"]
     old = s.where(F.col("status").isin(*KEPT)).select(*cols, F.col("id").alias("ord"), F.lit(False).alias("extracted"), F.lit(1).alias("claim_version"), F.lit(None).cast("long").alias("canon_id"), F.col("scene_id").alias("valid_from_scene"), "valid_until_scene")
-    status = T.status_for_confidence(F.col("confidence"))
-    new = with_canon(keyed(extracted), s).withColumn("status", status).select(*cols, "ord", F.lit(True).alias("extracted"), F.lit(1).alias("claim_version"), "canon_id", F.col("scene_id").alias("valid_from_scene"), F.lit(None).cast("long").alias("valid_until_scene"))
-    return old.unionByName(new).repartition("scene_id").sortWithinPartitions("scene_id", "extracted", "ord").mapInPandas(_stream, _OUT)
+    status = resolved_status(F.col("confidence"), F.col("review_status")) if "review_status" in extracted.columns else T.status_for_confidence(F.col("confidence"))
+    new = with_canon(keyed(extracted), s if canon is None else keyed(canon)).withColumn("status", status).select(*cols, "ord", F.lit(True).alias("extracted"), F.lit(1).alias("claim_version"), "canon_id", F.col("scene_id").alias("valid_from_scene"), F.lit(None).cast("long").alias("valid_until_scene"))
+    return old.unionByName(new).repartition("scene_id").sortWithinPartitions("scene_id", "extracted", "ord")

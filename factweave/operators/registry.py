@@ -78,14 +78,14 @@ class Register:
                 seen.add(key)
                 row["aliases"].append(a.strip())
 
-    def tell(self, m: dict) -> None:
-        """A mention: found and merged, or added."""
+    def tell(self, m: dict) -> int:
+        """A mention: found and merged, or added. Returns its entity's place."""
         at, name = self.find(m["canonical_name"]), m["canonical_name"]
         if at is None:
             self.rows.append(m | {"aliases": [], "n_mentions": 1})
             self._rename(self.rows[-1], m["aliases"])
             self._index(len(self.rows) - 1)
-            return
+            return len(self.rows) - 1
         row, kind = self.rows[at], m["entity_type"]
         row["n_mentions"] += 1
         row["type_confidence"] = max(row["type_confidence"] or 0.0, m["type_confidence"])
@@ -103,36 +103,48 @@ class Register:
         if kind == "place" and told and (not row["place_granularity"] or (row["place_granularity"] == "unknown" and told in ("city", "residence", "institution"))):
             row["place_granularity"] = told
         self._index(at)
+        return at
 
 
 _NAMES = [c.split()[0] for c in _OUT.split(", ")]
+#: What a mention became: told_ord is null in the rows of entities.
+_TOLD = _OUT + ", told_ord long"
 
 
-def _story(story: int, rows: Iterable[tuple]) -> list[dict]:
+def _story(story: int, rows: Iterable[tuple], mentions: bool) -> Iterator[dict]:
+    """The story's entities after all rows and, with `mentions`, before them each mention's: as it was when that was told."""
     register = Register()
     for r in rows:
         row = {n: getattr(r, n) for n in ("canonical_name", "entity_type", "place_granularity", "type_confidence", "graph_eligible")}
         row["type_confidence"] = None if pd.isna(row["type_confidence"]) else float(row["type_confidence"])
         row |= {"story_id": story, "id": None if pd.isna(r.id) else int(r.id), "aliases": [] if r.aliases is None else [a for a in r.aliases if a is not None], "n_mentions": 0}
-        if r.told:
-            register.tell(row)
-        else:
+        if not r.told:
             register.add(row)
-    return [row | {"place": at} for at, row in enumerate(register.rows)]
-
-
-def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stories one after the other, as they come sorted; held are one story's entities, and some results."""
-    held: list[dict] = []
-    frame = lambda: pd.DataFrame(held, columns=_NAMES).astype({"id": "Int64"})
-    rows = (r for b in batches for r in b.itertuples(index=False))
-    for story, of_story in groupby(rows, key=lambda r: r.story_id):
-        held += _story(int(story), of_story)
-        if len(held) >= 10_000:
+            continue
+        at = register.tell(row)
+        if mentions:
+            yield register.rows[at] | {"place": at, "told_ord": int(r.ord), "aliases": []}
+    for at, row in enumerate(register.rows):
+        yield row | {"place": at, "told_ord": None}
+
+
+def _stream(mentions: bool):
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Stories one after the other, as they come sorted; held are one story's entities, and some results."""
+        held: list[dict] = []
+        names = [*_NAMES, "told_ord"] if mentions else _NAMES
+        frame = lambda: pd.DataFrame(held, columns=names).astype({"id": "Int64"} | ({"told_ord": "Int64"} if mentions else {}))
+        rows = (r for b in batches for r in b.itertuples(index=False))
+        for story, of_story in groupby(rows, key=lambda r: r.story_id):
+            for row in _story(int(story), of_story, mentions):
+                held.append(row)
+                if len(held) >= 10_000:
+                    yield frame()
+                    held = []
+        if held:
             yield frame()
-            held = []
-    if held:
-        yield frame()
+
+    return build
 
 
 def registered(entities: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -145,6 +157,16 @@ def registered(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     before it, so a story's go through one task as a sorted stream that holds its entities alone, at the cost of a few look-ups each;
     types are found before, in parallel.
     """
+    return _ordered(entities, mentions).mapInPandas(_stream(False), _OUT)
+
+
+def told(entities: DataFrame, mentions: DataFrame) -> DataFrame:
+    """registered(), and a row for each mention (told_ord is its ord) with its entity's place, name and granularity right after it was told."""
+    return _ordered(entities, mentions).mapInPandas(_stream(True), _TOLD)
+
+
+def _ordered(entities: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Stored entities and mentions, of a story in one partition and in order, with their types."""
     c = F.col
     has = lambda name, kind="string": c(name).cast(kind) if name in mentions.columns else F.lit(None).cast(kind)
     name, said, proof = F.trim("name"), F.coalesce(has("sentence"), F.lit("")), F.coalesce(has("evidence"), F.lit(""))
@@ -159,7 +181,7 @@ def registered(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     have = lambda n, default: c(n) if n in entities.columns else default
     old = entities.where(c("story_id").isNotNull()).select("story_id", F.lit(False).alias("told"), c("id").cast("long").alias("ord"), c("id").cast("long").alias("id"), F.coalesce("canonical_name", F.lit("")).alias("canonical_name"), "entity_type", have("place_granularity", F.lit(None).cast("string")).alias("place_granularity"), have("type_confidence", F.lit(None).cast("double")).alias("type_confidence"), have("graph_eligible", F.lit(False)).alias("graph_eligible"), have("aliases", F.array().cast("array<string>")).alias("aliases"))
     both = old.select(*cols).unionByName(new.select(*cols))
-    return both.repartition("story_id").sortWithinPartitions("story_id", "told", "ord", "canonical_name").mapInPandas(_stream, _OUT)
+    return both.repartition("story_id").sortWithinPartitions("story_id", "told", "ord", "canonical_name")
 
 
 def with_narrator(mentions: DataFrame, povs: DataFrame) -> DataFrame:
