@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions import vocab as V
 from ..operators.candidates import PHRASES, RELATIONS
 from ..operators.kin import CAST, DENIED, FACTS, ONCE, PARENTS
-from .adapters import CAST_SQL, DRAFT_SQL, LETTER_SQL, MENTIONS, SQL, SURFACE_SQL, TALE_SQL, _list
+from .adapters import CAST_SQL, DRAFT_SQL, LETTER_SQL, MENTIONS, NAMES, SQL, SURFACE_SQL, TALE_SQL, _list
 
 _in = lambda values: "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
 _norm = lambda x: f"trim(regexp_replace(lower(coalesce({x}, '')), '\\s+', ' ', 'g'))"
@@ -328,6 +328,24 @@ z AS (SELECT doc_id, sentence_index, f + a AS start, f + a + length(w) AS "end",
 ORACLES["cnd_phrases"] = _phrases()
 ORACLES["cnd_relations"] = _relations("SELECT * FROM z")
 ORACLES["stm_touched_issues"] = _issues("SELECT * FROM issues WHERE scene_id IN (SELECT event_id FROM events)")
+def _debounced(content: str, gap: int) -> str:
+    """saves() over the events: the ones not followed within the gap, without those that the one before told too."""
+    return f"""WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, to_json([{content}])::VARCHAR AS content FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+n AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t, content) AS next FROM e), q AS (SELECT * FROM n WHERE next IS NULL OR next >= t + {gap}),
+b AS (SELECT *, lag(content) OVER (PARTITION BY user_id ORDER BY t) AS before FROM q)
+SELECT user_id AS scene_id, make_timestamp((t + {gap}) * 1000) AS saved_at, content FROM b WHERE before IS NULL OR before <> content"""
+
+
+ORACLES["stm_autosaves"] = _debounced("trim(event_type)", 86_400_000)
+ORACLES["stm_checks"] = _debounced("trim(props), trim(event_type)", 21_600_000)
+ORACLES["ent_resolved_claims"] = rf"""{SQL}, kinds AS (SELECT name, role, split_part({_KIND}, ' ', 1) AS kind FROM (SELECT unnest({_list(NAMES)}) AS name, unnest(['subject', 'object']) AS role UNION SELECT unnest({_list(NAMES)}), 'subject' UNION SELECT unnest({_list(NAMES)}), 'object')),
+x AS (SELECT c.* REPLACE (replace(predicate, 'lives in', 'lives_in') AS predicate, s.id AS subject_entity_id, o.id AS object_entity_id), a.kind AS sk, b.kind AS ok FROM claims c
+  JOIN entities s ON s.story_id = c.story_id AND s.canonical_name = subject JOIN entities o ON o.story_id = c.story_id AND o.canonical_name = object
+  JOIN kinds a ON a.name = subject AND a.role = 'subject' JOIN kinds b ON b.name = object AND b.role = 'object'),
+y AS (SELECT * REPLACE (CASE WHEN (predicate IN {_in(V.RELATIONAL)} OR claim_type = 'relationship_state') AND sk = 'character'
+  THEN CASE ok WHEN 'character' THEN 'relationship_state' WHEN 'place' THEN 'place_preference' WHEN 'group' THEN 'character_state' ELSE 'character_preference' END ELSE claim_type END AS claim_type) FROM x)
+SELECT id, subject, predicate, object, claim_type, subject_entity_id, object_entity_id,
+ substr(sha256(subject_entity_id || '|' || predicate || '|' || object_entity_id || '|' || claim_type || CASE WHEN polarity THEN '' ELSE '|neg' END), 1, 32) AS source_hash, NULL::VARCHAR AS unresolved FROM y"""
 ORACLES["cnd_drafts"] = _relations(rf""", kinds AS (SELECT name, {_KIND} AS v FROM (SELECT DISTINCT unnest([subject, object]) AS name, 'subject' AS role FROM z))
 SELECT doc_id, start, "end", subject, p AS predicate, object AS target,
  CASE WHEN ends_with(p, '_of') THEN 'relationship_state' WHEN regexp_matches(evidence, '{_sql_pattern(V.TIME_MARKS)}') THEN 'timeline_fact'

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import candidates, chapters, editor, entities, evidence, extraction, folding, graph, kin, merge, registry, store, validate
+from ..operators import candidates, chapters, editor, entities, evidence, extraction, folding, graph, kin, merge, registry, resolve, store, validate
 from ..session import saved
 from ..sources import manuscripts
-from ..streaming import edits
+from ..streaming import debounce, edits
 from . import adapters as A
 from . import extract, readings, reviews
 
@@ -105,8 +105,28 @@ def _split_claims(spark: SparkSession, d: str, new: bool) -> DataFrame:
     return A.claims(spark, d).where("subject_entity_id is not null").where(F.col("id") % 2 == (0 if new else 1)).withColumn("ord", F.col("id"))
 
 
+def _resolved(spark: SparkSession, d: str, claims: DataFrame | None = None) -> DataFrame:
+    """Claims told by their words alone, each an extracted one, onto the stored entities."""
+    told = A.claims(spark, d) if claims is None else claims
+    return resolve.resolved_claims(A.entities(spark, d), told.drop("subject_entity_id", "object_entity_id").withColumn("ord", F.col("id")))[0]
+
+
+def _resolved_claims(spark: SparkSession, d: str) -> DataFrame:
+    return _resolved(spark, d).select("id", "subject", "predicate", "object", "claim_type", "subject_entity_id", "object_entity_id", "source_hash", "unresolved")
+
+
+def _stored_and_told(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Claims of odd ids as stored, those of even ids as newly extracted and resolved."""
+    x = A.claims(spark, d).withColumns({"chunk_index": F.lit(0), "generation_origin": F.lit("structural"), "source": F.lit("extracted"), "claim_version": F.lit(1), "valid_from_scene": F.col("scene_id"), "confidence_history": F.lit(None).cast("string")})
+    return x.where("id % 2 = 1"), saved(_resolved(spark, d, x.where("id % 2 = 0")), "resolved").where("unresolved is null")
+
+
 def _merged(spark: SparkSession, d: str) -> DataFrame:
-    return merge.merged(_split_claims(spark, d, False), _split_claims(spark, d, True))
+    return merge.merged(*_stored_and_told(spark, d))
+
+
+def _whole_rows(spark: SparkSession, d: str) -> DataFrame:
+    return merge.merged_rows(*_stored_and_told(spark, d))
 
 
 def _canon(spark: SparkSession, d: str) -> DataFrame:
@@ -145,6 +165,9 @@ def _repointed(spark: SparkSession, d: str) -> DataFrame:
     return folding.repointed(A.cast_claims(spark, d), e, folding.folds(e))
 
 
+#: Milliseconds of a day.
+DAY = 86_400_000
+
 QUERIES: dict[str, Query] = {
     "adapter_scenes": A.scenes,
     "adapter_claims": A.claims,
@@ -182,6 +205,9 @@ QUERIES: dict[str, Query] = {
     "src_html_text": lambda s, d: _read("pages")(s, d).select("page_id", manuscripts.html_text(F.col("html")).alias("text")),
     "src_scene_split": lambda s, d: manuscripts.scenes(_read("pages")(s, d), "page_id", manuscripts.html_text(F.col("html"))),
     "stm_latest_edit": _over(edits.latest, _read("events")),
+    # Events stand for edits: of a user's page, its kind, in gaps of a day, as they lie hours apart.
+    "stm_autosaves": lambda s, d: debounce.saves(_read("events")(s, d), "event_type", key="user_id", gap=DAY),
+    "stm_checks": lambda s, d: debounce.saves(_read("events")(s, d), "props", more=("event_type",), key="user_id", gap=DAY // 4, chars=debounce.CHECK_CHARS),
     "stm_touched_issues": lambda s, d: validate.issues(_prepared(s, d), _read("events")(s, d).select(F.col("event_id").alias("scene_id"))),
     "ext_structural": lambda s, d: extraction.stances(A.claims(s, d), "id", "claim_text"),
     "ext_structural_documents": _over(extraction.stances, _read("documents")),
@@ -200,6 +226,7 @@ QUERIES: dict[str, Query] = {
     "ent_refined_claim_type": _refined,
     "ent_resolved_names": _over(entities.resolved, A.mentions, A.entities),
     "ent_registered": _registered,
+    "ent_resolved_claims": _resolved_claims,
     "ent_folds": lambda s, d: folding.folds(A.cast(s, d)),
     "ent_folded": _folded,
     "ent_repointed": _repointed,
@@ -211,6 +238,7 @@ QUERIES: dict[str, Query] = {
     "evd_spans": lambda s, d: evidence.spans(A.claims(s, d), _claim_scenes(s, d)),
     "flt_strict": lambda s, d: evidence.strict(A.drafts(s, d)).select("id"),
     "mrg_ordered": _merged,
+    "mrg_whole_rows": _whole_rows,
     "mrg_canon": _canon,
     "ui_after_edit": _after_edit,
     "ui_issue_at": _issue_at,

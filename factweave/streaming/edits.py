@@ -1,4 +1,4 @@
-"""Edit streams: the latest edit of each scene."""
+"""Edit streams: the latest edit of each scene, and checks of touched scenes."""
 
 from __future__ import annotations
 
@@ -17,20 +17,6 @@ def latest(edits: DataFrame) -> DataFrame:
     return edits.groupBy("user_id").agg(last, F.count("*").alias("n_edits")).select("user_id", F.col("x.event_id").alias("event_id"), F.date_format("x.ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "n_edits")
 
 
-def bursts(edits: DataFrame, gap: str = "2 seconds", late: str = "10 minutes") -> DataFrame:
-    """Debounced saves: edits of a scene closer than `gap` are one save, closed when the watermark passes."""
-    watched = edits.withWatermark("ts", late)
-    return watched.groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n_edits"), F.max("ts").alias("saved_at"))
-
-
-def stream_latest(spark, folder: str, schema, name: str) -> DataFrame:
-    """latest() over a folder of Parquet files read as a stream to its end (availableNow)."""
-    source = spark.readStream.schema(schema).parquet(folder)
-    query = latest(source).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
-
-
 def revalidating(edits: DataFrame, prepared: Callable[[], DataFrame], folder: str, **trigger) -> StreamingQuery:
     """Checks again the scenes (scene_id) of a stream of edits, and no others, against the claims as they are at each micro-batch.
 

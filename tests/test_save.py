@@ -144,7 +144,7 @@ def row_of(c, story, scene, n):
 def test_replay(spark, tmp_path):
     """Random saves of two stories' scenes, one job each: claims, ids, versions, histories and entities are those of the replay."""
     rng, tables, replay, numbers = random.Random(3), Commits(spark, f"{tmp_path}/store"), Replay(), {}
-    for n in range(14):
+    for n in range(6):
         # One scene of each story, as scenes of one job don't see each other's new facts.
         chosen = [(story, story * 10 + rng.randrange(3)) for story in rng.sample((1, 2), rng.choice([1, 2]))]
         saves, manual, found, plain = [], [], [], []
