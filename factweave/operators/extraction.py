@@ -165,12 +165,13 @@ def merged_sources(drafts: DataFrame) -> DataFrame:
     """One row for each fact of a scene (subject, predicate, object, type, polarity), folded in the order of ord.
 
     Confidence is the greater one, or of two anchored ones the mean and 0.05; evidence of the anchored one, else of the better
-    origin; the longest sentence; all origins, best first. A group holds one scene's repeats of one fact.
+    origin; the longest sentence; all origins, best first; canon_level and importance, where there are such columns, of the first. A fact
+    told once keeps its review_status. A group holds one scene's repeats of one fact.
     """
     c = F.col
     key = {"_s": T.norm(c("subject")), "_p": F.translate(T.norm(c("predicate")), " ", "_"), "_t": T.norm(c("target")), "_k": T.norm(c("claim_type")), "_n": c("polarity")}
     own = F.filter(F.transform(F.split(F.coalesce("generation_origin", F.lit("")), r"\+"), lambda p: F.trim(p)), lambda p: p != "")
-    fields = F.struct("ord", "subject", "predicate", "target", "claim_type", "polarity", c("confidence").cast("double").alias("confidence"), F.coalesce("evidence", F.lit("")).alias("evidence"), F.coalesce("claim", F.lit("")).alias("claim"), F.coalesce("anchored", F.lit(False)).alias("anchored"), F.array_distinct(own).alias("origins"), F.lit(None).cast("string").alias("review_status"))
+    fields = F.struct("ord", "subject", "predicate", "target", "claim_type", "polarity", c("confidence").cast("double").alias("confidence"), F.coalesce("evidence", F.lit("")).alias("evidence"), F.coalesce("claim", F.lit("")).alias("claim"), F.coalesce("anchored", F.lit(False)).alias("anchored"), F.array_distinct(own).alias("origins"), (c("review_status") if "review_status" in drafts.columns else F.lit(None)).cast("string").alias("review_status"), *[n for n in ("canon_level", "importance") if n in drafts.columns])
 
     def both(a: Column, b: Column) -> Column:
         every = F.array_distinct(F.concat(a["origins"], b["origins"]))

@@ -29,7 +29,8 @@ def keyed(claims: DataFrame) -> DataFrame:
     c = F.col
     polarity = F.coalesce("polarity", F.lit(True))
     by_id = T.entity_hash(c("subject_entity_id"), c("predicate"), c("object_entity_id"), c("claim_type"), polarity)
-    by_words = T.string_hash(c("subject"), F.coalesce(F.when(F.trim("claim_type") != "", c("claim_type")), "predicate"), c("object"), polarity)
+    named = {"subject", "object"} <= set(claims.columns)  # rows of ids alone have no words to go by
+    by_words = T.string_hash(c("subject"), F.coalesce(F.when(F.trim("claim_type") != "", c("claim_type")), "predicate"), c("object"), polarity) if named else by_id
     return claims.withColumns(
         {
             "source_hash": F.coalesce(F.when(c("source_hash") != "", c("source_hash")) if "source_hash" in claims.columns else F.lit(None).cast("string"), F.when(c("subject_entity_id") != 0, by_id).otherwise(by_words)),

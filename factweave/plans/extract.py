@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import candidates, chapters, extraction, kin
+from ..operators import candidates, chapters, evidence, extraction, kin
+from ..operators.review import refined_predicate
 from ..session import saved
+from ..sources import providers
+from ..sources.commits import Commits
 
 _FIELDS = ("subject", "predicate", "target", "claim_type", "claim", "polarity", "confidence", "evidence", "canon_level", "generation_origin")
 
@@ -43,8 +46,57 @@ def extracted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     model = saved(model.join(told, "id", "left").withColumn("confidence", sure).drop("told"), "model")
     rules = rules.join(extraction.redundant(rules, model).distinct(), "id", "left_anti").select(*model.columns)
 
-    every = extraction.judged(rules.unionByName(family).unionByName(model), c("pov")).where("reject_reason is null")
+    return _kept(saved(_located_predicates(rules.unionByName(family).unionByName(model)), "layers")).select(c("scene_id").alias("doc_id"), "chunk_index", *_FIELDS)
+
+
+def _located_predicates(claims: DataFrame) -> DataFrame:
+    """Where someone lives, told by what the place is."""
+    proof = F.coalesce(F.nullif("evidence", F.lit("")), "claim")
+    return claims.withColumn("predicate", refined_predicate(F.col("predicate"), F.col("target"), proof))
+
+
+def _kept(claims: DataFrame) -> DataFrame:
+    """Without fragments, feelings that a draft tells too, and repeats over a whole text."""
+    c = F.col
+    every = extraction.judged(claims, c("pov")).where("reject_reason is null")
     junk = (c("predicate") == "loves") & F.lower(F.coalesce("target", F.lit(""))).isin("loved", "the vigorous", "the sun and")
     every = every.where(~junk).withColumns({"chunk_index": c("scene_id.chunk_index"), "scene_id": c("scene_id.doc_id")})
-    kept = extraction.first_of_equal(extraction.without_redundant_structural(every))
-    return kept.select(c("scene_id").alias("doc_id"), "chunk_index", *_FIELDS)
+    return extraction.first_of_equal(extraction.without_redundant_structural(every))
+
+
+def united(docs: DataFrame, provider=None, cache: Commits | None = None, strict: bool = False, id_col: str = "doc_id", text_col: str = "text", pov_col: str = "pov", **how) -> tuple[DataFrame, DataFrame]:
+    """(claims, counts): all sources as one bag, each claim held against its chunk, told facts merged, as extraction with a recalling model does it.
+
+    Sources are the rules of stance and of kin, the drafts of relations (origin fastus) and, with a provider, what it recalls of each
+    chunk. Every claim gets its evidence in the chunk's words, and its confidence and status by that (`evidence.grounded`). Those
+    of one chunk that tell the same are merged in the order rules, kin, drafts, recall; with `strict`, what was recalled and is
+    found nowhere goes. Then, over the whole text, fragments and repeats go, as in extracted(). claims: doc_id, chunk_index, the fields,
+    anchored, review_status, importance, n_sources. counts, a row a chunk: n_rules, n_drafts, n_recalled, n_merged, n_anchored,
+    n_dropped. Null and empty texts have none. how: as for providers.answered().
+    """
+    c = F.col
+    d = docs.select(c(id_col).alias("doc_id"), c(text_col).alias("text"), c(pov_col).cast("string").alias("pov"))
+    chunks = saved(chapters.chunks(d, "doc_id", "text", "pov").select(F.struct("doc_id", "chunk_index").alias("chunk"), "chunk_index", "pov", c("chunk").alias("text")), "chunks")
+    layers = [
+        _layer(extraction.stances(chunks, "chunk", "text", "pov"), chunks, 0, "ord"),
+        _layer(kin.facts(chunks, "chunk", "text", "pov"), chunks, 1, "ord"),
+        _layer(candidates.drafts(candidates.relations(chunks, "chunk", "text", "pov")).withColumns({"generation_origin": F.lit("fastus"), "canon_level": F.lit("active")}), chunks, 2, "start"),
+    ]
+    bag = layers[0].unionByName(layers[1]).unionByName(layers[2]).withColumn("importance", F.lit("medium"))
+    if provider is not None:
+        recalled, _ = providers.recall(chunks, provider, cache, **how)
+        importance = recalled.select(F.struct("chunk", F.struct(c("chunk.chunk_index").alias("chunk_index"), F.lit(3).alias("layer"), c("place").cast("long").alias("n")).alias("ord")).alias("id"), "importance")
+        bag = bag.unionByName(_layer(recalled.withColumnRenamed("chunk", "doc_id"), chunks, 3, "place").join(importance, "id"))
+    bag = saved(bag, "bag")
+    claims = bag.withColumn("text_id", c("scene_id")).withColumn("review_status", F.lit(None).cast("string"))
+    grounded = saved(evidence.grounded(claims, chunks.select(c("chunk").alias("text_id"), "text")).drop("text_id"), "grounded")
+    merged = extraction.merged_sources(grounded).join(chunks.select(c("chunk").alias("scene_id"), "pov"), "scene_id")
+    merged = saved(_located_predicates(merged).withColumn("id", F.struct("scene_id", "ord")), "merged")
+    kept = evidence.strict(merged) if strict else merged
+    of = lambda df, *counts: df.groupBy(c("scene_id").alias("chunk")).agg(*counts)
+    sources = of(bag, F.count_if(c("ord.layer") < 2).alias("n_rules"), F.count_if(c("ord.layer") == 2).alias("n_drafts"), F.count_if(c("ord.layer") == 3).alias("n_recalled"))
+    dropped = F.count_if(~c("anchored") & (c("generation_origin") == "llm_recall")) if strict else F.lit(0).cast("long")
+    after = of(merged, F.count("*").alias("n_merged"), F.count_if("anchored").alias("n_anchored"), dropped.alias("n_dropped"))
+    counts = sources.join(after, "chunk").select("chunk.doc_id", "chunk.chunk_index", "n_rules", "n_drafts", "n_recalled", "n_merged", "n_anchored", "n_dropped")
+    fields = [*_FIELDS, "anchored", "review_status", "importance", "n_sources"]
+    return _kept(kept).select(c("scene_id").alias("doc_id"), "chunk_index", *fields), counts

@@ -232,6 +232,8 @@ QUERIES: dict[str, Query] = {
     "ent_repointed": _repointed,
     "ext_family": lambda s, d: kin.facts(A.letters(s, d), pov_col="pov"),
     "ext_all": lambda s, d: extract.extracted(A.tales(s, d)),
+    "ext_united": lambda s, d: extract.united(A.tales(s, d))[0],
+    "ext_united_counts": lambda s, d: extract.united(A.tales(s, d))[1],
     "ext_plain": lambda s, d: extraction.plain(A.claims(s, d), "id", "claim_text"),
     "evd_weighed": _weighed,
     "evd_anchored": _anchored,
