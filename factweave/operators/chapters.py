@@ -76,3 +76,36 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     x = docs.select(F.col(id_col).alias("doc_id"), sentence_array(F.coalesce(F.col(text_col), F.lit(""))).alias("s"))
     y = x.select("doc_id", F.posexplode("s").alias("i", "s")).where(F.trim(F.regexp_replace("s.sentence", r"\s+", " ")) != "")
     return y.select("doc_id", F.col("i").cast("long").alias("sentence_index"), F.col("s.start").cast("long").alias("start"), F.length("s.sentence").cast("long").alias("length"))
+
+
+def searched(starts: Column, x: Column) -> Column:
+    """The place, from 0, of the last of rising starts that isn't above x; -1 if all are. The array is halved, not scanned."""
+    none = F.struct(F.lit(-1).alias("low"), (F.size(starts) - 1).alias("high"))
+
+    def halved(a: Column, _: Column) -> Column:
+        mid = F.floor((a["low"] + a["high"] + 1) / 2).cast("int")
+        above = F.get(starts, mid) > x
+        return F.when(a["low"] >= a["high"], a).otherwise(F.struct(F.when(above, a["low"]).otherwise(mid).alias("low"), F.when(above, mid - 1).otherwise(a["high"]).alias("high")))
+
+    return F.when(F.size(starts) > 0, F.aggregate(F.sequence(F.lit(1), F.lit(32)), none, halved)["low"]).otherwise(-1)
+
+
+def sentence_at(docs: DataFrame, offsets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, offset, sentence_index) of offsets (doc_id, offset): the sentence, as sentences() counts them, that the character stands in; 0 where none is.
+
+    A text is split once for all its offsets, and each is then found by halving its sentences' starts. Offsets of texts that aren't
+    there are left out, as are nulls; those before a text or behind it stand in none.
+    """
+    c = F.col
+    asked = offsets.where("offset is not null").groupBy("doc_id").agg(F.collect_set("offset").alias("offsets"))
+    x = docs.select(c(id_col).alias("doc_id"), F.coalesce(c(text_col), F.lit("")).alias("text")).join(asked, "doc_id")
+
+    def found(t: Column, at: Column) -> Column:
+        i = searched(t["starts"], at)
+        s = F.get(t["sentences"], i)
+        inside = (i >= 0) & (at < F.get(t["starts"], i) + F.length(s)) & (F.trim(F.regexp_replace(s, r"\s+", " ")) != "")
+        return F.struct(at.alias("offset"), F.coalesce(F.when(inside, i), F.lit(0)).cast("long").alias("sentence_index"))
+
+    split = _let(sentence_array(c("text")), lambda a: F.struct(a["start"].alias("starts"), a["sentence"].alias("sentences")))
+    every = _let(split, lambda t: F.transform("offsets", lambda at: found(t, at)))
+    return x.select("doc_id", F.explode(every).alias("x")).select("doc_id", "x.*")

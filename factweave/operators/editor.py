@@ -51,6 +51,26 @@ def segments(spans: DataFrame) -> DataFrame:
     return x.where("depth > 0").select("doc_id", "start", "end", "depth")
 
 
+def labelled_segments(spans: DataFrame, texts: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Texts (doc_id, length) cut at all edges of their spans (doc_id, start, length, kind): start, end, the kinds that cover the piece, and the topmost.
+
+    kinds: those that are shown, topmost first; spans of others, or without length, cut nothing. Spans are clipped to their text. Pieces
+    tile each text that has a length. One sort of edges a text carries a count for each kind from edge to edge; no span meets another.
+    """
+    c = F.col
+    clipped = spans.where(c("kind").isin(*kinds)).join(texts.select("doc_id", c("length").alias("n")), "doc_id")
+    start, end = F.greatest("start", F.lit(0)), F.least(c("start") + c("length"), c("n"))
+    clipped = clipped.select("doc_id", "kind", start.cast("long").alias("a"), end.cast("long").alias("b")).where("a < b")
+    edge = lambda at, d: F.struct(at.alias("at"), F.lit(d).alias("d"))
+    edges = clipped.select("doc_id", "kind", F.explode(F.array(edge(c("a"), 1), edge(c("b"), -1))).alias("e")).select("doc_id", "kind", "e.at", "e.d")
+    ends = texts.where("length > 0").select("doc_id", F.lit(None).cast("string").alias("kind"), F.explode(F.array(F.lit(0).cast("long"), c("length").cast("long"))).alias("at"), F.lit(0).alias("d"))
+    steps = edges.unionByName(ends).groupBy("doc_id", "at").agg(*[F.sum(F.when(c("kind") == k, c("d")).otherwise(0)).alias(f"_{i}") for i, k in enumerate(kinds)])
+    w = Window.partitionBy("doc_id").orderBy("at")
+    live = F.array_compact(F.array(*[F.when(F.sum(f"_{i}").over(w) > 0, F.lit(k)) for i, k in enumerate(kinds)]))
+    x = steps.select("doc_id", c("at").alias("start"), F.lead("at").over(w).alias("end"), live.alias("kinds"))
+    return x.where("end is not null").select("doc_id", "start", "end", "kinds", F.get("kinds", F.lit(0)).alias("top"))
+
+
 def confidence_label(confidence: Column) -> Column:
     mark = F.when(confidence >= 0.9, "✓").when(confidence >= 0.65, "○").otherwise("⚠")
     return F.concat(mark, F.lit(" "), F.floor(confidence * 100 + 0.5).cast("string"), F.lit("%"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..operators import anchors, candidates, chapters, coreference, evidence, folding, labels, review
+from ..operators import anchors, candidates, chapters, coreference, editor, evidence, folding, labels, review
 from . import adapters as A
 from .oracle import _KIND, _in, _norm
 
@@ -291,3 +291,42 @@ ORACLES |= {
  CASE WHEN id % 3 <> 0 THEN 'approved' WHEN (ns OR nt) AND NOT told THEN 'needs_review' ELSE 'suggested' END AS status, CASE WHEN (ns OR nt) AND told THEN sha256(s || '|trusts|' || t || '|relationship_state')[1:32] END AS source_hash FROM r""",
     "ent_narrators_left": f"{_told_sql} SELECT id FROM cast0 WHERE canonical_name NOT IN ('Narrator', 'my') OR id IN (SELECT s FROM r) OR id IN (SELECT t FROM r)",
 }
+
+
+#: Kinds of marks in a text, topmost first; the events' kinds stand for them.
+MARKS = ("error", "purchase", "signup", "click")
+_LENGTH = 4000
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    e = A._table(spark, d, "events")
+    spans = e.select(F.col("user_id").alias("doc_id"), (F.col("event_id") * 37 % 5000 - 50).alias("start"), (F.col("event_id") % 60).alias("length"), F.col("event_type").alias("kind"))
+    return editor.labelled_segments(spans, e.select(F.col("user_id").alias("doc_id"), F.lit(_LENGTH).alias("length")).distinct(), MARKS).withColumn("kinds", F.array_join("kinds", ","))
+
+
+def _offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Three places in each text, one of them maybe behind it."""
+    t, k = A._table(spark, d, "documents"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    return t.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"), k.alias("k")).select("doc_id", ((F.col("doc_id") * 7919 + F.col("k") * 104729) % (F.col("n") + 10)).alias("offset"))
+
+
+QUERIES |= {
+    "ui_labelled_segments": _labelled,
+    "joi_sentence_at": lambda s, d: chapters.sentence_at(A._table(s, d, "documents"), _offsets(s, d)),
+}
+
+#: Sentences for DuckDB. Marks that begin a text belong to none; behind them sentences tile it.
+_SENTENCES = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), p AS (SELECT doc_id, length(regexp_extract(text, '^[.!?]*')) AS head, regexp_extract_all(text, '[^.!?]+(?:[.!?]+|$)') AS p FROM t),
+u AS (SELECT doc_id, head, unnest(p) AS s, unnest(generate_series(0, len(p) - 1)) AS i FROM p),
+s AS (SELECT doc_id, i, s, head + coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM u)"""
+
+ORACLES |= {
+    "txt_sentences": _SENTENCES + r" SELECT doc_id, i AS sentence_index, a::BIGINT AS start, length(s) AS length FROM s WHERE regexp_matches(s, '\S')",
+    "joi_sentence_at": _SENTENCES + r""", k AS (SELECT DISTINCT doc_id, (doc_id * 7919 + unnest([0, 1, 2]) * 104729) % (length(text) + 10) AS o FROM t)
+SELECT k.doc_id, k.o AS "offset", CASE WHEN o < a + length(s) AND regexp_matches(s, '\S') THEN i ELSE 0 END AS sentence_index FROM k ASOF LEFT JOIN s ON s.doc_id = k.doc_id AND s.a <= k.o""",
+    "ui_labelled_segments": f"""WITH m AS (SELECT user_id AS doc_id, greatest(event_id * 37 % 5000 - 50, 0) AS a, least(event_id * 37 % 5000 - 50 + event_id % 60, {_LENGTH}) AS b, event_type AS kind FROM events WHERE event_type IN {_in(MARKS)}),
+k AS (SELECT * FROM m WHERE a < b), e AS (SELECT doc_id, a AS edge FROM k UNION SELECT doc_id, b FROM k UNION SELECT user_id, unnest([0, {_LENGTH}]) FROM events),
+g AS (SELECT doc_id, edge AS start, lead(edge) OVER (PARTITION BY doc_id ORDER BY edge) AS stop FROM e),
+c AS (SELECT g.doc_id, g.start, stop, array_to_string(list_filter({A._list(MARKS)}, lambda x: list_contains(coalesce(list(kind), []), x)), ',') AS kinds FROM g LEFT JOIN k ON k.doc_id = g.doc_id AND a < stop AND b > g.start WHERE stop IS NOT NULL GROUP BY ALL)
+SELECT doc_id, start, stop AS "end", kinds, nullif(split_part(kinds, ',', 1), '') AS top FROM c""",
+}

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factweave.operators import anchors, candidates, chapters, coreference, evidence, folding, labels, review
+from factweave.operators import anchors, candidates, chapters, coreference, editor, evidence, folding, labels, review
 from factweave.sources import plain
 
 MENTION = "id long, doc_id long, sentence_index long, at long, text string, pov string, extra string"
@@ -166,3 +166,37 @@ def test_plain_files(spark, tmp_path):
     (tmp_path / "odd.txt").write_bytes(b"a\xff")
     got = sorted((r.title, r.text) for r in plain.read(spark, str(tmp_path)).collect())
     assert got == [("The old gate", "## A\nx\r\n"), ("a b+c%20", "é"), ("odd", "a\ufffd")]
+
+
+def test_sentence_at(spark):
+    """Offsets in, between, before and behind sentences; blanks, marks at the start, nulls and texts that aren't there."""
+    texts = [(1, "...One. Two!  \n Three? "), (2, ""), (3, None), (4, "no mark"), (5, "a. " * 300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    asked = [(i, o) for i, t in texts for o in range(-2, len(t or "") + 3)] + [(1, None), (9, 0)]
+    got = {(r.doc_id, r.offset): r.sentence_index for r in chapters.sentence_at(docs, spark.createDataFrame(asked, "doc_id long, offset long")).collect()}
+    import re
+
+    want = {}
+    for i, t in texts:
+        pieces = [(m.start(), m.end(), k) for k, m in enumerate(re.finditer(r"[^.!?]+(?:[.!?]+|$)", t or "")) if m.group().strip()]
+        for o in range(-2, len(t or "") + 3):
+            want[i, o] = next((k for a, b, k in pieces if a <= o < b), 0)
+    assert got == want
+
+
+def test_labelled_segments(spark):
+    """Pieces tile each text; kinds come topmost first; spans outside, of no length or of other kinds cut nothing."""
+    import random
+
+    rng, kinds = random.Random(2), ("claim", "grammar", "style")
+    spans = [(d, rng.randrange(-5, 45), rng.randrange(-1, 12), rng.choice([*kinds, "other", None])) for d in range(4) for _ in range(15)] + [(9, 0, 5, "claim")]
+    texts = [(0, 40), (1, 30), (2, 0), (3, 41), (4, 7)]
+    got = editor.labelled_segments(spark.createDataFrame(spans, "doc_id long, start long, length long, kind string"), spark.createDataFrame(texts, "doc_id long, length long"), kinds).collect()
+    for d, n in texts:
+        mine = sorted((r.start, r.end, r.kinds, r.top) for r in got if r.doc_id == d)
+        assert [x for a, b, *_ in mine for x in range(a, b)] == list(range(n))
+        for a, b, ks, top in mine:
+            for x in range(a, b):
+                want = [k for k in kinds if any(s[0] == d and s[3] == k and s[1] <= x < s[1] + s[2] for s in spans)]
+                assert ks == want and top == (want[0] if want else None)
+    assert {r.doc_id for r in got} == {0, 1, 3, 4}
