@@ -80,14 +80,33 @@ def edges(claims: DataFrame, scenes: DataFrame, entities: DataFrame, preview: bo
     )
 
 
-def nodes(claims: DataFrame, scenes: DataFrame, entities: DataFrame, by_name: bool = True) -> DataFrame:
-    """Characters with mentions (negated claims count) or edges; degree counts claims, not distinct edges. by_name looks up null ids."""
+def supporting(claims: DataFrame, scenes: DataFrame, entities: DataFrame, preview: bool = False, by_name: bool = True) -> DataFrame:
+    """(story_id, source, target, status, supporting) for the pairs that edges() shows: their claims, by id, as structs of claim_id,
+    predicate, claim_text (null where blank), confidence and scene_number."""
+    claims = with_ends(claims, entities) if by_name else claims
+    shown = _gated(claims, scenes, entities, V.PAST_CANON).withColumn("status", F.lit("active"))
+    if preview:
+        shown = shown.unionByName(_pending(claims, scenes, entities, shown).withColumn("status", F.lit("preview")))
+    told = claims.select("id", F.nullif(F.trim("claim_text"), F.lit("")).alias("claim_text"))
+    entry = F.struct(F.col("id").alias("claim_id"), "predicate", "claim_text", "confidence", "scene_number")
+    return shown.join(told, "id").groupBy("story_id", "source", "target", "status").agg(F.sort_array(F.collect_list(entry)).alias("supporting"))
+
+
+def nodes(claims: DataFrame, scenes: DataFrame, entities: DataFrame, by_name: bool = True, preview: bool = False) -> DataFrame:
+    """Characters with mentions (negated claims count) or edges; degree counts claims, not distinct edges. by_name looks up null ids.
+
+    With preview, the ends of pending edges are there too, though those count for neither mentions nor degree."""
     claims = with_ends(claims, entities) if by_name else claims
     ends = lambda df, a, b: df.select(F.explode(F.array(F.col(a), F.col(b))).alias("id")).where("id is not null and id <> 0")
     mentions = ends(claims.where(F.col("status").isin(*V.PAST_CANON)), "subject_entity_id", "object_entity_id").groupBy("id").agg(F.count("*").alias("mention_count"))
-    degree = ends(_gated(claims, scenes, entities, V.PAST_CANON), "source", "target").groupBy("id").agg(F.count("*").alias("relationship_degree"))
+    canon = _gated(claims, scenes, entities, V.PAST_CANON)
+    degree = ends(canon, "source", "target").groupBy("id").agg(F.count("*").alias("relationship_degree"))
     e = entities.where("entity_type = 'character'").join(mentions, "id", "left").join(degree, "id", "left").fillna(0, ["mention_count", "relationship_degree"])
-    e = e.where("mention_count > 0 or relationship_degree > 0")
+    shown = (F.col("mention_count") > 0) | (F.col("relationship_degree") > 0)
+    if preview:
+        e = e.join(ends(_pending(claims, scenes, entities, canon), "source", "target").distinct().withColumn("pending", F.lit(True)), "id", "left")
+        shown = shown | F.col("pending").isNotNull()
+    e = e.where(shown)
     score = F.least(F.lit(100.0), F.round(F.col("mention_count") + F.col("relationship_degree") * 5.0, 1))
     return e.select("story_id", F.col("id").alias("entity_id"), F.col("canonical_name").alias("label"), score.alias("importance_score"), "mention_count", "relationship_degree")
 

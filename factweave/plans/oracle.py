@@ -220,6 +220,12 @@ _NAMED = SQL.replace("\nclaims AS (", "\ngiven AS (") + """, claims AS (SELECT g
   LEFT JOIN entities a ON a.story_id = g.story_id AND a.canonical_name = g.subject LEFT JOIN entities b ON b.story_id = g.story_id AND b.canonical_name = g.object)"""
 for _name in ("gra_edges", "gra_edges_preview", "gra_nodes", "ui_circle"):
     ORACLES[f"{_name}_named"] = ORACLES[_name].replace(SQL, _NAMED)
+_PENDING = """pending AS (SELECT *, 'preview' AS shown FROM gated g WHERE status IN ('suggested', 'needs_review')
+  AND NOT EXISTS (FROM canon c WHERE c.source = g.source AND c.target = g.target) QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY id) = 1)"""
+ORACLES["gra_nodes_preview_named"] = ORACLES["gra_nodes"].replace(_GATED, f"{_GATED}, {_PENDING}").replace("(m.n > 0 OR d.n > 0)", "(m.n > 0 OR d.n > 0 OR e.id IN (SELECT unnest([source, target]) FROM pending))").replace(SQL, _NAMED)
+ORACLES["gra_supporting_named"] = f"""{_GATED}, {_PENDING}, s AS (SELECT * FROM canon UNION ALL SELECT * FROM pending)
+SELECT s.story_id, source, target, shown AS status, (row_number() OVER (PARTITION BY source, target, shown ORDER BY s.id) - 1)::INTEGER AS place, s.id AS claim_id, s.predicate, claim_text, s.confidence, scene_number
+FROM s JOIN claims c ON c.id = s.id""".replace(SQL, _NAMED)
 ORACLES["gra_meta_named"] = f"""{_GATED.replace(SQL, _NAMED)}, n AS (SELECT story_id, count(*) AS n FROM canon GROUP BY 1),
 p AS (SELECT story_id, count(DISTINCT (source, target)) AS n FROM gated g WHERE status IN ('suggested', 'needs_review') AND NOT EXISTS (FROM canon c WHERE c.source = g.source AND c.target = g.target) GROUP BY 1)
 SELECT coalesce(n.story_id, p.story_id) AS story_id, coalesce(n.n, 0) AS approved_relationship_claim_count, coalesce(p.n, 0) AS pending_preview_claim_count FROM n FULL JOIN p ON p.story_id = n.story_id"""

@@ -184,6 +184,8 @@ QUERIES: dict[str, Query] = {
     "gra_edges_named": _graph(graph.edges),
     "gra_edges_preview_named": _graph(graph.edges, preview=True),
     "gra_nodes_named": _graph(graph.nodes),
+    "gra_nodes_preview_named": _graph(graph.nodes, preview=True),
+    "gra_supporting_named": lambda s, d: _graph(graph.supporting, preview=True)(s, d).select("story_id", "source", "target", "status", F.posexplode("supporting").alias("place", "x")).select("story_id", "source", "target", "status", "place", "x.*"),
     "gra_meta_named": _graph(graph.meta, preview=True),
     "joi_story_scene_count": _over(store.story_scene_counts, A.stories, A.scenes),
     "joi_scene_claim_count": _over(store.scene_claim_counts, A.scenes, A.claims),
