@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..operators import anchors, candidates, chapters, coreference, editor, evidence, folding, labels, review
+from ..operators import anchors, candidates, chapters, coreference, editor, evidence, folding, labels, review, trees
 from . import adapters as A
 from .oracle import _KIND, _in, _norm
 
@@ -330,3 +330,34 @@ g AS (SELECT doc_id, edge AS start, lead(edge) OVER (PARTITION BY doc_id ORDER B
 c AS (SELECT g.doc_id, g.start, stop, array_to_string(list_filter({A._list(MARKS)}, lambda x: list_contains(coalesce(list(kind), []), x)), ',') AS kinds FROM g LEFT JOIN k ON k.doc_id = g.doc_id AND a < stop AND b > g.start WHERE stop IS NOT NULL GROUP BY ALL)
 SELECT doc_id, start, stop AS "end", kinds, nullif(split_part(kinds, ',', 1), '') AS top FROM c""",
 }
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the texts' sentences with made-up heads: mostly a few places before, some behind, some their own, some nowhere."""
+    docs = A._table(spark, d, "documents")
+    pieces = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^.!?]+(?:[.!?]+|$)"), F.lit(0))).alias("sentence_index", "s"))
+    w = pieces.select("doc_id", "sentence_index", F.posexplode(F.regexp_extract_all("s", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("i", "text"))
+    i = F.col("i")
+    head = F.when(i == 0, -1).when(i % 11 == 5, i + 1).when(i % 13 == 7, i).otherwise(i - 1 - (i * 7 + F.col("doc_id")) % 3)
+    dep = F.element_at(F.array(*[F.lit(x) for x in ("nsubj", "dobj", "prep", "det")]), (i % 4 + 1).cast("int"))
+    return w.withColumns({"head": head.cast("int"), "dep": dep})
+
+
+def _subtrees(spark: SparkSession, d: str) -> DataFrame:
+    return trees.subtrees(_tokens(spark, d)).withColumn("indices", F.array_join("indices", ","))
+
+
+QUERIES |= {"arr_subtrees": _subtrees, "arr_phrases": lambda s, d: trees.phrases(_tokens(s, d), ("dobj", "prep")).withColumn("indices", F.array_join("indices", ","))}
+
+_TOKENS = r"""WITH RECURSIVE p AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?]+(?:[.!?]+|$)') AS p FROM documents),
+u AS (SELECT doc_id, unnest(p) AS s, unnest(generate_series(0, len(p) - 1))::INTEGER AS n FROM p), v AS (SELECT doc_id, n, regexp_extract_all(s, '[^\x20\x09-\x0D]+') AS w FROM u),
+x AS (SELECT doc_id, n, unnest(w) AS word, unnest(generate_series(0, len(w) - 1))::INTEGER AS i, len(w) AS size FROM v),
+t AS MATERIALIZED (SELECT *, CASE WHEN i = 0 THEN -1 WHEN i % 11 = 5 THEN i + 1 WHEN i % 13 = 7 THEN i ELSE i - 1 - (i * 7 + doc_id) % 3 END AS head, (['nsubj', 'dobj', 'prep', 'det'])[i % 4 + 1] AS dep FROM x)"""
+
+ORACLES |= {
+    "arr_subtrees": _TOKENS + """, way AS (SELECT doc_id, n, i, i AS at_, 0 AS d FROM t UNION SELECT way.doc_id, way.n, way.i, t.head, d + 1 FROM way JOIN t ON t.doc_id = way.doc_id AND t.n = way.n AND t.i = at_ WHERE d < 8 AND t.head >= 0 AND t.head < t.size),
+r AS (SELECT DISTINCT doc_id, n, at_, i FROM way)
+SELECT r.doc_id, r.n AS sentence_index, at_::INTEGER AS root, string_agg(r.i::VARCHAR, ',' ORDER BY r.i) AS indices, string_agg(word, ' ' ORDER BY r.i) AS text FROM r JOIN t ON t.doc_id = r.doc_id AND t.n = r.n AND t.i = r.i GROUP BY 1, 2, 3""",
+    "arr_phrases": _TOKENS + """, r AS (SELECT doc_id, n, i AS root, i FROM t UNION SELECT doc_id, n, head, i FROM t WHERE dep IN ('dobj', 'prep') AND head >= 0 AND head < size)
+SELECT doc_id, n AS sentence_index, root::INTEGER AS root, string_agg(i::VARCHAR, ',' ORDER BY i) AS indices FROM r GROUP BY 1, 2, 3""",
+}
