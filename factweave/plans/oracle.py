@@ -334,12 +334,27 @@ z AS (SELECT doc_id, sentence_index, f + a AS start, f + a + length(w) AS "end",
 ORACLES["cnd_phrases"] = _phrases()
 ORACLES["cnd_relations"] = _relations("SELECT * FROM z")
 ORACLES["stm_touched_issues"] = _issues("SELECT * FROM issues WHERE scene_id IN (SELECT event_id FROM events)")
+_CUT = lambda pattern: f"string_split(regexp_replace(t, '{pattern}', chr(57344) || '\\1', 'g'), chr(57344))"
+ORACLES["src_scene_split"] = rf"""WITH h AS (SELECT page_id, {_HTML} AS x FROM pages), t AS (SELECT page_id AS id, {_TRIM("replace(x, chr(13) || chr(10), chr(10))")} AS t FROM h),
+g AS (SELECT *, list_filter(list_transform(regexp_split_to_array(t, '
+
+
++'), lambda p: {_TRIM("p")}), lambda p: length(p) >= 80) AS gaps FROM t),
+p AS (SELECT id, t, CASE WHEN contains(t, chr(10) || '---' || chr(10)) THEN string_split(t, chr(10) || '---' || chr(10)) WHEN regexp_matches(t, '(?m)^##\s+') THEN {_CUT(r"(?m)^(##\s)")}
+  WHEN regexp_matches(t, '(?im)^Chapter\s+\d+') THEN {_CUT(r"(?im)^(Chapter\s+\d)")} WHEN regexp_matches(t, '
+
+
++') AND len(gaps) > 1 THEN gaps END AS p FROM g),
+f AS (SELECT id, t, list_filter(list_transform(p, lambda x: {_TRIM("x")}), lambda x: x <> '') AS p FROM p), w AS (SELECT id, CASE WHEN coalesce(len(p), 0) = 0 THEN [t] ELSE p END AS p FROM f)
+SELECT id, unnest(generate_series(1, len(p))) AS scene_number, unnest(p) AS text FROM w"""
+
+
 def _debounced(content: str, gap: int) -> str:
     """saves() over the events: the ones not followed within the gap, without those that the one before told too."""
     return f"""WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, to_json([{content}])::VARCHAR AS content FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
 n AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t, content) AS next FROM e), q AS (SELECT * FROM n WHERE next IS NULL OR next >= t + {gap}),
 b AS (SELECT *, lag(content) OVER (PARTITION BY user_id ORDER BY t) AS before FROM q)
-SELECT user_id AS scene_id, make_timestamp((t + {gap}) * 1000) AS saved_at, content FROM b WHERE before IS NULL OR before <> content"""
+SELECT user_id AS scene_id, strftime(make_timestamp((t + {gap}) * 1000), '%Y-%m-%d %H:%M:%S.%g') AS saved_at, content FROM b WHERE before IS NULL OR before <> content"""
 
 
 ORACLES["stm_autosaves"] = _debounced("trim(event_type)", 86_400_000)

@@ -165,6 +165,11 @@ def _repointed(spark: SparkSession, d: str) -> DataFrame:
     return folding.repointed(A.cast_claims(spark, d), e, folding.folds(e))
 
 
+def _stamped(df: DataFrame) -> DataFrame:
+    """The time of a save as text, the same in any session's zone."""
+    return df.withColumn("saved_at", F.date_format("saved_at", "yyyy-MM-dd HH:mm:ss.SSS"))
+
+
 #: Milliseconds of a day.
 DAY = 86_400_000
 
@@ -208,8 +213,8 @@ QUERIES: dict[str, Query] = {
     "src_scene_split": lambda s, d: manuscripts.scenes(_read("pages")(s, d), "page_id", manuscripts.html_text(F.col("html"))),
     "stm_latest_edit": _over(edits.latest, _read("events")),
     # Events stand for edits: of a user's page, its kind, in gaps of a day, as they lie hours apart.
-    "stm_autosaves": lambda s, d: debounce.saves(_read("events")(s, d), "event_type", key="user_id", gap=DAY),
-    "stm_checks": lambda s, d: debounce.saves(_read("events")(s, d), "props", more=("event_type",), key="user_id", gap=DAY // 4, chars=debounce.CHECK_CHARS),
+    "stm_autosaves": lambda s, d: _stamped(debounce.saves(_read("events")(s, d), "event_type", key="user_id", gap=DAY)),
+    "stm_checks": lambda s, d: _stamped(debounce.saves(_read("events")(s, d), "props", more=("event_type",), key="user_id", gap=DAY // 4, chars=debounce.CHECK_CHARS)),
     "stm_touched_issues": lambda s, d: validate.issues(_prepared(s, d), _read("events")(s, d).select(F.col("event_id").alias("scene_id"))),
     "ext_structural": lambda s, d: extraction.stances(A.claims(s, d), "id", "claim_text"),
     "ext_structural_documents": _over(extraction.stances, _read("documents")),
