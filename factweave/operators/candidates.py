@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -177,3 +177,11 @@ def drafts(found: DataFrame) -> DataFrame:
     verb_told = F.concat(F.when(yes, F.concat(F.lit(" "), p)).otherwise(F.concat(F.lit(" does not "), F.regexp_replace(p, "(?<!s)s$", ""))), F.lit(" "))
     claim = F.concat("subject", F.when(of, kin_told).when(felt, felt_told).otherwise(verb_told), "object", F.lit("."))
     return x.select("doc_id", "start", "end", "subject", p.alias("predicate"), c("object").alias("target"), claim_type.alias("claim_type"), claim.alias("claim"), "polarity", "confidence", "evidence", T.status_for_confidence(c("confidence")).alias("status"), F.lit("fastus").alias("generation_origin"), F.lit("active").alias("canon_level"))
+
+
+def first_drafts(found: DataFrame) -> DataFrame:
+    """Of a text's drafts with equal subject, type, predicate, object (whatever their case) and polarity, the first; `place` counts what is left, by start."""
+    key = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("subject", "claim_type", "predicate", "target")]
+    order = ("start", "end", "subject", "predicate", "target")
+    first = found.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", *key, "polarity").orderBy(*order))).where("_r = 1").drop("_r")
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)).cast("long") - 1)

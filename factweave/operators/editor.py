@@ -33,10 +33,13 @@ def issue_at(issues: DataFrame, cursors: DataFrame) -> DataFrame:
 
 
 def fingerprint(rule: Column, message: Column, matched: Column) -> Column:
-    return F.concat_ws("|", *[F.lower(F.trim(F.coalesce(x, F.lit("")))) for x in (rule, message, matched)])
+    """What an issue of writing is known by wherever it stands: its rule, the matched words and the message, these two trimmed and in lower case."""
+    told = [F.lower(F.trim(F.coalesce(x, F.lit("")))) for x in (matched, message)]
+    return F.concat_ws("|", F.coalesce(rule, F.lit("")), *told)
 
 
 def undismissed(issues: DataFrame, dismissed: DataFrame) -> DataFrame:
+    """issues (doc_id, fingerprint, ...) but for those that a text's writer has dismissed."""
     return issues.join(dismissed.select("doc_id", "fingerprint"), ["doc_id", "fingerprint"], "left_anti")
 
 

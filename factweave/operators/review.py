@@ -68,6 +68,21 @@ def in_text_order(issues: DataFrame) -> DataFrame:
     return issues.select("id", "story_id", F.row_number().over(w).cast("long").alias("place"))
 
 
+def in_detection_order(issues: DataFrame, created: str = "created_at") -> DataFrame:
+    """(id, story_id, place): each issue's place in its story by the time it was found, nulls first, then id."""
+    w = Window.partitionBy("story_id").orderBy(F.asc_nulls_first(created), "id")
+    return issues.select("id", "story_id", F.row_number().over(w).cast("long").alias("place"))
+
+
+#: What a writer is shown of what a judge may say.
+SHOWN = ("hard_contradiction", "soft_tension")
+
+
+def shown(issues: DataFrame) -> DataFrame:
+    """Issues that are contradictions or tensions; other judgments, and none, stay unseen."""
+    return issues.where(F.col("judge_classification").isin(*SHOWN))
+
+
 def issue_buckets(issues: DataFrame) -> DataFrame:
     """(story_id, open, resolved): unknown states are open."""
     is_open = resolution(F.col("resolution_status")) == "open"

@@ -11,6 +11,7 @@ from ..functions import vocab as V
 from ..operators import anchors, candidates, chapters, coreference, editor, evidence, folding, labels, review, trees
 from . import adapters as A
 from .oracle import _KIND, _in, _norm
+from .oracle import ORACLES as _EARLIER
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -361,3 +362,53 @@ SELECT r.doc_id, r.n AS sentence_index, at_::INTEGER AS root, string_agg(r.i::VA
     "arr_phrases": _TOKENS + """, r AS (SELECT doc_id, n, i AS root, i FROM t UNION SELECT doc_id, n, head, i FROM t WHERE dep IN ('dobj', 'prep') AND head >= 0 AND head < size)
 SELECT doc_id, n AS sentence_index, root::INTEGER AS root, string_agg(i::VARCHAR, ',' ORDER BY i) AS indices FROM r GROUP BY 1, 2, 3""",
 }
+
+
+def _writing_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Issues of writing, one an event, with a fingerprint."""
+    e = A._table(spark, d, "events")
+    mark = editor.fingerprint(F.col("event_type"), F.concat(F.lit("  Says "), F.col("props")), F.round("value", 0).cast("int").cast("string"))
+    return e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("issue_id"), mark.alias("fingerprint"))
+
+
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    """Scenes with few numbers, so that some have one number."""
+    return A.scenes(spark, d).withColumn("scene_number", (F.col("id") % 5).cast("int"))
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.array(*[F.lit(x) for x in ("hard_contradiction", "soft_tension", "compatible", "duplicate")])
+    i = A.stored_issues(spark, d)
+    return i.withColumns({"judge_classification": F.when(F.col("id") % 9 > 0, F.element_at(kinds, (F.col("id") % 4 + 1).cast("int"))), "created_at": F.when(F.col("id") % 8 > 0, F.col("id") * 7919 % 1000)})
+
+
+QUERIES |= {
+    "ui_undismissed": lambda s, d: editor.undismissed(_writing_issues(s, d), _writing_issues(s, d).where("issue_id % 3 = 0")).select("doc_id", "issue_id", "fingerprint"),
+    "api_taken_numbers": lambda s, d: review.taken_numbers(_numbered(s, d)),
+    "evd_anchors": lambda s, d: evidence.anchors(A.claims(s, d).withColumn("evidence_text", F.when(F.col("id") % 6 == 0, "Zzz qqq.").otherwise(F.col("evidence_text"))).withColumns({c: F.when(F.col("id") % 6 == 0, "xyz").otherwise(F.col(c)) for c in ("claim_text", "object")}), _told_scenes(s, d)),
+    "flt_shown": lambda s, d: review.shown(_judged(s, d)).select("id", "judge_classification"),
+    "srt_issues_detected": lambda s, d: review.in_detection_order(_judged(s, d)),
+    "win_first_drafts": lambda s, d: candidates.first_drafts(candidates.drafts(candidates.relations(A.tales(s, d), pov_col="pov"))).select("doc_id", "place", "start", "subject", "predicate", "target", "polarity"),
+}
+
+
+def _told_scenes(spark: SparkSession, d: str) -> DataFrame:
+    """Scenes that tell their claims, one sentence each."""
+    c = A.claims(spark, d).groupBy("scene_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "claim_text"))), lambda x: F.concat(x["claim_text"], F.lit("."))), " ").alias("text"))
+    return c.select(F.col("scene_id").alias("id"), "text")
+
+
+_JUDGED = f"""{A.SQL}{A.ISSUE_SQL}, j AS (SELECT *, CASE WHEN id % 9 > 0 THEN (['hard_contradiction', 'soft_tension', 'compatible', 'duplicate'])[id % 4 + 1] END AS judge_classification, CASE WHEN id % 8 > 0 THEN id * 7919 % 1000 END AS created_at FROM stored_issues)"""
+
+ORACLES |= {
+    "ui_undismissed": """WITH w AS (SELECT user_id AS doc_id, event_id AS issue_id, event_type || '|' || round(value, 0)::INTEGER || '|says ' || lower(props) AS fingerprint FROM events)
+SELECT doc_id, issue_id, fingerprint FROM w ANTI JOIN (SELECT doc_id, fingerprint FROM w WHERE issue_id % 3 = 0) x USING (doc_id, fingerprint)""",
+    "api_taken_numbers": f"{A.SQL} SELECT story_id, (id % 5)::INTEGER AS scene_number, count(*) AS n FROM scenes GROUP BY 1, 2 HAVING count(*) > 1",
+    "evd_anchors": f"""{A.SQL}, t AS (SELECT scene_id, string_agg(claim_text || '.', ' ' ORDER BY id) AS text FROM claims GROUP BY 1),
+q AS (SELECT c.id, c.scene_id, text, CASE WHEN c.id % 6 = 0 THEN NULL WHEN contains(text, evidence_text) THEN evidence_text ELSE claim_text END AS q FROM claims c JOIN t ON t.scene_id = c.scene_id)
+SELECT id, scene_id, CASE WHEN q IS NULL THEN 0 ELSE instr(lower(text), lower(q)) - 1 END AS text_offset, coalesce(length(q), 0) AS anchor_length, CASE WHEN q IS NULL THEN 'Zzz qqq.' ELSE substr(text, instr(lower(text), lower(q)), length(q)) END AS anchor_text FROM q""",
+    "flt_shown": f"{_JUDGED} SELECT id, judge_classification FROM j WHERE judge_classification IN ('hard_contradiction', 'soft_tension')",
+    "srt_issues_detected": f"{_JUDGED} SELECT id, story_id, row_number() OVER (PARTITION BY story_id ORDER BY created_at NULLS FIRST, id) AS place FROM j",
+    "win_first_drafts": f"""WITH RECURSIVE d AS ({_EARLIER["cnd_drafts"]}), f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY doc_id, lower(subject), claim_type, lower(predicate), lower(target), polarity ORDER BY start, "end", subject, predicate, target) = 1)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", subject, predicate, target) - 1 AS place, start, subject, predicate, target, polarity FROM f""",
+}
