@@ -13,7 +13,7 @@ from ..session import saved
 from ..sources import manuscripts
 from ..streaming import debounce, edits
 from . import adapters as A
-from . import answers, extract, readings, reviews
+from . import answers, extract, readings, reviews, upgrades
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -258,4 +258,4 @@ QUERIES: dict[str, Query] = {
     "ui_origins": lambda s, d: editor.origins_told(A.drafts(s, d)),
 }
 
-QUERIES |= reviews.queries(_prepared) | readings.QUERIES | answers.QUERIES
+QUERIES |= reviews.queries(_prepared) | readings.QUERIES | answers.QUERIES | upgrades.QUERIES
