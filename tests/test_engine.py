@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from factweave.operators import chapters, graph, store, validate
-from factweave.plans import oracle, queries, readings, reviews
+from factweave.plans import answers, oracle, queries, readings, reviews, upgrades
 from factweave.sources import manuscripts
 
 SF = "/root/testdata/sf0.001"
@@ -25,7 +25,7 @@ def rows(columns, records):
     return sorted((tuple(plain(r[i]) for i in order) for r in records), key=repr)
 
 
-ORACLES = oracle.ORACLES | reviews.ORACLES | readings.ORACLES
+ORACLES = oracle.ORACLES | reviews.ORACLES | readings.ORACLES | answers.ORACLES | upgrades.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
