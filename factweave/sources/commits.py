@@ -4,6 +4,9 @@ A commit writes its rows under a folder of its own, with the keys (scenes, stori
 the commit's entry, by a rename that fails if that number is taken. Readers list the entries and take each key's rows from the last
 commit that replaced it, so folders without an entry, left by jobs that died, are never read, and what a commit doesn't touch
 keeps its files byte for byte. The name of a save is in its entry: saving it again changes nothing.
+
+Two jobs that enter at the same moment are told apart by that rename, so the folder must be on a file system whose rename never replaces
+a file (HDFS and the like); on others, object stores among them, one job at a time must write.
 """
 
 from __future__ import annotations
