@@ -29,3 +29,26 @@ def test_only_texts_with_a_match_are_searched_for_its_groups(spark, name, rules)
     """A rule without a match cost a search for each of its groups; now one, which must be tried before them."""
     found = next(line for line in _plan(entry.queries()[name](spark, TINY)).splitlines() if "Generate" in line and "regexp_extract_all" in line)
     assert found.count("CASE WHEN RLIKE") + found.count("CASE WHEN said") + found.count("CASE WHEN t#") >= rules
+
+
+def test_names_and_places_are_brought_to_normal_form_once(spark):
+    """Each rule of a type or place took the name's normal form anew: up to 20 searches of one name."""
+    from pyspark.sql import functions as F
+
+    from factweave.functions import text as T
+    from factweave.operators import entities as E
+
+    x = spark.createDataFrame([("a", "b")], "name string, said string")
+    searches = lambda c: _plan(x.select(c.alias("r"))).count("regexp_replace")
+    assert searches(E.classify(F.col("name"), F.col("said"), F.col("said"))["entity_type"]) <= 2  # in the plan's tree and its details
+    assert searches(T.place_granularity(F.col("name"), F.col("said"), F.lit(None).cast("string"))) <= 2
+
+
+def test_normal_forms_of_odd_white_space(spark):
+    from pyspark.sql import functions as F
+
+    from factweave.functions import text as T
+
+    odd = ["", " ", "a b", " A  b ", "a\tb", " a b", "a  b\n", "a\x0bb", "\x1ca", "a\r\n", "İx", None]
+    x = spark.createDataFrame([(t,) for t in odd], "t string").select(T.norm(F.col("t")).alias("new"), F.trim(F.regexp_replace(F.lower(F.coalesce("t", F.lit(""))), r"(?U)\s+", " ")).alias("plain"))
+    assert all(r.new == r.plain for r in x.collect())
