@@ -52,3 +52,16 @@ def test_normal_forms_of_odd_white_space(spark):
     odd = ["", " ", "a b", " A  b ", "a\tb", " a b", "a  b\n", "a\x0bb", "\x1ca", "a\r\n", "İx", None]
     x = spark.createDataFrame([(t,) for t in odd], "t string").select(T.norm(F.col("t")).alias("new"), F.trim(F.regexp_replace(F.lower(F.coalesce("t", F.lit(""))), r"(?U)\s+", " ")).alias("plain"))
     assert all(r.new == r.plain for r in x.collect())
+
+
+def test_a_told_name_that_changes_nothing_is_not_listed_anew():
+    """Each mention listed all names of its entity again."""
+    from factweave.operators import registry
+
+    register, listed = registry.Register(), []
+    know = register._know
+    register._know = lambda at, name: (listed.append(name), know(at, name))
+    m = {"canonical_name": "Mara Venn", "entity_type": "character", "place_granularity": None, "type_confidence": 0.9, "graph_eligible": True, "aliases": []}
+    for name in ("Mara Venn", "Mara", "Mara", "Mara Venn"):
+        register.tell(m | {"canonical_name": name})
+    assert listed == ["Mara Venn", "Mara Venn", "Mara"] and register.rows[0]["n_mentions"] == 4
