@@ -90,7 +90,7 @@ def backfill(tables: Commits, name: str, apply: bool = False) -> DataFrame:
         touched = lambda df: df.join(stories, "story_id", "left_semi")
         scenes = touched(mine["scenes"]).select(c("id").alias("scene_id"))
         keys = scenes.unionByName(touched(mine["claims"]).select("scene_id")).distinct()
-        prepared = saved(validate.prepared(touched(claims), touched(mine["scenes"]), touched(entities)).select(*validate.COLUMNS), "prepared")
+        prepared = validate.prepared(touched(claims), touched(mine["scenes"]), touched(entities))
         start = (mine["issues"].agg(F.max("id")).first()[0] or 0) + 1
         issues = resolve.consecutive(validate.issues(prepared), "id", start, "scene_id", "current_claim_id", "conflicting_claim_id", "conflict_kind").withColumn("resolution_status", F.lit("open"))
         tables.commit(

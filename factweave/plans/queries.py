@@ -30,9 +30,8 @@ def _graph(f: Callable[..., DataFrame], **how: bool) -> Query:
     return lambda s, d: f(A.claims(s, d), A.scenes(s, d), A.entities(s, d), **how)
 
 
-def _prepared(spark: SparkSession, d: str) -> DataFrame:
-    """Written once, as the rules read it several times."""
-    return saved(validate.prepared(A.claims(spark, d), A.scenes(spark, d), A.entities(spark, d)).select(*validate.COLUMNS), "prepared")
+def _prepared(spark: SparkSession, d: str, touched: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    return validate.prepared(A.claims(spark, d), A.scenes(spark, d), A.entities(spark, d), touched, more)
 
 
 def _issues(kind: str | None = None) -> Query:

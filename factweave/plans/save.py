@@ -108,8 +108,8 @@ def save(tables: Commits, name: str, scenes: DataFrame, manual: DataFrame | None
     # Continuity of the saved scenes against their stories.
     story_scenes = mine["scenes"].join(stories, "story_id", "left_semi").join(ids.withColumnRenamed("scene_id", "id"), "id", "left_anti").select(*names(SCENES)).unionByName(scenes.select(*names(SCENES)))
     every = mine["claims"].join(stories, "story_id", "left_semi").join(ids, "scene_id", "left_anti").select(*columns).unionByName(claims_now.select(*columns))
-    prepared = saved(validate.prepared(every, story_scenes, entities).select(*validate.COLUMNS), "prepared")
-    raised = resolve.consecutive(validate.issues(prepared, ids), "id", _largest(mine["issues"]) + 1, "scene_id", "current_claim_id", "conflicting_claim_id", "conflict_kind")
+    prepared = validate.prepared(every, story_scenes, entities, ids)
+    raised = resolve.consecutive(validate.issues(prepared), "id", _largest(mine["issues"]) + 1, "scene_id", "current_claim_id", "conflicting_claim_id", "conflict_kind")
     raised = saved(raised.withColumn("resolution_status", F.lit("open")).select(*names(ISSUES)), "issues-raised")
     issues = raised.unionByName(issues_left.join(changed, "scene_id", "left_semi").select(*names(ISSUES)))
 
@@ -149,8 +149,8 @@ def edit_claims(tables: Commits, name: str, edits: DataFrame) -> bool:
     rest = mine["claims"].join(ids, "scene_id", "left_semi").join(edited.select("id"), "id", "left_anti").select(*columns)
     now = saved(rest.unionByName(edited), "claims-now")
     every = mine["claims"].join(stories, "story_id", "left_semi").join(ids, "scene_id", "left_anti").select(*columns).unionByName(now)
-    prepared = saved(validate.prepared(every, mine["scenes"], entities).select(*validate.COLUMNS), "prepared")
-    raised = resolve.consecutive(validate.issues(prepared, ids), "id", _largest(mine["issues"]) + 1, "scene_id", "current_claim_id", "conflicting_claim_id", "conflict_kind")
+    prepared = validate.prepared(every, mine["scenes"], entities, ids)
+    raised = resolve.consecutive(validate.issues(prepared), "id", _largest(mine["issues"]) + 1, "scene_id", "current_claim_id", "conflicting_claim_id", "conflict_kind")
     issues = raised.withColumn("resolution_status", F.lit("open")).select(*names(ISSUES))
     return tables.commit(name, {"claims": (now, ids, "scene_id"), "entities": (entities.select(*names(ENTITIES)), stories, "story_id"), "issues": (issues, ids, "scene_id")}, expected=expected)
 

@@ -115,3 +115,24 @@ def test_parts_of_lines_grow_in_number_and_lines_are_dealt_out_once(spark, monke
 def test_spans_do_not_ask_whether_claims_stand(spark):
     """Each claim was held against its scene a second time for a flag that nobody reads."""
     assert "stands" not in _plan(entry.queries()["evd_spans"](spark, TINY))
+
+
+@pytest.mark.parametrize("name", ["val_issues_all"])
+def test_claims_are_dealt_out_once_for_all_that_meets(spark, name):
+    """Claims were dealt out anew for each kind of issue, up to four times each, and twice more for what an issue tells: it failed by disk."""
+    plan = _plan(entry.queries()[name](spark, TINY)).split("== Initial Plan ==")[-1]
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert sorted(line.split("hashpartitioning(")[1].split("#")[0] for line in dealt) == ["object_entity_id", "object_entity_id", "story_id"]
+    assert "BroadcastExchange" not in plan and "l_orderkey" not in plan
+
+
+def test_pairs_that_hashes_alone_bring_together_are_none(spark, monkeypatch):
+    """Hashes find pairs, keys decide: with one hash for all, the same pairs are found."""
+    from pyspark.sql import functions as F
+
+    from factweave.operators import validate
+
+    found = lambda: sorted((r.current_claim_id, r.conflicting_claim_id, r.conflict_kind, r.message) for r in entry.queries()["val_issues_all"](spark, TINY).collect())
+    want = found()
+    monkeypatch.setattr(validate.F, "xxhash64", lambda *_: F.lit(7).cast("long"))
+    assert len(want) > 100 and found() == want
