@@ -14,10 +14,11 @@ from .oracle import _issues, _norm
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _texts(prepared: Query) -> Query:
+def _texts(prepared: Callable[..., DataFrame]) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        found = validate.issues(prepared(spark, d)).select("current_claim_id", "conflicting_claim_id", "conflict_kind")
-        return review.explained(found, A.claims(spark, d))
+        found = validate.pairs(prepared(spark, d, more=("evidence_text", "claim_text")))
+        ids = found.withColumns({"current_claim_id": F.col("n.id"), "conflicting_claim_id": F.col("o.id")})
+        return review.explained_pairs(ids, "current_claim_id", "conflicting_claim_id", "conflict_kind")
 
     return run
 
@@ -93,7 +94,7 @@ def _groups(spark: SparkSession, d: str) -> DataFrame:
     return review.accepted_groups(A.claims(spark, d).withColumn("claim_type", F.when(F.col("id") % 6 < 5, A._pick(kinds, F.col("id") % 6 + 1))))
 
 
-def queries(prepared: Query) -> dict[str, Query]:
+def queries(prepared: Callable[..., DataFrame]) -> dict[str, Query]:
     over = lambda f, *tables: lambda s, d: f(*(t(s, d) for t in tables))
     return {
         "api_issue_texts": _texts(prepared),
