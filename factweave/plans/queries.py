@@ -215,7 +215,7 @@ QUERIES: dict[str, Query] = {
     # Events stand for edits: of a user's page, its kind, in gaps of a day, as they lie hours apart.
     "stm_autosaves": lambda s, d: _stamped(debounce.saves(_read("events")(s, d), "event_type", key="user_id", gap=DAY)),
     "stm_checks": lambda s, d: _stamped(debounce.saves(_read("events")(s, d), "props", more=("event_type",), key="user_id", gap=DAY // 4, chars=debounce.CHECK_CHARS)),
-    "stm_touched_issues": lambda s, d: validate.issues(_prepared(s, d), _read("events")(s, d).select(F.col("event_id").alias("scene_id"))),
+    "stm_touched_issues": lambda s, d: validate.issues(_prepared(s, d, _read("events")(s, d).select(F.col("event_id").alias("scene_id")))),
     "ext_structural": lambda s, d: extraction.stances(A.claims(s, d), "id", "claim_text"),
     "ext_structural_documents": _over(extraction.stances, _read("documents")),
     "flt_reject_reason": lambda s, d: extraction.judged(A.drafts(s, d), F.col("pov")).select("id", "reject_reason"),

@@ -117,7 +117,7 @@ def test_spans_do_not_ask_whether_claims_stand(spark):
     assert "stands" not in _plan(entry.queries()["evd_spans"](spark, TINY))
 
 
-@pytest.mark.parametrize("name", ["val_issues_all", "api_issue_texts"])
+@pytest.mark.parametrize("name", ["val_issues_all", "stm_touched_issues", "api_issue_texts"])
 def test_claims_are_dealt_out_once_for_all_that_meets(spark, name):
     """Claims were dealt out anew for each kind of issue, up to four times each, and twice more for what an issue tells: it failed by disk."""
     plan = _plan(entry.queries()[name](spark, TINY)).split("== Initial Plan ==")[-1]
