@@ -136,3 +136,40 @@ def test_pairs_that_hashes_alone_bring_together_are_none(spark, monkeypatch):
     want = found()
     monkeypatch.setattr(validate.F, "xxhash64", lambda *_: F.lit(7).cast("long"))
     assert len(want) > 100 and found() == want
+
+
+def test_matches_of_one_search_are_those_of_a_search_for_each_group(spark):
+    """Each group, place and gap of a rule's matches was a search of its own."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from factweave.operators import candidates, chapters, extraction
+
+    rng, words = random.Random(9), "Mara Teo I was my mother not loved trusts ſee the Charlie’s afraid of distaste for . ! \n $1 \\ 𝒳 half-brother is".split(" ")
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 6, 40, 600]))) for _ in range(120)]
+    x = spark.createDataFrame([(t,) for t in [*texts, "Mara \x01 loved Teo. I loved \x02 Teo Mara", ""]], "t string")
+    rules = [(f"(?iU){p}", [g for g in (w, n, v, o) if g and not isinstance(g, str)]) for p, w, n, v, o, _ in extraction.RULES.values()]
+    rules += [(p, sorted({w, v, o} - {0})) for p, w, v, o, *_ in candidates.RELATIONS] + [(r"[^.!?]+(?:[.!?]+|$)", [])]
+    for pattern, groups in rules:
+        part = lambda g: F.regexp_extract_all("t", F.lit(pattern), F.lit(g))  # noqa: B023, E731
+        plain = F.arrays_zip(chapters.places(F.col("t"), pattern).alias("start"), part(0).alias("all"), *[part(g).alias(f"g{g}") for g in groups])
+        for r in x.select(chapters.matches(F.col("t"), pattern, *groups).alias("new"), plain.alias("plain")).collect():
+            assert [tuple(m) for m in r.new] == [tuple(m) for m in r.plain]
+
+
+@pytest.mark.parametrize("name", ["ext_structural", "cnd_relations"])
+def test_fields_of_found_claims_are_worked_out_once(spark, name):
+    """Ends of claims were cleaned anew at each use, some ten times in the filters alone."""
+    plan = _plan(entry.queries()[name](spark, TINY)).split("== Initial Plan ==")[-1]
+    assert not any("regexp_replace" in line for line in plan.splitlines() if "Filter" in line)
+
+
+def test_located_claims_bring_their_columns_along(spark):
+    """Claims were joined by id to where they stand, so all were dealt out twice more."""
+    from factweave.operators import evidence
+
+    claims = spark.createDataFrame([(1, 1, "e", "c", "t", "s", 0.9, "x")], "id long, text_id long, evidence string, claim string, target string, subject string, confidence double, other string")
+    told = evidence.grounded(claims, spark.createDataFrame([(1, "e c")], "text_id long, text string"))
+    plan = _plan(told).split("== Initial Plan ==")[-1]
+    assert sum("Join" in line for line in plan.splitlines()) == 2 and told.first().other == "x"
