@@ -173,3 +173,8 @@ def test_located_claims_bring_their_columns_along(spark):
     told = evidence.grounded(claims, spark.createDataFrame([(1, "e c")], "text_id long, text string"))
     plan = _plan(told).split("== Initial Plan ==")[-1]
     assert sum("Join" in line for line in plan.splitlines()) == 2 and told.first().other == "x"
+
+
+def test_upgraded_claims_are_read_once(spark):
+    """Rows were read and dealt out anew to be joined to what they were resolved to, and each end was typed twice."""
+    assert "l_orderkey" not in _plan(entry.queries()["snk_upgraded_claims"](spark, TINY))
